@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tanmono.llm import copies as p2
 from tanmono.llm import lookalikes as p1
 from tanmono.session import table
 
@@ -30,9 +31,33 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("field", F.col("scope").cast("bigint").alias("lexeme_id"), "form", "text", "n_rows", "n_forms")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.copy_members(table(spark, sf_dir, "sentences"), "id", "japanese", "english")
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.distinct_records(table(spark, sf_dir, "sentences"), "id", "japanese", "english")
+
+
+_CANONICAL = r"""
+WITH texts AS (
+  SELECT DISTINCT id,
+         regexp_replace(lower(japanese), '[^\p{L}\p{N}\p{M}]|[\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}]', '', 'g') AS a,
+         regexp_replace(lower(english), '[^\p{L}\p{N}\p{M}]|[\x{fe00}-\x{fe0f}\x{e0100}-\x{e01ef}]', '', 'g') AS b
+  FROM sentences WHERE japanese <> '' AND english <> ''),
+groups AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS first_id FROM texts)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_forms": p1_forms}
+    return {
+        "p1_found": p1_found, "p1_forms": p1_forms,
+        "p2_found": p2_found, "p2_records": p2_records,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _CANONICAL + "SELECT first_id, id AS copy_id FROM groups WHERE id <> first_id",
+        "p2_records": _CANONICAL + "SELECT first_id, count(*) AS n_copies FROM groups GROUP BY first_id",
+    }
