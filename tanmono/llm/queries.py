@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tanmono.llm import copies as p2
 from tanmono.llm import lookalikes as p1
+from tanmono.llm import term_counts as p5
+from tanmono.llm import top_items as p4
 from tanmono.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,36 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.distinct_records(table(spark, sf_dir, "sentences"), "id", "japanese", "english")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = p4.top_per_group(table(spark, sf_dir, "source_queue"), "source_id", "lexeme_id", "rank_score", 20)
+    return top.select(F.col("group_id").alias("source_id"), F.col("item_id").alias("lexeme_id"))
+
+
+def _lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occurrences = table(spark, sf_dir, "occurrences").select("lexeme_id", "sentence_id", "surface", "count")
+    lemmas = table(spark, sf_dir, "lexemes").select(F.col("id").alias("lexeme_id"), "lemma").distinct()
+    rows = occurrences.join(lemmas, "lexeme_id")
+    return p5.value_counts(rows, "sentence_id", "lemma", "count", ["lexeme_id", "surface"])
+
+
+def _n_sentences(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "occurrences").select("sentence_id").distinct().count()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = p5.marked(_lemma_counts(spark, sf_dir), _n_sentences(spark, sf_dir))
+    marks = F.array_compact(F.array(F.when(F.col("rare"), F.lit("rare")), F.when(F.col("common"), F.lit("common"))))
+    return counts.select(F.col("value").alias("lemma"), F.explode(marks).alias("mark"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lemma with its total and its sentences, also those that never occur."""
+    counts = p5.marked(_lemma_counts(spark, sf_dir), _n_sentences(spark, sf_dir))
+    lemmas = table(spark, sf_dir, "lexemes").filter("lemma IS NOT NULL").select(F.col("lemma").alias("value")).distinct()
+    filled = lemmas.join(counts, "value", "left").fillna(0, ["total", "records"]).fillna(False, ["rare", "common"])
+    return filled.select(F.col("value").alias("lemma"), "total", F.col("records").alias("n_sentences"), "rare", "common")
+
+
 _CANONICAL = r"""
 WITH texts AS (
   SELECT DISTINCT id,
@@ -49,10 +81,23 @@ groups AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY least(a, b), greatest(
 """
 
 
+_LEMMAS = """
+WITH occ AS (SELECT DISTINCT lexeme_id, sentence_id, surface, coalesce(count, 1) AS count FROM occurrences),
+counts AS (
+  SELECT lemma, CAST(sum(count) AS BIGINT) AS total, count(DISTINCT sentence_id) AS n_sentences
+  FROM occ JOIN (SELECT DISTINCT id, lemma FROM lexemes) ON id = lexeme_id GROUP BY lemma),
+marked AS (
+  SELECT *, total BETWEEN 1 AND 2 AS rare,
+         n_sentences >= 0.03 * (SELECT count(DISTINCT sentence_id) FROM occurrences) AS common FROM counts)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_forms": p1_forms,
         "p2_found": p2_found, "p2_records": p2_records,
+        "p4_found": p4_found,
+        "p5_found": p5_found, "p5_counts": p5_counts,
     }
 
 
@@ -60,4 +105,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _CANONICAL + "SELECT first_id, id AS copy_id FROM groups WHERE id <> first_id",
         "p2_records": _CANONICAL + "SELECT first_id, count(*) AS n_copies FROM groups GROUP BY first_id",
+        "p4_found": """
+            WITH pairs AS (SELECT source_id, lexeme_id, max(rank_score) AS s FROM source_queue
+                           WHERE rank_score IS NOT NULL AND NOT isnan(rank_score) GROUP BY ALL)
+            SELECT source_id, lexeme_id FROM pairs
+            QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s DESC, lexeme_id) <= 20""",
+        "p5_found": _LEMMAS + """SELECT lemma, 'rare' AS mark FROM marked WHERE rare
+            UNION ALL SELECT lemma, 'common' FROM marked WHERE common""",
+        "p5_counts": _LEMMAS + """SELECT DISTINCT l.lemma, coalesce(total, 0) AS total, coalesce(n_sentences, 0) AS n_sentences,
+            coalesce(rare, false) AS rare, coalesce(common, false) AS common FROM lexemes l LEFT JOIN marked USING (lemma)""",
     }
