@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tanmono.llm import copies as p2
+from tanmono.llm import leaks as p7
 from tanmono.llm import lookalikes as p1
 from tanmono.llm import term_counts as p5
 from tanmono.llm import top_items as p4
@@ -71,6 +72,11 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select(F.col("value").alias("lemma"), "total", F.col("records").alias("n_sentences"), "rare", "common")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = p7.leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "lang", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 _CANONICAL = r"""
 WITH texts AS (
   SELECT DISTINCT id,
@@ -98,6 +104,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_records": p2_records,
         "p4_found": p4_found,
         "p5_found": p5_found, "p5_counts": p5_counts,
+        "p7_found": p7_found,
     }
 
 
