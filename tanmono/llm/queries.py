@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tanmono.llm import copies as p2
 from tanmono.llm import leaks as p7
 from tanmono.llm import lookalikes as p1
+from tanmono.llm import spans as p8
 from tanmono.llm import term_counts as p5
 from tanmono.llm import top_items as p4
 from tanmono.session import table
@@ -77,6 +78,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.sharing_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 _CANONICAL = r"""
 WITH texts AS (
   SELECT DISTINCT id,
@@ -105,6 +114,7 @@ def queries() -> dict[str, Query]:
         "p4_found": p4_found,
         "p5_found": p5_found, "p5_counts": p5_counts,
         "p7_found": p7_found,
+        "p8_found": p8_found, "p8_shared": p8_shared,
     }
 
 
