@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tanmono.llm import alignment as p3
 from tanmono.llm import copies as p2
 from tanmono.llm import leaks as p7
 from tanmono.llm import lookalikes as p1
@@ -43,6 +44,19 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2.distinct_records(table(spark, sf_dir, "sentences"), "id", "japanese", "english")
 
 
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sentences").select(
+        "id", F.col("source_id").alias("source"), F.col("cue_index").alias("cue"), F.col("start_ms").alias("start"),
+        F.col("end_ms").alias("end"), F.col("japanese").alias("ja_text"), F.col("english").alias("en_text"),
+    )
+    return p3.translation_pairs(lines)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _aligned(spark, sf_dir)
+    return pairs.select(F.least("ja", "en").alias("sentence_id_a"), F.greatest("ja", "en").alias("sentence_id_b"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = p4.top_per_group(table(spark, sf_dir, "source_queue"), "source_id", "lexeme_id", "rank_score", 20)
     return top.select(F.col("group_id").alias("source_id"), F.col("item_id").alias("lexeme_id"))
@@ -111,6 +125,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_forms": p1_forms,
         "p2_found": p2_found, "p2_records": p2_records,
+        "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_found": p5_found, "p5_counts": p5_counts,
         "p7_found": p7_found,
