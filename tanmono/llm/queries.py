@@ -11,6 +11,7 @@ from tanmono.llm import alignment as p3
 from tanmono.llm import copies as p2
 from tanmono.llm import leaks as p7
 from tanmono.llm import lookalikes as p1
+from tanmono.llm import packing as p6
 from tanmono.llm import spans as p8
 from tanmono.llm import term_counts as p5
 from tanmono.llm import top_items as p4
@@ -87,6 +88,15 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select(F.col("value").alias("lemma"), "total", F.col("records").alias("n_sentences"), "rare", "common")
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its containers; sizes by the byte-level tokenizer: a token a byte and one at the end."""
+    docs = table(spark, sf_dir, "documents")
+    known = docs.filter("n_tokens IS NOT NULL").select("doc_id", "n_tokens")
+    counted = docs.filter("n_tokens IS NULL").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("n_tokens"))
+    packed = p6.packed_documents(known.unionByName(counted), "doc_id", "n_tokens", table(spark, sf_dir, "context_windows"), "window_id", "capacity_tokens")
+    return packed.withColumnsRenamed({"window": "window_id", "capacity": "capacity_tokens", "container": "container_id", "id": "doc_id"})
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p7.leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "lang", "text")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -128,6 +138,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_found": p5_found, "p5_counts": p5_counts,
+        "p6_packing": p6_packing,
         "p7_found": p7_found,
         "p8_found": p8_found, "p8_shared": p8_shared,
     }
