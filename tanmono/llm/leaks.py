@@ -144,6 +144,8 @@ def covered_letters(passage: str, doc: str, hits: list[tuple[int, int]], stretch
     """Letters of the passage that the best chain of stretches covers, in order, gaps up to the passage's length."""
     found: set[tuple[int, int, int]] = set()
     for i, j in hits:
+        if passage[i : i + 1] != doc[j : j + 1]:
+            continue  # a hit of another text under the same id
         if not any(s[0] <= i < s[0] + s[2] and j - i == s[1] - s[0] for s in found):
             found.add(_extended(passage, doc, i, j))
     chain: list[tuple[int, int, int, int]] = []

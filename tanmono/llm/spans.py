@@ -221,11 +221,22 @@ _PASSAGES_DDL = (
 )
 
 
+def _everywhere(codes: np.ndarray, spans: list[tuple[int, int]], least: int) -> list[dict]:
+    """The spans of a text, together with all other places where it repeats a part of them of the least length."""
+    hashes = gram_hashes(codes, least)
+    starts = np.unique(np.concatenate([np.arange(a, b - least + 1) for a, b in spans]))
+    at = np.flatnonzero(np.isin(hashes, hashes[starts]))
+    breaks = np.flatnonzero(np.diff(at) > 1)
+    first, last = at[np.append(0, breaks + 1)], at[np.append(breaks, len(at) - 1)]
+    return [{"start": int(a), "end": int(b) + least} for a, b in zip(first, last, strict=True)]
+
+
 def _passages(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for a, b, matches, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes_a, codes_b = _codes(text_a), _codes(text_b)
                 for chain in chains([(m["at_a"], m["at_b"]) for m in matches], least // 2):
                     for p in aligned(text_a, text_b, chain):
                         long = [s for s in p["spans"] if s[2] >= least]
@@ -233,8 +244,8 @@ def _passages(least: int):
                             rows.append({
                                 "a": a, "b": b, "start_a": p["start_a"], "end_a": p["end_a"], "start_b": p["start_b"], "end_b": p["end_b"],
                                 "equal": p["equal"], "longest": max(s[2] for s in long),
-                                "spans_a": [{"start": x, "end": x + n} for x, _, n in long],
-                                "spans_b": [{"start": y, "end": y + n} for _, y, n in long],
+                                "spans_a": _everywhere(codes_a, [(x, x + n) for x, _, n in long], least),
+                                "spans_b": _everywhere(codes_b, [(y, y + n) for _, y, n in long], least),
                             })
             yield pa.RecordBatch.from_pylist(rows, schema=_PASSAGES)
 
