@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,37 +187,53 @@ def plan_greedily(rows: list[dict], limit: int, window: int = 500) -> list[dict]
     """The greedy plan over candidates in rank order, each with difficulty and examples; every sentence is used once.
 
     At each position the candidate with the least joint score is taken, then it counts as known. Only the first window candidates
-    are compared, the others if none of these has an unused example left.
+    are compared, the others if none of these has an unused example left. All examples stand in flat arrays; a word that becomes
+    known takes its cost off the examples that hold it.
     """
-    known: set[int] = set()
-    used: set[int] = set()
+    examples = [(c, e) for c, row in enumerate(rows) for e in sorted(row["examples"], key=lambda e: (e["sentence_id"], e["surface"]))]
+    if not examples:
+        return []
+    owner = np.array([c for c, _ in examples])
+    words = np.array([e["n_words"] for _, e in examples])
+    colloquial = np.array([bool(e["colloquial"]) for _, e in examples])
+    cost = np.array([float(e["fixed"]) for _, e in examples])
+    holds: dict[int, list[tuple[int, float]]] = {}
+    places: dict[int, list[int]] = {}
+    for n, (_, e) in enumerate(examples):
+        places.setdefault(e["sentence_id"], []).append(n)
+        for o in e["others"]:
+            gap = o["gap"]
+            weight = 10.0 + (8.0 if gap is None or gap > 0 else 0.0) + (gap or 0.0)
+            cost[n] += weight
+            holds.setdefault(o["id"], []).append((n, weight))
+    difficulty = np.array([float(row["difficulty"]) for row in rows])
+    left = np.ones(len(rows), bool)
+    free = np.ones(len(examples), bool)
     plan: list[dict] = []
-    left = list(rows)
-    for position in range(min(limit, len(left))):
-        best = None
-        for part in (range(min(window, len(left))), range(window, len(left))):
-            for at in part:
-                row, choice = left[at], None
-                for e in row["examples"]:
-                    if e["sentence_id"] in used:
-                        continue
-                    unknown = [o["gap"] for o in e["others"] if o["id"] not in known]
-                    score = e["fixed"] + 10.0 * len(unknown) + 8.0 * sum(g is None or g > 0 for g in unknown) + sum(g or 0.0 for g in unknown)
-                    score += 1.25 * abs(e["n_words"] - desired_words(position)) + (max(0.0, 5.0 - 0.15 * position) if e["colloquial"] else 0.0)
-                    choice = min(choice or (score, e["sentence_id"], e["surface"]), (score, e["sentence_id"], e["surface"]))
-                if choice:
-                    joint = row["difficulty"] + context_weight(position) * choice[0]
-                    option = (joint, row["difficulty"], at, choice)
-                    best = option if best is None or option < best else best
-            if best:
+    for position in range(min(limit, len(rows))):
+        score = cost + 1.25 * np.abs(words - desired_words(position)) + colloquial * max(0.0, 5.0 - 0.15 * position)
+        score = np.where(free & left[owner], np.round(score, 9), np.inf)
+        best = np.full(len(rows), np.inf)
+        np.minimum.at(best, owner, score)
+        joint = np.round(difficulty + context_weight(position) * best, 9)
+        open_rows = np.flatnonzero(left)
+        for part in (open_rows[:window], open_rows[window:]):
+            part = part[np.isfinite(joint[part])]
+            if len(part):
                 break
-        if not best:
+        else:
             break
-        joint, _, at, (score, sentence, surface) = best
-        row = left.pop(at)
-        known.add(row["lexeme_id"])
-        used.add(sentence)
-        plan.append({"position": position + 1, "lexeme_id": row["lexeme_id"], "sentence_id": sentence, "surface": surface, "example_score": score, "joint_score": joint})
+        chosen = int(part[np.lexsort((part, difficulty[part], joint[part]))[0]])
+        n = int(np.flatnonzero((owner == chosen) & (score == best[chosen]))[0])
+        taken = examples[n][1]
+        left[chosen] = False
+        free[places[taken["sentence_id"]]] = False
+        for m, weight in holds.get(rows[chosen]["lexeme_id"], ()):
+            cost[m] -= weight
+        plan.append({
+            "position": position + 1, "lexeme_id": rows[chosen]["lexeme_id"], "sentence_id": taken["sentence_id"], "surface": taken["surface"],
+            "example_score": float(best[chosen]), "joint_score": float(joint[chosen]),
+        })
     return plan
 
 

@@ -34,9 +34,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete materialized tables that no later step reads."""
-    jvm, root = spark.sparkContext._jvm, shared_dir(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(shared_dir(spark)).toUri().getPath()
     for frame in frames:
         for name in frame.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            if folder.toString().replace("file:///", "/").startswith(root.replace("file://", "")):
+            folder = path(name).getParent()
+            if folder.getParent().toUri().getPath() == root:
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
