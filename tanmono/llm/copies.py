@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tanmono.plans.storage import materialize
+from tanmono.plans.storage import materialize, release
 
 #: Rows of a bucket that one task may hold.
 FITS = 50_000
@@ -74,8 +74,8 @@ class Trie:
             stack.extend(child for _, child in node.edges.values())
 
 
-def radix_buckets(rows: DataFrame, fits: int = FITS, first_bytes: int = FIRST_BYTES) -> DataFrame:
-    """rows(id, key) with columns bucket and salted.
+def radix_buckets(rows: DataFrame, fits: int = FITS, first_bytes: int = FIRST_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """rows(id, key) with columns bucket and salted, and the tables of large prefixes that these are read from.
 
     Every level counts only the rows of buckets that are still too large. Their prefixes form a small table (at most
     rows / fits of them), which Spark broadcasts or shuffles by its size. Copies of one record end at the same level;
@@ -106,7 +106,7 @@ def radix_buckets(rows: DataFrame, fits: int = FITS, first_bytes: int = FIRST_BY
         bucket = F.when(inside, F.when(ends, stop).otherwise(F.substring("key", 1, depth * 2))).otherwise(bucket)
         salted = F.when(inside & ends, F.col(f"s{k}") > 1).otherwise(salted)
         open_ = inside & ~ends
-    return rows.select("id", "key", bucket.alias("bucket"), salted.alias("salted"))
+    return rows.select("id", "key", bucket.alias("bucket"), salted.alias("salted")), [large for _, large in levels]
 
 
 def _tries(members: bool):
@@ -153,8 +153,11 @@ def _counted(df: DataFrame, key: str, first: str, second: str, fits: int, member
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(first).alias("a"), F.col(second).alias("b"))
     rows = rows.filter("id IS NOT NULL AND a <> '' AND b <> ''")
     rows = materialize(rows.select("id", canonical_bytes(F.col("a"), F.col("b")).alias("key")), "canonical")
-    buckets = radix_buckets(rows, fits).repartition("bucket").sortWithinPartitions("bucket")
-    return materialize(buckets.mapInArrow(_tries(members), "digest binary, first_id bigint, copy_id bigint, n bigint"), "tries")
+    buckets, prefixes = radix_buckets(rows, fits)
+    sorted_ = buckets.repartition("bucket").sortWithinPartitions("bucket")
+    out = materialize(sorted_.mapInArrow(_tries(members), "digest binary, first_id bigint, copy_id bigint, n bigint"), "tries")
+    release(df.sparkSession, rows, *prefixes)
+    return out
 
 
 def copy_members(df: DataFrame, key: str, first: str, second: str, fits: int = FITS) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tanmono.plans.storage import materialize
+from tanmono.plans.storage import materialize, release
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,9 @@ def candidate_places(index: DataFrame, passages: DataFrame) -> DataFrame:
     spots = spots.groupBy("doc", "item", "spot").agg(
         F.array_sort(F.collect_set(F.struct("df", "of", "at"))).alias("hits"), F.count_distinct("of").alias("n"), F.first("least").alias("least")
     )
-    return spots.filter("n >= least").select("doc", "item", "hits")
+    out = materialize(spots.filter("n >= least").select("doc", "item", "hits"), "spots")
+    release(index.sparkSession, terms, hits)
+    return out
 
 
 def _extended(a: str, b: str, i: int, j: int) -> tuple[int, int, int]:
@@ -193,6 +195,7 @@ def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item
     places = candidate_places(positional_index(docs, key, text), passages)
     cases = F.collect_list(F.struct("item", "lang", "passage", "hits")).alias("places")
     wanted = materialize(places.join(passages, "item").groupBy("doc").agg(cases), "places")
+    release(docs.sparkSession, places)
     n_hits = wanted.agg(F.sum(F.expr("aggregate(places, 0L, (n, p) -> n + size(p.hits))"))).first()[0] or 0
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text <> ''")
     rows = rows.join(F.broadcast(wanted) if n_hits <= BROADCAST_HITS else wanted, "doc")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tanmono.plans.storage import materialize
+from tanmono.plans.storage import materialize, release
 
 #: Look-alike classes: the first character of a row is the prototype of the others.
 CLASSES = """
@@ -146,8 +146,9 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, scope: str | None = None
     rows = rows.select("scope", "key", _digest(F.col("text")).alias("exact"), _digest(skeleton_column("text")).alias("form"))
     rows = materialize(rows, "lookalikes")
     mixed = rows.groupBy("scope", "form").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo < hi")
-    rows = materialize(rows.join(mixed.select("scope", "form"), ["scope", "form"], "left_semi").distinct(), "mixed")
-    a = rows.select("scope", "form", F.col("key").alias("key_a"), F.col("exact").alias("exact_a"))
-    b = rows.select("scope", "form", F.col("key").alias("key_b"), F.col("exact").alias("exact_b"))
+    both = materialize(rows.join(mixed.select("scope", "form"), ["scope", "form"], "left_semi").distinct(), "mixed")
+    release(df.sparkSession, rows)
+    a = both.select("scope", "form", F.col("key").alias("key_a"), F.col("exact").alias("exact_a"))
+    b = both.select("scope", "form", F.col("key").alias("key_b"), F.col("exact").alias("exact_b"))
     pairs = a.join(b, ["scope", "form"]).filter("key_a < key_b AND exact_a <> exact_b")
     return pairs.select("scope", "key_a", "key_b").distinct()

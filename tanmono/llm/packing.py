@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tanmono.plans.storage import materialize
+from tanmono.plans.storage import materialize, release
 
 #: Items of a block; islands of a block; packings of an island; children of an island and epoch; epochs.
 BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 2_000, 2, 4, 10, 3
@@ -141,7 +141,7 @@ def _packed(items: DataFrame) -> DataFrame:
         F.col("items.id").alias("ids"), F.col("items.size").alias("sizes"), F.lit(None).cast("array<array<int>>").alias("packings"),
         F.lit(0).cast("bigint").alias("containers"), F.lit(0.0).alias("fit"),
     )
-    keys = ["window", "block", "island"]
+    keys, kept = ["window", "block", "island"], None
     for epoch in range(EPOCHS):
         if epoch:
             elite = state.select("window", "block", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.slice("packings", 1, 1).alias("elite"))
@@ -149,7 +149,9 @@ def _packed(items: DataFrame) -> DataFrame:
             moved = F.concat(F.slice("packings", 1, POPULATION - 1), "elite")
             state = state.select("window", "capacity", "block", "island", "ids", "sizes", moved.alias("packings"), "containers", "fit")
         tasks = max(1, state.sparkSession.sparkContext.defaultParallelism * 4)
-        state = materialize(state.repartition(tasks, *keys).mapInArrow(_epoch(epoch), _STATE), "islands")
+        before, state = kept, materialize(state.repartition(tasks, *keys).mapInArrow(_epoch(epoch), _STATE), "islands")
+        release(items.sparkSession, *([before] if before is not None else []))
+        kept = state
     best = Window.partitionBy("window", "block").orderBy("containers", F.col("fit").desc(), "island")
     state = state.withColumn("r", F.row_number().over(best)).filter("r = 1")
     rows = state.select("window", "capacity", "block", F.explode(F.arrays_zip("ids", "sizes", F.col("packings")[0].alias("groups"))).alias("x"))

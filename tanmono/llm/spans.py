@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tanmono.plans.storage import materialize
+from tanmono.plans.storage import materialize, release
 
 #: A seed that more documents hold is compared by whole spans of the least length around it instead.
 HOT = 100
@@ -280,6 +280,7 @@ def shared_passages(docs: DataFrame, key: str, text: str, least: int = 240) -> t
     seeds = materialize(rows.mapInArrow(_seeds(least), "seed long, doc long, at int"), "seeds")
     sizes = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     found = materialize(seeds.join(sizes.select("seed", "n"), "seed"), "found")
+    release(docs.sparkSession, seeds)
     hot = found.filter(F.col("n") > HOT).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("hot"))
     wide = rows.join(_bounded(materialize(hot, "hot")), "doc").select("doc", "text", "hot")
     wide = materialize(wide.mapInArrow(_windows(least), "seed long, doc long, at int"), "windows")
@@ -288,12 +289,15 @@ def shared_passages(docs: DataFrame, key: str, text: str, least: int = 240) -> t
     b = met.select("seed", F.col("doc").alias("b"), F.col("at").alias("at_b"))
     pairs = a.join(b, "seed").filter("a < b").groupBy("a", "b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("matches"))
     pairs = materialize(pairs, "pairs")
+    release(docs.sparkSession, found, wide)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     texts = materialize(rows.join(_bounded(materialize(wanted, "wanted")), "doc", "left_semi"), "texts")
-    pairs = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    passages = pairs.select("a", "b", "matches", "text_a", "text_b").mapInArrow(_passages(least), _PASSAGES_DDL)
-    return materialize(passages, "passages"), copies
+    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    passages = both.select("a", "b", "matches", "text_a", "text_b").mapInArrow(_passages(least), _PASSAGES_DDL)
+    passages = materialize(passages, "passages")
+    release(docs.sparkSession, pairs, texts)
+    return passages, copies
 
 
 def sharing_pairs(docs: DataFrame, key: str, text: str, least: int = 240) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tanmono.plans.storage import materialize
+from tanmono.plans.storage import materialize, release
 
 #: Share of all scores above the lower edge of each band; the last band has no lower edge.
 BANDS = (0.02, 0.08, 0.3, 1.0)
@@ -44,7 +44,8 @@ def top_per_group(df: DataFrame, group: str, item: str, score: str, n: int, band
         taken.append(materialize(band.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n).drop("r"), "band"))
         if lower is not None:
             counts = reduce(DataFrame.unionByName, taken).groupBy("g").agg(F.count("*").alias("n"))
-            filled = materialize(counts.filter(F.col("n") >= n).select("g"), "filled")
+            before, filled = filled, materialize(counts.filter(F.col("n") >= n).select("g"), "filled")
+            release(df.sparkSession, *([before] if before is not None else []))
             if filled.count() == facts["groups"]:
                 break
     ranked = reduce(DataFrame.unionByName, taken).withColumn("position", F.row_number().over(best)).filter(F.col("position") <= n)
