@@ -172,3 +172,31 @@ def lexemes_from_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("lexeme_key", key).groupBy("lexeme_key", "lemma", "reading").agg(
         F.min_by("pos", F.struct("sentence_id", "position")).alias("pos"), F.count("*").alias("corpus_count")
     )
+
+
+def migrated(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df with every column (name to type) that an older version of the table lacks, as nulls."""
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns})
+
+
+def more_confident(stored: DataFrame, fresh: DataFrame, key: str, value: str, confidence: str, order: str) -> DataFrame:
+    """(key, value, confidence): the stored value, unless a fresh one is surer or nothing sure is stored; the first of equals wins.
+
+    fresh has order, the order of arrival.
+    """
+    old = stored.select(key, value, confidence, F.lit(None).cast("bigint").alias("o"))
+    both = old.unionByName(fresh.select(key, value, confidence, F.col(order).cast("bigint").alias("o")))
+    best = F.max_by(F.struct(value, confidence), F.struct(F.coalesce(confidence, F.lit(float("-inf"))), -F.coalesce("o", F.lit(-(2**62)))))
+    return both.groupBy(key).agg(best.alias("b")).select(key, f"b.{value}", f"b.{confidence}")
+
+
+def cleared_references(state: DataFrame, column: str, existing: DataFrame, key: str) -> DataFrame:
+    """state with column set to null where it names no existing key."""
+    there = existing.select(F.col(key).alias("_key")).distinct()
+    rows = state.join(there, F.col(column) == F.col("_key"), "left")
+    return rows.withColumn(column, F.col("_key")).select(state.columns)
+
+
+def shared_examples(cards: DataFrame) -> DataFrame:
+    """(sentence_id, n): sentences that more than one card has reserved; a consistent state has none."""
+    return cards.filter("sentence_id IS NOT NULL").groupBy("sentence_id").agg(F.count("*").alias("n")).filter("n > 1")

@@ -111,13 +111,14 @@ def components(rows: DataFrame) -> DataFrame:
 
 
 def difficulty(metric: str) -> Column:
-    """Score of 0 to 100, to 3 digits, of rows with components."""
+    """Score of 0 to 100, to 3 digits, half up, of rows with components."""
     if metric not in WEIGHTS:
         raise ValueError(f"unknown metric: {metric}")
-    raw = F.lit(0.0)
+    units = F.lit(0).cast("bigint")  # components have 6 digits and weights 2, so the sum is a whole number and ties are exact
     for name, weight in WEIGHTS[metric].items():
-        raw = raw + weight * F.col(f"c_{name}")
-    return F.round(_unit(raw) * 100, 3)
+        units = units + F.round(F.col(f"c_{name}") * 1_000_000).cast("bigint") * round(weight * 100)
+    units = F.greatest(F.least(units, F.lit(100_000_000)), F.lit(0))
+    return F.floor((units + 500) / 1000) / 1000.0
 
 
 def ranked(rows: DataFrame, metrics: list[str]) -> DataFrame:

@@ -67,3 +67,39 @@ def target_span(sentence: Column, lexical_start: Column, lexical_end: Column, st
     lexical = (lexical_start >= 0) & (lexical_start < lexical_end) & (lexical_end <= F.char_length(sentence))
     own = F.struct(F.substr(sentence, lexical_start + 1, lexical_end - lexical_start).alias("target"), lexical_start.alias("start"), lexical_end.alias("end"))
     return F.when(F.coalesce(lexical, F.lit(False)), own).otherwise(F.struct(surface.alias("target"), start.alias("start"), end.alias("end")))
+
+
+def located(surfaces: list[str], text: str) -> list[tuple[int, int]]:
+    """Spans of an analyzer's surfaces in its text, each searched from the end of the one before, else from the start.
+
+    A surface that the text does not hold gets an empty span where the search stood.
+    """
+    out, at = [], 0
+    for surface in surfaces:
+        start = text.find(surface, at)
+        start = text.find(surface) if start < 0 else start
+        start, end = (start, start + len(surface)) if start >= 0 else (at, at)
+        out.append((start, end))
+        at = max(at, end)
+    return out
+
+
+def dictionary_forms(tokens: DataFrame, forms: DataFrame, first: str, second: str) -> DataFrame:
+    """tokens with lemma: the first form, unless only the second stands in the dictionary's forms(text)."""
+    known = forms.select("text").distinct()
+    one = known.select(F.col("text").alias("_one"), F.lit(True).alias("_has_one"))
+    two = known.select(F.col("text").alias("_two"), F.lit(True).alias("_has_two"))
+    rows = tokens.join(one, F.col(first) == F.col("_one"), "left").join(two, F.col(second) == F.col("_two"), "left")
+    lemma = F.when(F.col("_has_one").isNull() & F.col("_has_two").isNotNull(), F.col(second)).otherwise(F.col(first))
+    return rows.withColumn("lemma", lemma).drop("_one", "_two", "_has_one", "_has_two")
+
+
+def single_words(surfaces: DataFrame, analyze: Callable[[str], list[dict]]) -> DataFrame:
+    """(surface) of surfaces(surface) that are one word when analyzed alone; each distinct one is analyzed once."""
+
+    @F.pandas_udf(T.IntegerType())
+    def n_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda x: sum(any(c.isalnum() for c in t["surface"]) for t in analyze(x or "")))
+
+    return surfaces.select("surface").distinct().withColumn("n", n_words("surface")).filter("n = 1").select("surface")

@@ -15,6 +15,14 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return model.occurrences(spark, sf_dir), model.sentences(spark, sf_dir), model.lexemes(spark, sf_dir)
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The model as tables with the columns that ranking reads, for queries that read it several times."""
+    occ, sen, lex = _model(spark, sf_dir)
+    sen = sen.select("id", "source_id", "cue_index", "japanese", "english")
+    lex = lex.select("id", "lexeme_key", "lemma", "reading", "part_of_speech", "gloss", "dictionary_status", "known_at")
+    return materialize(occ, "occ"), materialize(sen, "sen"), materialize(lex, "lex")
+
+
 def upserted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.sources(spark, sf_dir).select("id", "series", "season", "episode", "title", "video_path", "imported_at")
 
@@ -182,11 +190,11 @@ INITIAL_EXAMPLES = _EXAMPLES + " SELECT * FROM examples"
 
 
 def _ranked(spark: SparkSession, sf_dir: str, metrics: list[str]) -> DataFrame:
-    return ranking.ranked(ranking.candidates(*_model(spark, sf_dir)), metrics)
+    return ranking.ranked(ranking.candidates(*_kept(spark, sf_dir)), metrics)
 
 
 def _metric_sql(metric: str) -> str:
-    return "0.0::DOUBLE + " + " + ".join(f"{w}::DOUBLE * c_{n}" for n, w in ranking.WEIGHTS[metric].items())
+    return " + ".join(f"CAST(round(c_{n} * 1000000) AS BIGINT) * {round(w * 100)}" for n, w in ranking.WEIGHTS[metric].items())
 
 
 _DIFFICULTY = _EXAMPLES + f""",
@@ -207,7 +215,7 @@ comp AS (SELECT *,
           + 0.20::DOUBLE * CAST({sql.any_of("japanese", ranking.COLLOQUIAL_MARKS)} AS INTEGER) + 0.10::DOUBLE * CAST(wd <= 1 AS INTEGER), 6) AS c_quality,
     CASE WHEN coalesce(part_of_speech, '') = '感動詞' OR lemma IN ({", ".join(f"'{f}'" for f in ranking.FILLERS)}) THEN 1.0::DOUBLE
          WHEN regexp_full_match(lemma, '[\\x{{3040}}-\\x{{30ff}}ー]') THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS c_noise FROM cand),
-scored AS ({" UNION ALL ".join(f"SELECT *, '{m}' AS metric, round(greatest(0, least(1, {_metric_sql(m)})) * 100, 3) AS difficulty FROM comp" for m in ranking.WEIGHTS)}),
+scored AS ({" UNION ALL ".join(f"SELECT *, '{m}' AS metric, floor((greatest(0, least(100000000, {_metric_sql(m)})) + 500) / 1000) / 1000.0::DOUBLE AS difficulty FROM comp" for m in ranking.WEIGHTS)}),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id, metric ORDER BY difficulty, source_count DESC, cue_index, lexeme_key) AS INTEGER) AS rank FROM scored)"""
 
 
@@ -220,7 +228,7 @@ DIFFICULTY_RANKING = _DIFFICULTY + " SELECT source_id, lexeme_id, metric, diffic
 
 
 def difficulty_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.components(ranking.candidates(*_model(spark, sf_dir)))
+    rows = ranking.components(ranking.candidates(*_kept(spark, sf_dir)))
     return rows.select("source_id", "lexeme_id", "c_general", "c_source", "c_sentence", "c_form", "c_quality", "c_noise")
 
 
@@ -247,8 +255,10 @@ FROM ranked WHERE metric = 'hybrid' AND rank <= 100"""
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = materialize(_ranked(spark, sf_dir, ["hybrid"]).select("source_id", "lexeme_id", "lemma", "difficulty", "rank"), "ranked")
-    return rows, ranking.example_parts(rows, *_model(spark, sf_dir))
+    kept = _kept(spark, sf_dir)
+    rows = ranking.ranked(ranking.candidates(*kept), ["hybrid"]).select("source_id", "lexeme_id", "lemma", "difficulty", "rank")
+    rows = materialize(rows, "ranked")
+    return rows, materialize(ranking.example_parts(rows, *kept), "parts")
 
 
 def example_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,17 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             folder = path(name).getParent()
             if folder.getParent().toUri().getPath() == root:
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write a table beside its place and move it there in one step, so that readers see the old or the new one and never a part."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fresh, old, final = hadoop(f"{path}.{uuid.uuid4().hex}"), hadoop(f"{path}.old"), hadoop(path)
+    files = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.parquet(fresh.toString())
+    files.delete(old, True)
+    if files.exists(final):
+        files.rename(final, old)
+    files.rename(fresh, final)
+    files.delete(old, True)

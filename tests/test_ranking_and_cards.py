@@ -1,14 +1,15 @@
 """Difficulty, plans, decisions, votes, audits, cards, sinks and streams."""
 
 import csv
+import os
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tanmono.operators import audit, cards, dictionary, model, ranking, semantics
-from tanmono.plans.storage import materialize, release, shared_dir
+from tanmono.operators import audit, cards, dictionary, model, ranking, semantics, tokens
+from tanmono.plans.storage import materialize, publish, release, shared_dir
 from tanmono.sinks import card_service, reports
 from tanmono.sources import subtitles
 from tanmono.streaming import state
@@ -236,6 +237,34 @@ def test_storage(spark):
     folder = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
     assert df.count() == 5 and folder.startswith(shared_dir(spark).replace("file://", ""))
     release(spark, df)
-    import os
-
     assert not os.path.exists(folder)
+
+
+def test_publishing_replaces_a_table_as_a_whole(spark, tmp_path):
+    for n in (3, 2):
+        publish(spark.range(n), str(tmp_path / "t"))
+        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_table_maintenance(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "id long, s long")
+    assert model.migrated(df, {"s": "long", "new": "string"}).columns == ["id", "s", "new"]
+    there = spark.createDataFrame([(5,), (5,)], "k long")
+    assert {tuple(r) for r in model.cleared_references(df, "s", there, "k").collect()} == {(1, 5), (2, None), (3, None)}
+    cards_ = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, None)], "lexeme_id long, sentence_id long")
+    assert [tuple(r) for r in model.shared_examples(cards_).collect()] == [(5, 2)]
+    stored = spark.createDataFrame([(1, "a", 0.5), (2, "b", None), (3, "c", 0.9)], "id long, gloss string, conf double")
+    fresh = spark.createDataFrame([(1, "x", 0.5, 1), (2, "y", 0.1, 2), (2, "z", 0.1, 3), (3, "w", 0.95, 4)], "id long, gloss string, conf double, at int")
+    got = {r.id: r.gloss for r in model.more_confident(stored, fresh, "id", "gloss", "conf", "at").collect()}
+    assert got == {1: "a", 2: "y", 3: "w"}
+
+
+def test_identity_of_tokens(spark):
+    assert tokens.located(["走", "る", "走", "x"], "走る 走") == [(0, 1), (1, 2), (3, 4), (4, 4)]
+    rows = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "c"), ("x", "y")], "f string, s string")
+    forms = spark.createDataFrame([("b",), ("c",)], "text string")
+    got = {(r.f, r.s): r.lemma for r in tokens.dictionary_forms(rows, forms, "f", "s").collect()}
+    assert got == {("a", "b"): "b", ("c", "b"): "c", ("a", "c"): "c", ("x", "y"): "x"}
+    one = tokens.single_words(spark.createDataFrame([("ab",), ("a",), ("a.",)], "surface string"), lambda x: [{"surface": c} for c in x])
+    assert {r.surface for r in one.collect()} == {"a", "a."}
