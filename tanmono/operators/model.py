@@ -24,8 +24,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(table(spark, sf_dir, "sources"), ["id", "series", "season", "episode"], version, "imported_at")
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "sentences").dropDuplicates(["id"])
+def sentences(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Each sentence once; repeated rows are equal in all columns.
+
+    With columns named, these are the keys of a hash aggregation, which suits text; without, the id is the key and the scan reads
+    just what later steps use, which suits numbers.
+    """
+    rows = table(spark, sf_dir, "sentences")
+    return rows.select(*columns).distinct() if columns else rows.dropDuplicates(["id"])
 
 
 def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tanmono.plans.storage import materialize
+
 
 def with_previous(df: DataFrame, group: list[str], order: list[str], chunk: Column, values: list[str], name: str = "prev") -> DataFrame:
     """df with the struct name of the preceding row's values, null for a group's first row.
@@ -22,7 +24,8 @@ def with_previous(df: DataFrame, group: list[str], order: list[str], chunk: Colu
     before = F.lag("_last").over(Window.partitionBy(*group).orderBy("_chunk"))
     carried = last.withColumn("_before", before).select(*group, "_chunk", "_before")
     joined = df.join(carried, [*group, "_chunk"], "left")
-    return joined.withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(name))).drop("_first", "_before", "_chunk")
+    joined = joined.withColumn(name, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(name))).drop("_first", "_before", "_chunk")
+    return materialize(joined, "previous")  # the next step reads it for its rows and for the ends of its chunks
 
 
 def with_island(df: DataFrame, group: list[str], order: list[str], chunk: Column, starts: Column, key: str, name: str = "island") -> DataFrame:

@@ -16,7 +16,7 @@ from tanmono.streaming import state
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = model.sentences(spark, sf_dir).filter("japanese <> ''").select("id", tx.clean_text("japanese").alias("text"))
+    lines = model.sentences(spark, sf_dir, "id", "japanese").filter("japanese <> ''").select("id", tx.clean_text("japanese").alias("text"))
     return tokens.default_tokens(lines, "id", "text")
 
 
@@ -43,7 +43,7 @@ FROM k GROUP BY lemma, reading"""
 
 def target_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a learner sees as target: the literal span for words in dictionary form, else the surface."""
-    lines = model.sentences(spark, sf_dir).select(F.col("id").alias("sentence_id"), "japanese")
+    lines = model.sentences(spark, sf_dir, "id", "japanese").withColumnRenamed("id", "sentence_id")
     rows = model.occurrences(spark, sf_dir).join(lines, "sentence_id")
     start, end = tokens.literal_span(F.col("japanese"), F.col("surface"))
     lexical = F.col("lexeme_id") % 3 != 0

@@ -17,8 +17,8 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The model as tables with the columns that ranking reads, for queries that read it several times."""
-    occ, sen, lex = _model(spark, sf_dir)
-    sen = sen.select("id", "source_id", "cue_index", "japanese", "english")
+    occ, _, lex = _model(spark, sf_dir)
+    sen = model.sentences(spark, sf_dir, "id", "source_id", "cue_index", "japanese", "english")
     lex = lex.select("id", "lexeme_key", "lemma", "reading", "part_of_speech", "gloss", "dictionary_status", "known_at")
     return materialize(occ, "occ"), materialize(sen, "sen"), materialize(lex, "lex")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tanmono.functions import text as tx
 from tanmono.operators import cues, model
 from tanmono.plans import sql
+from tanmono.plans.storage import materialize
 from tanmono.session import table
 from tanmono.sources import subtitles
 
@@ -36,7 +37,7 @@ FROM parts WHERE {sql.clean("array_to_string(lines[timing + 1:], ' ')")} <> ''
 
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.sentences(spark, sf_dir).select("id", tx.clean_text("japanese").alias("japanese"), tx.clean_text("english").alias("english"))
+    return model.sentences(spark, sf_dir, "id", "japanese", "english").select("id", tx.clean_text("japanese").alias("japanese"), tx.clean_text("english").alias("english"))
 
 
 CLEAN_LINES = f"SELECT DISTINCT id, {sql.clean('japanese')} AS japanese, {sql.clean('english')} AS english FROM sentences"
@@ -71,7 +72,7 @@ POS_LABELS = "SELECT part_of_speech, CASE part_of_speech " + " ".join(f"WHEN '{k
 
 
 def english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model.sentences(spark, sf_dir).select("source_id", F.explode(tx.english_words("english")).alias("word"))
+    rows = model.sentences(spark, sf_dir, "id", "source_id", "english").select("source_id", F.explode(tx.english_words("english")).alias("word"))
     return rows.groupBy("source_id", "word").agg(F.count("*").alias("n_sentences"))
 
 
@@ -93,7 +94,7 @@ SELECT id, label, concat_ws('::', series, label) AS deck, concat_ws(' ', replace
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = model.sentences(spark, sf_dir).select(F.col("id").alias("sentence_id"), "japanese")
+    lines = model.sentences(spark, sf_dir, "id", "japanese").withColumnRenamed("id", "sentence_id")
     rows = model.occurrences(spark, sf_dir).join(lines, "sentence_id")
     at = F.position(F.col("surface"), F.col("japanese")) - 1
     known = F.col("lexeme_id") % 2 == 0  # every second one has a span, the others are found by their text
@@ -126,13 +127,13 @@ HIGHLIGHT_TEXT = _marked_sql("highlighted", """('<span class="target-answer">' |
 
 
 def _track(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    rows = model.sentences(spark, sf_dir)
+    rows = model.sentences(spark, sf_dir, "id", "source_id", "cue_index", "start_ms", "end_ms", text)
     rows = rows.select("id", F.col("source_id").alias("source"), F.col("cue_index").alias("cue"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.col(text).alias("text"))
     return rows.filter("text <> ''")
 
 
 def merged_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cues.merge_continuations(_track(spark, sf_dir, "japanese").drop("id"))
+    return cues.merge_continuations(materialize(_track(spark, sf_dir, "japanese").drop("id"), "track"))
 
 
 MERGED_CUES = rf"""
@@ -150,7 +151,7 @@ def _two_tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """The cues of sources that keep their tracks apart."""
     apart = table(spark, sf_dir, "sentences").filter("japanese = ''").select(F.col("source_id").alias("source")).distinct()
     ja, en = (_track(spark, sf_dir, c).join(apart, "source", "left_semi") for c in ("japanese", "english"))
-    return ja, en
+    return materialize(ja, "track"), materialize(en, "track")
 
 
 _TRACKS = """
