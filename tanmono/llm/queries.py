@@ -131,6 +131,12 @@ marked AS (
 """
 
 
+_WINDOWS = """
+WITH starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS p FROM documents WHERE length(text) >= 240),
+windows AS (SELECT doc_id, p, md5_number(substr(text, p, 240)) AS w FROM starts)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_forms": p1_forms,
@@ -153,6 +159,12 @@ def oracle_sql() -> dict[str, str]:
                            WHERE rank_score IS NOT NULL AND NOT isnan(rank_score) GROUP BY ALL)
             SELECT source_id, lexeme_id FROM pairs
             QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY s DESC, lexeme_id) <= 20""",
+        "p8_found": _WINDOWS + """, held AS (SELECT DISTINCT doc_id, w FROM windows)
+            SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM held a JOIN held b USING (w) WHERE a.doc_id < b.doc_id""",
+        "p8_shared": _WINDOWS + """, common AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+            spots AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM windows SEMI JOIN common USING (w)),
+            sums AS (SELECT doc_id, sum(least(240, coalesce(following - p, 240))) AS n FROM spots GROUP BY doc_id)
+            SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_shared FROM documents LEFT JOIN sums USING (doc_id)""",
         "p5_found": _LEMMAS + """SELECT lemma, 'rare' AS mark FROM marked WHERE rare
             UNION ALL SELECT lemma, 'common' FROM marked WHERE common""",
         "p5_counts": _LEMMAS + """SELECT DISTINCT l.lemma, coalesce(total, 0) AS total, coalesce(n_sentences, 0) AS n_sentences,
