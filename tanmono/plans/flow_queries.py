@@ -67,16 +67,17 @@ SELECT id, substr(sha256(concat_ws('|', video_path, s, e)), 1, 20) || '.mp3' AS
 
 
 def card_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored queue as the plan; every fourth lexeme has a card, every eighth one with reviews."""
+    """The stored queue as the plan; defined lexemes have a card, known ones with reviews."""
     plan = table(spark, sf_dir, "source_queue").groupBy("lexeme_id").agg(F.min("example_sentence_id").alias("sentence_id"))
-    held = model.lexemes(spark, sf_dir).filter("id % 4 = 0").select(F.col("id").alias("lexeme_id"), (F.col("id") * 10).alias("card_id"), F.lit(0).cast("bigint").alias("reps"))
-    pulled = held.filter("lexeme_id % 8 = 0").select("card_id", F.lit(3).cast("bigint").alias("reps"))
+    lex = model.lexemes(spark, sf_dir).filter("dictionary_status = 'matched'")
+    held = lex.select(F.col("id").alias("lexeme_id"), (F.col("id") * 10).alias("card_id"), F.lit(0).cast("bigint").alias("reps"))
+    pulled = lex.filter("known_at IS NOT NULL").select((F.col("id") * 10).alias("card_id"), F.lit(3).cast("bigint").alias("reps"))
     return cards.actions(plan, cards.learned(held, pulled))
 
 
 CARD_ACTIONS = f"""WITH {sql.MODEL}, p AS (SELECT lexeme_id, min(example_sentence_id) AS sentence_id FROM source_queue GROUP BY 1)
-SELECT lexeme_id, sentence_id, CASE WHEN lexeme_id % 4 = 0 AND lexeme_id IN (SELECT id FROM lex) THEN 'move' ELSE 'add' END AS action FROM p
-WHERE NOT (lexeme_id % 8 = 0 AND lexeme_id IN (SELECT id FROM lex))"""
+SELECT lexeme_id, sentence_id, CASE WHEN lexeme_id IN (SELECT id FROM lex WHERE dictionary_status = 'matched') THEN 'move' ELSE 'add' END AS action FROM p
+WHERE lexeme_id NOT IN (SELECT id FROM lex WHERE dictionary_status = 'matched' AND known_at IS NOT NULL)"""
 
 
 def clean_selection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,15 +163,15 @@ SELECT vec_id, CASE WHEN n < 1 THEN 'insufficient_evidence'
 
 
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts to encode when the vectors of every even source are in the cache."""
-    lines = model.sentences(spark, sf_dir).filter("english <> ''")
+    """Texts to encode when the vectors of all aligned lines are in the cache."""
+    lines = model.sentences(spark, sf_dir, "id", "japanese", "english").filter("english <> ''")
     texts = lines.select(F.lit("encoder").alias("model"), F.lit("query").alias("role"), F.col("english").alias("text"))
-    cached = lines.filter("source_id % 2 = 0").select(F.lit("encoder").alias("model"), F.lit("query").alias("role"), F.sha2("english", 256).alias("text_hash"))
+    cached = lines.filter("japanese <> ''").select(F.lit("encoder").alias("model"), F.lit("query").alias("role"), F.sha2("english", 256).alias("text_hash"))
     return semantics.cache_misses(texts, cached).select("role", "text_hash")
 
 
 CACHE_MISSES = """SELECT DISTINCT 'query' AS role, sha256(english) AS text_hash FROM sentences WHERE english <> ''
-AND english NOT IN (SELECT english FROM sentences WHERE source_id % 2 = 0 AND english <> '')"""
+AND english NOT IN (SELECT english FROM sentences WHERE japanese <> '' AND english <> '')"""
 
 
 def _votes(lex: DataFrame) -> DataFrame:
@@ -277,16 +277,16 @@ CLEAN_CARDS = _CARDS + " SELECT card FROM crit GROUP BY card HAVING NOT bool_or(
 
 
 def review_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of every card whose lexeme's number ends in 0 to 3; the last digit tells the verdict."""
+    """Reviews of all cards; the last digit of a lexeme's number stands in for the reviewer's verdict."""
     rows = _criteria(spark, sf_dir)
     digit = F.substring("card", -1, 1).cast("int")
     verdict = F.when(digit == 0, "flag").when(digit == 1, "uncertain").otherwise("pass")
-    reviews = rows.filter(digit <= 3).select("card", "code", verdict.alias("verdict"))
+    reviews = rows.select("card", "code", verdict.alias("verdict"))
     return audit.agreement(rows, reviews)
 
 
 REVIEW_AGREEMENT = _CARDS + """, r AS (SELECT *, CASE right(card, 1) WHEN '0' THEN 'flag' WHEN '1' THEN 'uncertain' ELSE 'pass' END AS verdict,
-  CASE status WHEN 'flagged' THEN 'flag' WHEN 'passed' THEN 'pass' ELSE '' END AS automatic FROM crit WHERE right(card, 1) IN ('0', '1', '2', '3'))
+  CASE status WHEN 'flagged' THEN 'flag' WHEN 'passed' THEN 'pass' ELSE '' END AS automatic FROM crit)
 SELECT code, count(*) AS reviewed, count(*) FILTER (automatic = verdict) AS agreements, count(*) FILTER (automatic = 'pass' AND verdict = 'flag') AS missed,
 count(*) FILTER (automatic = 'flag' AND verdict = 'pass') AS false_alarms, count(*) FILTER (automatic <> verdict AND verdict = 'uncertain') AS uncertain FROM r GROUP BY code"""
 

@@ -147,27 +147,37 @@ def known_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN_FIRST_EVENT = "SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"
 
 
+def _reimported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id) of sources that came in more than once."""
+    counts = table(spark, sf_dir, "sources").groupBy(F.col("id").alias("source_id")).agg(F.count_distinct("imported_at").alias("n"))
+    return counts.filter("n > 1").select("source_id")
+
+
+_REIMPORTED = "again AS (SELECT id AS source_id FROM sources GROUP BY id HAVING count(DISTINCT imported_at) > 1)"
+
+
 def replaced_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences per source after every third source came in again with only its first half."""
-    sen = model.sentences(spark, sf_dir).select("id", "source_id", "cue_index")
-    fresh = sen.filter("source_id % 3 = 0 AND cue_index % 2 = 0")
+    """Sentences per source after re-imported sources were replaced by those of their lines that have a translation."""
+    sen = model.sentences(spark, sf_dir, "id", "source_id", "cue_index", "english")
+    fresh = sen.join(_reimported(spark, sf_dir), "source_id", "left_semi").filter("english <> ''").select(sen.columns)
     return model.replaced(sen, fresh, "source_id").groupBy("source_id").agg(F.count("*").alias("n"), F.sum("cue_index").alias("cues"))
 
 
-REPLACED_SOURCES = f"""WITH {sql.MODEL}, f AS (SELECT * FROM sen WHERE source_id % 3 = 0 AND cue_index % 2 = 0)
+REPLACED_SOURCES = f"""WITH {sql.MODEL}, {_REIMPORTED}, f AS (SELECT sen.* FROM sen SEMI JOIN again USING (source_id) WHERE english <> '')
 SELECT source_id, count(*) AS n, CAST(sum(cue_index) AS BIGINT) AS cues FROM (SELECT source_id, cue_index FROM sen WHERE source_id NOT IN (SELECT source_id FROM f)
 UNION ALL SELECT source_id, cue_index FROM f) GROUP BY 1"""
 
 
 def kept_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans by source that no re-imported source touches; the stored queue stands for the plans, late sentences for re-imports."""
-    queue = table(spark, sf_dir, "source_queue").select(F.col("source_id").alias("batch_id"), F.col("example_sentence_id").alias("sentence_id"))
-    late = model.sentences(spark, sf_dir).filter("id % 1000 = 7").select(F.col("id").alias("sentence_id"))
-    return model.without_batches(queue.select("batch_id").distinct(), queue, late)
+    """Plans, one for each lexeme's cards in the stored queue, that no re-imported source touches."""
+    queue = table(spark, sf_dir, "source_queue").select(F.col("lexeme_id").alias("batch_id"), F.col("example_sentence_id").alias("sentence_id"))
+    lines = model.sentences(spark, sf_dir).select(F.col("id").alias("sentence_id"), "source_id")
+    changed = lines.join(_reimported(spark, sf_dir), "source_id", "left_semi")
+    return model.without_batches(queue.select("batch_id").distinct(), queue, changed)
 
 
-KEPT_BATCHES = f"""WITH {sql.MODEL} SELECT DISTINCT source_id AS batch_id FROM source_queue WHERE source_id NOT IN (
-SELECT q.source_id FROM source_queue q JOIN sen ON sen.id = example_sentence_id WHERE sen.id % 1000 = 7)"""
+KEPT_BATCHES = f"""WITH {sql.MODEL}, {_REIMPORTED} SELECT DISTINCT lexeme_id AS batch_id FROM source_queue WHERE lexeme_id NOT IN (
+SELECT q.lexeme_id FROM source_queue q JOIN sen ON sen.id = example_sentence_id JOIN again ON again.source_id = sen.source_id)"""
 
 
 _EXAMPLES = f"""
