@@ -133,7 +133,7 @@ def aligned(spark, cue, translations):
 
 
 def test_alignment(spark):
-    assert aligned(spark, (1000, 3000), [(0, 900, "before"), (1000, 2900, "same"), (3000, 4000, "after")]) == ["same"]
+    assert aligned(spark, (1000, 3000), [(0, 900, "Before."), (1000, 2900, "Same."), (3000, 4000, "After.")]) == ["Same."]
     assert aligned(spark, (1000, 3000), [(900, 1900, "first part,"), (1950, 3000, "second part.")]) == ["first part, second part."]
     assert aligned(spark, (1000, 3000), [(0, 1100, "weak."), (2900, 9000, "Also weak.")]) == ["weak."]
     assert aligned(spark, (1000, 3000), [(1000, 2000, "Twice."), (2200, 3000, "Twice.")]) == ["Twice."]
