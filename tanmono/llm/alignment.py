@@ -4,7 +4,8 @@ The aligned lines of the collection are paired documents, and each is a concept.
 that contain it, reduced to the SKETCH ones of least hash, which are the same ones for a term and its translation. The
 cosine of two such vectors is a sparse join on the concept. A sentence is the sum of its terms, so the cosine of two
 sentences is a join of their terms through the cosines of terms. Pairs are kept where the two sentences, or windows
-of up to three neighbours on one side, are each other's best, near the time that the source's surest pairs foretell.
+of up to three neighbours on one side, are each other's best; the time by which they miss the place that the source's
+surest pairs foretell only lowers their score, so reordered lines are found.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ SKETCH = 12
 LEAST_COSINE = 0.3
 #: Width of the blocks of time in which lines meet; a line meets those of its own and the two neighbouring blocks.
 BLOCK_MS = 300_000
-#: Time by which a line may miss its foretold place.
-SLACK_MS = 5_000
 #: Least share of a line's terms, of either side, that the other must translate.
 LEAST_SHARE = 0.45
 
@@ -181,7 +180,7 @@ def translation_pairs(lines: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("score", 2 * F.col("share_ja") * F.col("share_en") / (F.col("share_ja") + F.col("share_en")))
     placed = materialize(_foretold(pairs), "pairs")
     release(lines.sparkSession, cosines, rows, ja, en)
-    return best_spans(placed.filter(F.col("late") <= SLACK_MS))
+    return best_spans(placed)
 
 
 def best_spans(pairs: DataFrame) -> DataFrame:

@@ -118,6 +118,37 @@ def test_alignment_finds_shifted_and_merged_lines(spark):
     assert alignment.translation_pairs(df.limit(0)).count() == 0
 
 
+def _unaligned(seed: int, cues: int, step: int, length: int, place, order=None):
+    """Lines of paired sources and of an unaligned source 9, and its true pairs; place: time to time on the English track."""
+    rng = random.Random(seed)
+    kanji = [chr(0x4E00 + i) for i in range(0, 3000, 7)]
+    letters = string.ascii_lowercase
+    words = [("".join(rng.sample(kanji, 3)), "".join(rng.sample(letters, 6)) + " " + "".join(rng.sample(letters, 5))) for _ in range(60)]
+    said = lambda some: ("は".join(w[0] for w in some), " of the ".join(w[1] for w in some))
+    lines = []
+    for n in range(1, 401):
+        lines.append((n, n // 60, n % 60, n % 60 * 3000, n % 60 * 3000 + 2000, *said(rng.sample(words, 3))))
+    texts = [said(rng.sample(words, 4)) for _ in range(cues)]
+    for cue, (text, _) in enumerate(texts):
+        lines.append((1001 + cue, 9, cue, cue * step, cue * step + length, text, None))
+    for cue, i in enumerate(order or range(cues)):
+        at = place(cue * step)
+        lines.append((5001 + i, 9, cues + 50 + cue, at, at + length, "", texts[i][1]))
+    return lines, {(1001 + i, 5001 + i) for i in range(cues)}
+
+
+_LINES = "id long, source long, cue int, start long, end long, ja_text string, en_text string"
+
+
+def test_alignment_finds_swapped_long_cues(spark):
+    order = list(range(40))
+    for i in range(5, 35, 6):  # each misses its place by 8 s
+        order[i], order[i + 1] = order[i + 1], order[i]
+    lines, expected = _unaligned(5, 40, 12_000, 4_000, lambda at: at + 2_000, order)
+    got = {(r.ja, r.en) for r in alignment.translation_pairs(spark.createDataFrame(lines, _LINES)).collect()}
+    assert got == expected
+
+
 # Problem 4
 
 
