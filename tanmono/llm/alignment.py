@@ -26,8 +26,12 @@ from tanmono.plans.storage import materialize, release
 SKETCH = 12
 #: Least cosine of two terms.
 LEAST_COSINE = 0.3
-#: Width of the blocks of time in which lines meet; a line meets those of its own and the two neighbouring blocks.
+#: Width of the blocks of time in which lines meet; a line meets those of its own and the two neighbouring blocks, at its
+#: own time and at the time that the drift of its source gives.
 BLOCK_MS = 300_000
+#: Step of the drifts that are told apart, and the votes that a drift needs.
+DRIFT_MS = 30_000
+LEAST_VOTES = 3
 #: Least share of a line's terms, of either side, that the other must translate.
 LEAST_SHARE = 0.45
 
@@ -108,11 +112,40 @@ def _track(rows: DataFrame, text: str, terms: Column, side: str) -> DataFrame:
     )
 
 
+def _rare(track: DataFrame, side: str, term: str) -> DataFrame:
+    """(source, term, from_side): the times of the terms that one or two lines of a source's track hold."""
+    terms = track.select("source", F.explode("terms").alias(term), f"from_{side}")
+    times = terms.groupBy("source", term).agg(F.count("*").alias("n"), F.min(f"from_{side}").alias("a"), F.max(f"from_{side}").alias("b"))
+    return times.filter("n <= 2").select("source", term, F.explode(F.array_distinct(F.array("a", "b"))).alias(f"from_{side}"))
+
+
+def _drifts(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
+    """(source, block, drifts): by how much the lines of a block of the English track are later than their Japanese lines.
+
+    Rare terms that translate each other meet anywhere in a source and vote for a drift, in the block of the English time
+    and its neighbours. A block without a drift of LEAST_VOTES takes those of the nearest blocks before and after.
+    """
+    met = _rare(ja, "ja", "t").join(cosines.select(F.col("ja").alias("t"), F.col("en").alias("u")), "t").join(_rare(en, "en", "u"), ["source", "u"])
+    drift, block = F.col("from_en") - F.col("from_ja"), F.expr(f"from_en div {BLOCK_MS}")
+    step = F.floor(drift / DRIFT_MS)
+    votes = met.select("source", F.explode(F.array(block - 1, block, block + 1)).alias("block"), drift.alias("drift"), F.array(step - 1, step).alias("steps"))
+    votes = votes.select("source", "block", "drift", F.explode("steps").alias("step")).groupBy("source", "block", "step")
+    votes = votes.agg(F.count("*").alias("n"), F.avg("drift").cast("long").alias("drift")).filter(F.col("n") >= LEAST_VOTES)
+    best = votes.groupBy("source", "block").agg(F.max(F.struct("n", "drift")).getField("drift").alias("drift"))
+    order = Window.partitionBy("source").orderBy("block")
+    before = F.last("drift", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("drift", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    blocks = en.select("source", "block").distinct().join(best, ["source", "block"], "left")
+    return blocks.select("source", "block", F.array_compact(F.array(F.lit(0).cast("long"), before, after)).alias("drifts"))
+
+
 def _similarities(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
     """(source, ja, en, times, cues, got_ja, got_en): lines of a source, and which of their terms translate each other."""
+    near = F.flatten(F.transform("drifts", lambda d: F.sequence(F.floor((F.col("from_en") - d) / BLOCK_MS) - 1, F.floor((F.col("from_en") - d) / BLOCK_MS) + 1)))
+    en = en.join(_drifts(ja, en, cosines), ["source", "block"]).withColumn("blocks", F.array_distinct(near)).drop("drifts")
     left = ja.withColumn("t", F.explode("terms")).drop("terms")
     left = left.join(cosines.withColumnRenamed("ja", "t").withColumnRenamed("en", "u"), "t")
-    right = en.withColumn("u", F.explode("terms")).drop("terms").withColumn("block", F.explode(F.expr("array(block - 1, block, block + 1)")))
+    right = en.withColumn("u", F.explode("terms")).drop("terms").withColumn("block", F.explode("blocks")).drop("blocks")
     met = left.join(right, ["source", "block", "u"])
     lines = ["source", "ja", "en", "cue_ja", "cue_en", "from_ja", "to_ja", "from_en", "to_en"]
     met = met.groupBy(*lines, "t").agg(F.max(F.struct("cosine", "u", "w_ja", "w_en")).alias("m"))
