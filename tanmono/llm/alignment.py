@@ -1,8 +1,8 @@
 """Problem 3: sentences of two tracks that translate each other, by similarity to shared paired documents.
 
-The aligned lines of the collection are paired documents, and each is a concept. A term is represented by the concepts
-that contain it, reduced to the SKETCH ones of least hash, which are the same ones for a term and its translation. The
-cosine of two such vectors is a sparse join on the concept. A sentence is the sum of its terms, so the cosine of two
+The aligned lines of the collection are paired documents, and each is a concept. A term is represented by all concepts
+that contain it. The cosine of two such vectors comes from the number of concepts in which the two terms meet, added up
+over the pairs of terms of every concept. A sentence is the sum of its terms, so the cosine of two
 sentences is a join of their terms through the cosines of terms. Pairs are kept where the two sentences, or windows
 of up to three neighbours on one side, are each other's best; the time by which they miss the place that the source's
 surest pairs foretell only lowers their score, so reordered lines are found.
@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 
 from tanmono.plans.storage import materialize, release
 
-#: Concepts that represent a term.
-SKETCH = 12
 #: Least cosine of two terms.
 LEAST_COSINE = 0.3
 #: Width of the blocks of time in which lines meet; a line meets those of its own and the two neighbouring blocks, at its
@@ -80,25 +78,21 @@ def _ids(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.xxhash64(t))
 
 
-def _sketches(pairs: DataFrame, terms: Column, name: str) -> DataFrame:
-    """(name, concept, size, idf): the least concepts of each term. A common term is cut down before the shuffle."""
-    rows = pairs.select(F.explode(_ids(terms)).alias(name), "concept")
-    order = Window.partitionBy(name).orderBy("concept")
-    rows = rows.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= SKETCH).select(name, "concept").distinct()
-    sizes = rows.groupBy(name).agg(F.count("*").alias(f"size_{name}"), F.max("concept").alias("top"))
-    # The least hashes of many rows lie close together: that tells how many rows there are.
-    share = (F.col("top").cast("double") + 2.0**63) / 2.0**64
-    rows_of_term = F.when(F.col(f"size_{name}") < SKETCH, F.col(f"size_{name}")).otherwise((SKETCH - 1) / share)
-    sizes = sizes.select(name, f"size_{name}", (1 / (1 + F.log1p(rows_of_term) / 6)).alias(f"w_{name}"))
-    return rows.join(sizes, name)
+def _sizes(docs: DataFrame, name: str) -> DataFrame:
+    """(name, size, w): the number of concepts of each term, and its weight."""
+    sizes = docs.select(F.explode(name).alias(name)).groupBy(name).agg(F.count("*").alias(f"size_{name}"))
+    return sizes.withColumn(f"w_{name}", 1 / (1 + F.log1p(f"size_{name}") / 6))
 
 
 def term_cosines(pairs: DataFrame) -> DataFrame:
     """(ja, en, cosine, w_ja, w_en) from paired documents (id, a, b); w falls with the number of documents of a term."""
-    docs = pairs.select(F.xxhash64("id").alias("concept"), _ja("a").alias("ja"), _en("b").alias("en"))
-    docs = materialize(docs, "concepts")
-    ja, en = _sketches(docs, F.col("ja"), "ja"), _sketches(docs, F.col("en"), "en")
-    both = ja.join(en, "concept").groupBy("ja", "en", "size_ja", "size_en", "w_ja", "w_en").agg(F.count("*").alias("n"))
+    docs = pairs.select(F.xxhash64("id").alias("concept"), _ids(_ja("a")).alias("ja"), _ids(_en("b")).alias("en")).distinct()
+    docs = materialize(docs.select("ja", "en"), "concepts")
+    met = docs.select(F.explode("ja").alias("ja"), "en").select("ja", F.explode("en").alias("en"))
+    met = met.groupBy("ja", "en").agg(F.count("*").alias("n"))
+    # A term has at least the n concepts of its pair, which bounds the cosine before the other size is known.
+    met = met.join(_sizes(docs, "ja"), "ja").filter(F.col("n") / (F.sqrt(F.col("size_ja") * F.col("n")) + 0.5) >= LEAST_COSINE)
+    both = met.join(_sizes(docs, "en"), "en")
     cosine = F.col("n") / (F.sqrt(F.col("size_ja") * F.col("size_en")) + 0.5)
     out = materialize(both.select("ja", "en", cosine.alias("cosine"), "w_ja", "w_en").filter(F.col("cosine") >= LEAST_COSINE), "cosines")
     release(pairs.sparkSession, docs)

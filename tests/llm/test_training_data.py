@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tanmono.llm import alignment, copies, leaks, lookalikes, packing, spans, term_counts, top_items
 
@@ -156,6 +157,25 @@ def test_alignment_follows_a_drift_beyond_the_blocks(spark):
     assert len(got & expected) >= 0.97 * len(expected) and len(got - expected) <= 3
 
 
+def test_term_cosines_are_of_all_lines(spark):
+    rng = random.Random(11)
+    ja, en = [f"{a}{b}" for a in "春夏秋冬" for b in "山川海空"], [f"{c}q" for c in string.ascii_lowercase[:16]]
+    docs = []
+    for n in range(300):
+        some = [i for i in range(16) if rng.random() < (i + 1) / 20]
+        docs.append((n, "は".join(ja[i] for i in some), " of the ".join(en[i] for i in some if rng.random() < 0.7)))
+    known = {spark.range(1).select(F.xxhash64(F.lit(w))).first()[0]: w for w in (*ja, *en)}
+    at = lambda k: collections.Counter((w, n) for n, *texts in docs for w in texts[k].replace(" of the ", "は").split("は") if w)
+    lines = [collections.defaultdict(set), collections.defaultdict(set)]
+    for k in (0, 1):
+        for w, n in at(k):
+            lines[k][w].add(n)
+    exact = {(a, b): len(x & y) / ((len(x) * len(y)) ** 0.5 + 0.5) for a, x in lines[0].items() for b, y in lines[1].items()}
+    df = spark.createDataFrame([*docs, docs[250]], "id long, a string, b string")  # a repeated row counts once
+    got = {(known[r.ja], known[r.en]): r.cosine for r in alignment.term_cosines(df).collect()}
+    assert got == pytest.approx({k: v for k, v in exact.items() if v >= alignment.LEAST_COSINE})
+
+
 # Problem 4
 
 
