@@ -88,6 +88,13 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select(F.col("value").alias("lemma"), "total", F.col("records").alias("n_sentences"), "rare", "common")
 
 
+def p5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of up to three words of the English lines, words being what stands between blanks."""
+    lines = table(spark, sf_dir, "sentences").select("id", "english").filter("english <> ''").distinct()
+    counts = p5.ngram_counts(lines.select(F.split("english", " ").alias("words")), "words", 3)
+    return counts.select(F.translate("ngram", p5.UNIT, " ").alias("ngram"), "n", "total", F.col("records").alias("n_sentences"))
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in its containers; sizes by the byte-level tokenizer: a token a byte and one at the end."""
     docs = table(spark, sf_dir, "documents")
@@ -143,7 +150,7 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_records": p2_records,
         "p3_found": p3_found,
         "p4_found": p4_found,
-        "p5_found": p5_found, "p5_counts": p5_counts,
+        "p5_found": p5_found, "p5_counts": p5_counts, "p5_ngrams": p5_ngrams,
         "p6_packing": p6_packing,
         "p7_found": p7_found,
         "p8_found": p8_found, "p8_shared": p8_shared,
@@ -165,6 +172,12 @@ def oracle_sql() -> dict[str, str]:
             spots AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM windows SEMI JOIN common USING (w)),
             sums AS (SELECT doc_id, sum(least(240, coalesce(following - p, 240))) AS n FROM spots GROUP BY doc_id)
             SELECT doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_shared FROM documents LEFT JOIN sums USING (doc_id)""",
+        "p5_ngrams": """
+            WITH lines AS (SELECT DISTINCT id, string_split(english, ' ') AS w FROM sentences WHERE english <> ''),
+            starts AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS p FROM lines),
+            grams AS (SELECT id, array_to_string(w[p : p + n - 1], ' ') AS ngram, n
+                      FROM starts, (VALUES (1), (2), (3)) AS sizes(n) WHERE p + n - 1 <= len(w))
+            SELECT ngram, n, count(*) AS total, count(DISTINCT id) AS n_sentences FROM grams GROUP BY ngram, n""",
         "p5_found": _LEMMAS + """SELECT lemma, 'rare' AS mark FROM marked WHERE rare
             UNION ALL SELECT lemma, 'common' FROM marked WHERE common""",
         "p5_counts": _LEMMAS + """SELECT DISTINCT l.lemma, coalesce(total, 0) AS total, coalesce(n_sentences, 0) AS n_sentences,

@@ -1,16 +1,19 @@
 """The training-data operators against brute force, and their defined results for awkward rows."""
 
 import collections
+import os
 import random
 import string
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tanmono.llm import alignment, copies, leaks, lookalikes, packing, spans, term_counts, top_items
+from tanmono.llm import alignment, copies, leaks, lookalikes, packing, queries, spans, term_counts, top_items
 
 
 def rows(df):
@@ -227,6 +230,17 @@ def test_ngram_counts_against_brute_force(spark):
     assert {r.ngram: (r.total, r.records) for r in got.collect()} == {g: (total[g], held[g]) for g in total}
 
 
+DATA = Path(os.environ.get("TANMONO_TEST_DATA", "/root/testdata/sf0.001"))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_ngrams_of_whole_tables(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW sentences AS FROM '{DATA}/sentences.parquet'")
+    got = queries.queries()["p5_ngrams"](spark, str(DATA)).select("ngram", "n", "total", "n_sentences")
+    assert rows(got) == sorted(con.execute(queries.oracle_sql()["p5_ngrams"]).fetchall(), key=repr)
+
+
 # Problem 6
 
 
