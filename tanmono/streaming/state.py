@@ -49,9 +49,14 @@ def first_events(events: DataFrame, key: str, time: str) -> DataFrame:
     return drained(counts, "update", "first-events", merge)
 
 
-def window_counts(events: DataFrame, kind: str, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(kind, start, n): events per window; the watermark lets go of the state of windows that end that long before the latest event."""
-    timed = events.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
+def window_counts(events: DataFrame, kind: str, time: str, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """(kind, start, n): events per window, whatever the order of arrival.
+
+    With late, a watermark lets go of the state of windows that end that long before the latest event, and events that
+    arrive after that are not counted; without it, every window is kept.
+    """
+    timed = events.withColumn("_t", F.col(time).cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark("_t", late)
     counts = timed.groupBy(F.window("_t", width).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
 
     def merge(before: DataFrame | None, batch: DataFrame) -> DataFrame:

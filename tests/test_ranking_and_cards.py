@@ -1,14 +1,18 @@
 """Difficulty, plans, decisions, votes, audits, cards, sinks and streams."""
 
 import csv
+import datetime as dt
 import os
 import json
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tanmono.operators import audit, cards, dictionary, model, ranking, semantics, tokens
+from tanmono.plans import flow_queries
 from tanmono.plans.storage import materialize, publish, release, shared_dir
 from tanmono.sinks import card_service, reports
 from tanmono.sources import subtitles
@@ -268,3 +272,15 @@ def test_identity_of_tokens(spark):
     assert got == {("a", "b"): "b", ("c", "b"): "c", ("a", "c"): "c", ("x", "y"): "x"}
     one = tokens.single_words(spark.createDataFrame([("ab",), ("a",), ("a.",)], "surface string"), lambda x: [{"surface": c} for c in x])
     assert {r.surface for r in one.collect()} == {"a", "a."}
+
+
+def test_event_windows_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(101):  # the last file is a third batch and holds the earliest event
+        ts = dt.datetime(2024, 1, 2, 12) if i < 100 else dt.datetime(2024, 1, 1, 3)
+        table = pa.table({"event_type": ["click"], "ts": pa.array([ts], pa.timestamp("us"))})
+        pq.write_table(table, folder / f"{i:03}.parquet")
+        os.utime(folder / f"{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {(r.event_type, r.start_s): r.n for r in flow_queries.stream_event_windows(spark, str(tmp_path)).collect()}
+    assert got == {("click", 1704196800): 100, ("click", 1704078000): 1}
