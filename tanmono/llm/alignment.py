@@ -34,6 +34,8 @@ LEAST_VOTES = 3
 LEAST_SHARE = 0.45
 
 _JA_TERM = re.compile("[一-鿿㐀-䶿豈-﫿々]{2,}|[ァ-ヺー・]{2,}|[0-9A-Za-zÀ-ɏ]{3,}")
+#: Terms of a line that has none of the above.
+_JA_SHORT = re.compile("[一-鿿㐀-䶿豈-﫿々]|[ぁ-ゖー]+|[ァ-ヺ]|[0-9A-Za-zÀ-ɏ]+")
 _EN_WORD = re.compile(r"[0-9a-zà-ɏ]+(?:['’][a-z]+)?|[^\s0-9a-zà-ɏ]")
 #: English words that carry no content of their own.
 FUNCTION_WORDS = frozenset(
@@ -46,8 +48,9 @@ FUNCTION_WORDS = frozenset(
 
 
 def ja_terms(text: str | None) -> list[str]:
-    """Runs of kanji, of katakana and of Latin letters."""
-    return sorted(set(_JA_TERM.findall(unicodedata.normalize("NFKC", text or "")))) if text else []
+    """Runs of kanji, of katakana and of Latin letters; in a line without any, runs of hiragana and what is shorter."""
+    text = unicodedata.normalize("NFKC", text or "")
+    return sorted(set(_JA_TERM.findall(text) or _JA_SHORT.findall(text)))
 
 
 def en_terms(text: str | None) -> list[str]:

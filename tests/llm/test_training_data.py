@@ -179,6 +179,17 @@ def test_term_cosines_are_of_all_lines(spark):
     assert got == pytest.approx({k: v for k, v in exact.items() if v >= alignment.LEAST_COSINE})
 
 
+def test_alignment_of_lines_in_hiragana(spark):
+    assert alignment.ja_terms("ありがとう、山!") == ["ありがとう", "山"]
+    said = [("ありがとう", "Thanks!"), ("おやすみ", "Sleep well."), ("山!", "Mountain!"), ("どうぞ", "Welcome.")]
+    lines = [(n, 1, n, n * 3000, n * 3000 + 2000, *said[n % 4]) for n in range(40)]
+    for cue, (a, b) in enumerate(said):
+        lines.append((101 + cue, 9, cue, cue * 9000, cue * 9000 + 2000, a, None))
+        lines.append((201 + cue, 9, cue + 50, cue * 9000 + 100, cue * 9000 + 2100, "", b))
+    got = {(r.ja, r.en) for r in alignment.translation_pairs(spark.createDataFrame(lines, _LINES)).collect()}
+    assert got == {(101 + i, 201 + i) for i in range(4)}
+
+
 # Problem 4
 
 
