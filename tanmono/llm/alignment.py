@@ -1,117 +1,262 @@
 """Problem 3: sentences of two tracks that translate each other, by similarity to shared paired documents.
 
-The aligned lines of the collection are paired documents, and each is a concept. A term is represented by all concepts
-that contain it. The cosine of two such vectors comes from the number of concepts in which the two terms meet, added up
-over the pairs of terms of every concept. A sentence is the sum of its terms, so the cosine of two
-sentences is a join of their terms through the cosines of terms. Pairs are kept where the two sentences, or windows
-of up to three neighbours on one side, are each other's best; the time by which they miss the place that the source's
-surest pairs foretell only lowers their score, so reordered lines are found.
+The aligned lines of the collection are paired documents, and each is a concept. A term is a vector over all concepts
+that hold it; a sentence is the weighted sum of its terms' vectors, that is, of its similarities to the concepts.
+As the dot product of two such sums is the sum over pairs of terms, the cosine of two sentences is a sparse
+join of their terms through the cosines of terms, which are counted once, over all concepts. Mutual best spans, one line
+to one or to a window of neighbours merged into one vector, are the result. The time by which they miss the place that
+the source's surest pairs foretell only lowers their score, so reordered lines are found.
+
+Within a language different terms count as orthogonal, and so do two terms of the two languages whose cosine
+is under LEAST_COSINE.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tanmono.plans.storage import materialize, release
 
-#: Least cosine of two terms.
+#: Least cosine of two terms that translate each other; 0 keeps every pair of terms that meet.
 LEAST_COSINE = 0.3
+#: Least cosine of two lines of which one may translate a part of the other, and of two spans that translate each other.
+LEAST_PART, LEAST_SPAN = 0.15, 0.3
+#: Words in more than this share of the lines are the language's function words: they part phrases.
+FUNCTION_SHARE = 0.1
+#: The most frequent terms of each language whose frequencies every task knows, so that pairs that cannot reach
+#: LEAST_COSINE are not counted. Any number gives the same cosines.
+LISTED = 100_000
 #: Width of the blocks of time in which lines meet; a line meets those of its own and the two neighbouring blocks, at its
 #: own time and at the time that the drift of its source gives.
 BLOCK_MS = 300_000
 #: Step of the drifts that are told apart, and the votes that a drift needs.
 DRIFT_MS = 30_000
 LEAST_VOTES = 3
-#: Least share of a line's terms, of either side, that the other must translate.
-LEAST_SHARE = 0.45
-
-_JA_TERM = re.compile("[一-鿿㐀-䶿豈-﫿々]{2,}|[ァ-ヺー・]{2,}|[0-9A-Za-zÀ-ɏ]{3,}")
-#: Terms of a line that has none of the above.
-_JA_SHORT = re.compile("[一-鿿㐀-䶿豈-﫿々]|[ぁ-ゖー]+|[ァ-ヺ]|[0-9A-Za-zÀ-ɏ]+")
-_EN_WORD = re.compile(r"[0-9a-zà-ɏ]+(?:['’][a-z]+)?|[^\s0-9a-zà-ɏ]")
-#: English words that carry no content of their own.
-FUNCTION_WORDS = frozenset(
-    """a an the this that these those it its he she they we you i me him her us them my your his our their who whom whose
-    which what where when why how is are was were be been being am do does did done have has had having will would
-    shall should can could may might must not no nor and or but so if than then as at by for from in into near of on to
-    with about before after because while although both either neither each every all some any someone somebody
-    something more most less least such there here""".split()
-)
+#: Lines of a merged window; score lost for each line beyond the first, and for each millisecond off its place.
+MOST_LINES, LINE_COST, MS_COST = 3, 0.03, 1 / 50_000
+#: Pairs of terms that a task adds up before it hands them on.
+COMBINED = 1_500_000
+
+#: Unspaced text is cut where the script changes.
+_RUN = re.compile("[一-鿿㐀-䶿豈-﫿々〆]+|[ァ-ヺー・]+|[ぁ-ゖー]+|[^\\W_ぁ-ヿ㐀-鿿豈-﫿]+")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+
+
+def _flat(text: str | None) -> str:
+    text = text or ""
+    return (text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
+
+
+def runs(text: str | None) -> list[str]:
+    """Terms of unspaced text: its runs of one script."""
+    return _RUN.findall(_flat(text))
+
+
+def words(text: str | None) -> list[str]:
+    """Words of spaced text, in order."""
+    return _WORD.findall(_flat(text))
+
+
+def _hashed(texts: list, cut: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every term of every text, in order."""
+    terms = [cut(t) for t in texts]
+    line = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    flat = np.array([x for t in terms for x in t], object)
+    return line, pd.util.hash_array(flat).view(np.int64) if len(flat) else np.empty(0, np.int64)
+
+
+def _phrases(texts: list, function_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, hash, position, length): content words and pairs of neighbouring ones; of a line without any, all its words."""
+    line, word = _hashed(texts, words)
+    content = ~np.isin(word, function_words)
+    bare = np.bincount(line, content, minlength=len(texts)) == 0
+    first = np.flatnonzero((line[1:] == line[:-1]) & content[1:] & content[:-1]) if len(word) else np.empty(0, np.int64)
+    pair = (word[first].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (word[first + 1].view(np.uint64) >> np.uint64(7))) * np.uint64(0xBF58476D1CE4E5B9)
+    pair = (pair + word[first + 1].view(np.uint64)).view(np.int64)
+    one = np.flatnonzero(content | bare[line])
+    at = np.concatenate([one, first])
+    return line[at], np.concatenate([word[one], pair]), at, np.repeat([1, 2], [len(one), len(first)])
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_WORDS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, lines) of the spaced language; word 0 counts the lines."""
+    for batch in batches:
+        line, word = _hashed(batch.column(1).to_pylist(), words)
+        held = pd.DataFrame({"line": line, "word": word}).drop_duplicates()["word"].value_counts()
+        yield _batch(_WORDS, np.append(held.index.to_numpy(np.int64), 0), np.append(held.to_numpy(np.int64), batch.num_rows))
+
+
+_SIZES = pa.schema([("spaced", pa.bool_()), ("term", pa.int64()), ("n", pa.int64())])
+
+
+def _distinct_terms(batch: pa.RecordBatch, function_words: np.ndarray) -> list[pd.DataFrame]:
+    line, term = _hashed(batch.column(0).to_pylist(), runs)
+    spaced = _phrases(batch.column(1).to_pylist(), function_words)
+    return [pd.DataFrame({"line": a, "term": b}).drop_duplicates() for a, b in ((line, term), spaced[:2])]
+
+
+def _term_counts(function_words: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for spaced, held in enumerate(_distinct_terms(batch, function_words)):
+                sizes = held["term"].value_counts()
+                yield _batch(_SIZES, np.full(len(sizes), bool(spaced)), sizes.index.to_numpy(np.int64), sizes.to_numpy(np.int64))
+
+    return run
+
+
+_MET = pa.schema([("ja", pa.int64()), ("en", pa.int64()), ("n", pa.int64())])
 
 
-def ja_terms(text: str | None) -> list[str]:
-    """Runs of kanji, of katakana and of Latin letters; in a line without any, runs of hiragana and what is shorter."""
-    text = unicodedata.normalize("NFKC", text or "")
-    return sorted(set(_JA_TERM.findall(text) or _JA_SHORT.findall(text)))
+def _bounds(terms: np.ndarray, listed: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest number of lines that each term can be in, by the list (sorted terms, sizes, most of any other term)."""
+    names, sizes, most = listed
+    if not len(names):
+        return np.ones(len(terms)), np.full(len(terms), np.inf)
+    at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
+    known = names[at] == terms
+    return np.where(known, sizes[at], 1), np.where(known, sizes[at], most)
 
 
-def en_terms(text: str | None) -> list[str]:
-    """Pairs of neighbouring content words, and content words without such a neighbour."""
-    out, run = set(), []
-    for word in [*_EN_WORD.findall(unicodedata.normalize("NFKC", text or "").lower()), "."]:
-        if word[0].isalnum() and word not in FUNCTION_WORDS:
-            run.append(word)
-            continue
-        out.update([" ".join(p) for p in zip(run, run[1:], strict=False)] if len(run) > 1 else run)
-        run = []
-    return sorted(out)
+def _met(function_words: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray, int]], least: float):
+    """(ja, en, lines) for terms that meet in a line and may have the least cosine: that is at most the root of the ratio of sizes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _ja(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(ja_terms)
+        def added() -> pa.RecordBatch:
+            both = pd.concat(parts).groupby(["ja", "en"], sort=True)["n"].sum().reset_index()
+            parts.clear()
+            return _batch(_MET, both["ja"].to_numpy(), both["en"].to_numpy(), both["n"].to_numpy())
 
+        for batch in batches:
+            sides = _distinct_terms(batch, function_words)
+            for side, known in zip(sides, listed, strict=True):
+                side["lo"], side["hi"] = _bounds(side["term"].to_numpy(), known)
+            both = sides[0].merge(sides[1], on="line")
+            ratio = np.minimum(both["hi_x"], both["hi_y"]) / np.maximum(both["lo_x"], both["lo_y"])
+            both = both[ratio >= least * least][["term_x", "term_y"]].set_axis(["ja", "en"], axis=1)
+            parts.append(both.groupby(["ja", "en"], sort=False).size().rename("n").reset_index())
+            held += len(parts[-1])
+            if held > COMBINED:
+                yield added()
+                held = 0
+        if parts:
+            yield added()
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _en(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(en_terms)
+    return run
 
 
-def _ids(terms: Column) -> Column:
-    return F.transform(terms, lambda t: F.xxhash64(t))
+def _once(docs: DataFrame) -> DataFrame:
+    """(a, b) of docs(id, a, b), rows that are stored several times once; only such rows are shuffled."""
+    twice = docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    again = docs.join(twice, "id", "left_semi").distinct()
+    return docs.join(twice, "id", "left_anti").select("a", "b").unionByName(again.select("a", "b"))
 
 
-def _sizes(docs: DataFrame, name: str) -> DataFrame:
-    """(name, size, w): the number of concepts of each term, and its weight."""
-    sizes = docs.select(F.explode(name).alias(name)).groupBy(name).agg(F.count("*").alias(f"size_{name}"))
-    return sizes.withColumn(f"w_{name}", 1 / (1 + F.log1p(f"size_{name}") / 6))
+def _listed(sizes: DataFrame, spaced: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    top = sizes.filter(F.col("spaced") == spaced).select("term", "n").orderBy(F.col("n").desc()).limit(LISTED).toArrow().sort_by("term")
+    n = top.column("n").to_numpy()
+    return top.column("term").to_numpy(), n, int(n.min()) if len(n) == LISTED else 1
 
 
-def term_cosines(pairs: DataFrame) -> DataFrame:
-    """(ja, en, cosine, w_ja, w_en) from paired documents (id, a, b); w falls with the number of documents of a term."""
-    docs = pairs.select(F.xxhash64("id").alias("concept"), _ids(_ja("a")).alias("ja"), _ids(_en("b")).alias("en")).distinct()
-    docs = materialize(docs.select("ja", "en"), "concepts")
-    met = docs.select(F.explode("ja").alias("ja"), "en").select("ja", F.explode("en").alias("en"))
-    met = met.groupBy("ja", "en").agg(F.count("*").alias("n"))
+def term_cosines(pairs: DataFrame, least: float = LEAST_COSINE) -> tuple[DataFrame, list[int]]:
+    """(ja, en, cosine, w_ja, w_en) of terms from paired documents (id, a, b), and the hashes of the function words.
+
+    ja and en are hashes. A cosine is n / (sqrt(size_ja size_en) + 0.5) for n common concepts, the half for the doubt
+    of rare terms; a weight is the logarithm of the concepts for each that holds the term. All concepts count.
+    """
+    docs, spark = pairs.transform(_once), pairs.sparkSession
+    counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "words")
+    lines = counts.filter("word = 0").agg(F.max("n")).first()[0] or 0
+    common = [r.word for r in counts.filter((F.col("word") != 0) & (F.col("n") > FUNCTION_SHARE * lines)).collect()]
+    function_words = np.array(sorted(common), np.int64)
+    sizes = docs.mapInArrow(_term_counts(function_words), "spaced boolean, term long, n long")
+    sizes = materialize(sizes.groupBy("spaced", "term").agg(F.sum("n").alias("n")), "sizes")
+    listed = [_listed(sizes, spaced) for spaced in (False, True)]
+    met = docs.mapInArrow(_met(function_words, listed, least), "ja long, en long, n long").repartition("ja").groupBy("ja", "en").agg(F.sum("n").alias("n"))
+    weight = F.log((F.lit(lines) + 1) / F.col("n"))
+    of = {side: sizes.filter(F.col("spaced") == (side == "en")).select(F.col("term").alias(side), F.col("n").alias(f"size_{side}"), weight.alias(f"w_{side}")) for side in ("ja", "en")}
     # A term has at least the n concepts of its pair, which bounds the cosine before the other size is known.
-    met = met.join(_sizes(docs, "ja"), "ja").filter(F.col("n") / (F.sqrt(F.col("size_ja") * F.col("n")) + 0.5) >= LEAST_COSINE)
-    both = met.join(_sizes(docs, "en"), "en")
+    met = met.join(of["ja"], "ja").filter(F.col("n") / (F.sqrt(F.col("size_ja") * F.col("n")) + 0.5) >= least)
     cosine = F.col("n") / (F.sqrt(F.col("size_ja") * F.col("size_en")) + 0.5)
-    out = materialize(both.select("ja", "en", cosine.alias("cosine"), "w_ja", "w_en").filter(F.col("cosine") >= LEAST_COSINE), "cosines")
-    release(pairs.sparkSession, docs)
-    return out
+    met = met.join(of["en"], "en").select("ja", "en", cosine.alias("cosine"), "w_ja", "w_en").filter(F.col("cosine") >= least)
+    out = materialize(met, "cosines")
+    release(spark, counts, sizes)
+    return out, common
 
 
-def _track(rows: DataFrame, text: str, terms: Column, side: str) -> DataFrame:
-    return rows.filter(F.col(text) != "").select(
-        "source", F.col("id").alias(side), F.col("cue").alias(f"cue_{side}"), F.col("start").alias(f"from_{side}"),
-        F.col("end").alias(f"to_{side}"), _ids(terms).alias("terms"), F.expr(f"start div {BLOCK_MS}").alias("block"),
-    )
+_TRACK = "source long, line long, cue long, start long, stop long, terms array<struct<term:long,at:int,length:int>>"
+_TRACK_SCHEMA = pa.schema(
+    [(c, pa.int64()) for c in ("source", "line", "cue", "start", "stop")]
+    + [("terms", pa.list_(pa.struct([("term", pa.int64()), ("at", pa.int32()), ("length", pa.int32())])))]
+)
+
+
+def _track_terms(spaced: bool, function_words: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(5).to_pylist()
+            if spaced:
+                line, term, at, length = _phrases(texts, function_words)
+            else:
+                line, term = _hashed(texts, runs)
+                at, length = np.arange(len(term)), np.ones(len(term), np.int64)
+            order = np.argsort(line, kind="stable")
+            fields = [pa.array(x[order], t) for x, t in ((term, pa.int64()), (at, pa.int32()), (length, pa.int32()))]
+            offsets = np.append(0, np.cumsum(np.bincount(line, minlength=len(texts)))).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["term", "at", "length"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], terms], schema=_TRACK_SCHEMA)
+
+    return run
+
+
+def _track(rows: DataFrame, text: str, spaced: bool, function_words: np.ndarray) -> DataFrame:
+    rows = rows.filter(F.col(text) != "").select(*(F.col(c).cast("long").alias(d) for c, d in (("source", "source"), ("id", "line"), ("cue", "cue"), ("start", "start"), ("end", "stop"))), text)
+    return rows.mapInArrow(_track_terms(spaced, function_words), _TRACK)
+
+
+def _vectors(track: DataFrame, cosines: DataFrame, side: str) -> DataFrame:
+    """(source, side, cue_side, from_side, to_side, norm_side, terms): lines by those of their terms that the other language has a word for.
+
+    A word inside a pair of words that is itself such a term is left to the pair. ja terms carry their translations.
+    """
+    known = cosines.groupBy(side).agg(F.first(f"w_{side}").alias("w"), F.collect_list(F.struct("en", "cosine")).alias("to"))
+    if side == "en":
+        known = known.withColumn("to", F.lit(None).cast("array<struct<en:long,cosine:double>>"))
+    attributes = ["source", "line", "cue", "start", "stop"]
+    met = track.select(*attributes, F.explode("terms").alias("x")).select(*attributes, F.col("x.term").alias(side), "x.at", "x.length").join(known, side)
+    met = met.groupBy(*attributes).agg(F.collect_list(F.struct(F.col(side).alias("term"), "at", "length", "w", "to")).alias("terms"))
+    pairs = F.transform(F.filter("terms", lambda x: x["length"] == 2), lambda x: x["at"])
+    alone = F.filter("terms", lambda x: (x["length"] == 2) | ~(F.array_contains(pairs, x["at"]) | F.array_contains(pairs, x["at"] - 1)))
+    once = F.array_distinct(F.transform(alone, lambda x: F.struct(x["term"].alias("term"), x["w"].alias("w"), x["to"].alias("to"))))
+    met = met.withColumn("terms", once)
+    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda n, x: n + x["w"] * x["w"]))
+    return met.select(
+        "source", F.col("line").alias(side), F.col("cue").alias(f"cue_{side}"), F.col("start").alias(f"from_{side}"), F.col("stop").alias(f"to_{side}"),
+        norm.alias(f"norm_{side}"), "terms",
+    ).filter(F.col(f"norm_{side}") > 0)
 
 
 def _rare(track: DataFrame, side: str, term: str) -> DataFrame:
     """(source, term, from_side): the times of the terms that one or two lines of a source's track hold."""
-    terms = track.select("source", F.explode("terms").alias(term), f"from_{side}")
+    terms = track.select("source", F.explode("terms.term").alias(term), f"from_{side}")
     times = terms.groupBy("source", term).agg(F.count("*").alias("n"), F.min(f"from_{side}").alias("a"), F.max(f"from_{side}").alias("b"))
     return times.filter("n <= 2").select("source", term, F.explode(F.array_distinct(F.array("a", "b"))).alias(f"from_{side}"))
 
@@ -132,44 +277,33 @@ def _drifts(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("block")
     before = F.last("drift", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("drift", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    blocks = en.select("source", "block").distinct().join(best, ["source", "block"], "left")
+    blocks = en.select("source", block.alias("block")).distinct().join(best, ["source", "block"], "left")
     return blocks.select("source", "block", F.array_compact(F.array(F.lit(0).cast("long"), before, after)).alias("drifts"))
 
 
-def _similarities(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
-    """(source, ja, en, times, cues, got_ja, got_en): lines of a source, and which of their terms translate each other."""
+def _similar(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
+    """(source, ja, en, cosine, times, cues, norms): lines of a source with a cosine of at least LEAST_PART, near each other in time."""
     near = F.flatten(F.transform("drifts", lambda d: F.sequence(F.floor((F.col("from_en") - d) / BLOCK_MS) - 1, F.floor((F.col("from_en") - d) / BLOCK_MS) + 1)))
-    en = en.join(_drifts(ja, en, cosines), ["source", "block"]).withColumn("blocks", F.array_distinct(near)).drop("drifts")
-    left = ja.withColumn("t", F.explode("terms")).drop("terms")
-    left = left.join(cosines.withColumnRenamed("ja", "t").withColumnRenamed("en", "u"), "t")
-    right = en.withColumn("u", F.explode("terms")).drop("terms").withColumn("block", F.explode("blocks")).drop("blocks")
-    met = left.join(right, ["source", "block", "u"])
-    lines = ["source", "ja", "en", "cue_ja", "cue_en", "from_ja", "to_ja", "from_en", "to_en"]
-    met = met.groupBy(*lines, "t").agg(F.max(F.struct("cosine", "u", "w_ja", "w_en")).alias("m"))
-    return met.groupBy(*lines).agg(F.collect_set("t").alias("got_ja"), F.collect_set("m.u").alias("got_en"), F.sum(F.col("m.cosine") * F.col("m.w_ja")).alias("dot"))
-
-
-def _weights(track: DataFrame, cosines: DataFrame, side: str) -> DataFrame:
-    """(side, n, known): how many terms a line has, and how many of them translate at all."""
-    known = cosines.groupBy(F.col(side).alias("t")).agg(F.max(f"w_{side}").alias("w"))
-    terms = track.select(side, F.explode("terms").alias("t")).join(known, "t", "left")
-    return terms.groupBy(side).agg(F.count("*").alias(f"n_{side}"), F.count("w").alias(f"known_{side}"))
-
-
-def _share(size: Column, whole: Column) -> Column:
-    return F.least(F.lit(1.0), size / F.greatest(whole, F.lit(1)))
+    block_en, block_ja = F.expr(f"from_en div {BLOCK_MS}"), F.expr(f"from_ja div {BLOCK_MS}")
+    placed = en.withColumn("block", block_en).join(_drifts(ja, en, cosines), ["source", "block"]).withColumn("blocks", F.array_distinct(near))
+    left = ja.select("source", block_ja.alias("block"), "ja", "norm_ja", F.explode("terms").alias("x"))
+    left = left.select("source", "block", "ja", (F.col("x.w") / F.col("norm_ja")).alias("x"), F.explode("x.to").alias("y"))
+    left = left.select("source", "block", "ja", F.col("y.en").alias("u"), (F.col("x") * F.col("y.cosine")).alias("x"))
+    right = placed.select("source", "en", "blocks", "norm_en", F.explode("terms").alias("y"))
+    right = right.select("source", F.explode("blocks").alias("block"), "en", F.col("y.term").alias("u"), (F.col("y.w") / F.col("norm_en")).alias("y"))
+    met = left.join(right, ["source", "block", "u"]).groupBy("ja", "en").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    met = met.filter(F.col("cosine") >= LEAST_PART)
+    return met.join(ja.drop("terms"), "ja").join(en.drop("terms", "source"), "en")
 
 
 def _foretold(pairs: DataFrame) -> DataFrame:
     """pairs with late: the time by which the English line misses the place that the surest pairs around it foretell.
 
-    Sure pairs are mutual best ones of at least two terms. In every block of time, those of the block and its neighbours give
+    Sure pairs are mutual best ones of high cosine. In every block of time, those of the block and its neighbours give
     a median shift, and those near the median a straight line.
     """
-    order = [F.col("score").desc(), F.col("dot").desc()]
-    rank_ja = F.row_number().over(Window.partitionBy("ja").orderBy(*order, "en"))
-    rank_en = F.row_number().over(Window.partitionBy("en").orderBy(*order, "ja"))
-    sure = pairs.withColumns({"ra": rank_ja, "rb": rank_en}).filter("ra = 1 AND rb = 1 AND score >= 0.6 AND size(got_ja) >= 2")
+    best = {side: pairs.groupBy(side).agg(F.max_by(other, F.struct("cosine", other)).alias(other)) for side, other in (("ja", "en"), ("en", "ja"))}
+    sure = pairs.filter("cosine >= 0.6").join(best["ja"], ["ja", "en"], "left_semi").join(best["en"], ["ja", "en"], "left_semi")
     block = F.expr(f"from_ja div {BLOCK_MS}")
     sure = sure.select(
         "source", F.explode(F.array(block - 1, block, block + 1)).alias("b"),
@@ -188,85 +322,60 @@ def _foretold(pairs: DataFrame) -> DataFrame:
 
 
 def translation_pairs(lines: DataFrame) -> DataFrame:
-    """(ja, en, share, late) from lines (id, source, cue, start, end, ja_text, en_text) of the unaligned and aligned sources.
+    """(ja, en, cosine, late) from lines (id, source, cue, start, end, ja_text, en_text) of the unaligned and aligned sources.
 
     Sources with a line that has no Japanese but English text are unaligned; their rows are the tracks. Lines with both texts,
     wherever they are, are the paired documents. Repeated rows count once; null texts count as empty; lines without
     terms pair with nothing; without any paired document the result is empty.
     """
-    lines = lines.fillna("", ["ja_text", "en_text"]).filter("id IS NOT NULL")
-    cosines = term_cosines(lines.filter("ja_text <> '' AND en_text <> ''").select("id", F.col("ja_text").alias("a"), F.col("en_text").alias("b")))
+    lines, spark = lines.fillna("", ["ja_text", "en_text"]).filter("id IS NOT NULL"), lines.sparkSession
+    cosines, common = term_cosines(lines.filter("ja_text <> '' AND en_text <> ''").select("id", F.col("ja_text").alias("a"), F.col("en_text").alias("b")))
     sources = lines.filter("ja_text = '' AND en_text <> ''").select("source").distinct()
     rows = lines.filter("ja_text = '' OR en_text = ''").join(sources, "source", "left_semi").distinct()
-    rows = materialize(rows, "tracks")
-    ja = _track(rows, "ja_text", _ja("ja_text"), "ja")
-    en = _track(rows, "en_text", _en("en_text"), "en")
-    ja, en = materialize(ja, "ja"), materialize(en, "en")
-    pairs = _similarities(ja, en, cosines)
-    pairs = pairs.join(_weights(ja, cosines, "ja"), "ja").join(_weights(en, cosines, "en"), "en")
-    share_ja = _share(F.size("got_ja"), (F.col("n_ja") + F.col("known_ja")) / 2)
-    share_en = _share(F.size("got_en"), F.col("known_en"))
-    pairs = pairs.withColumns({"share_ja": share_ja, "share_en": share_en})
-    pairs = pairs.withColumn("score", 2 * F.col("share_ja") * F.col("share_en") / (F.col("share_ja") + F.col("share_en")))
-    placed = materialize(_foretold(pairs), "pairs")
-    release(lines.sparkSession, cosines, rows, ja, en)
+    rows, function_words = materialize(rows, "tracks"), np.array(sorted(common), np.int64)
+    ja = materialize(_vectors(_track(rows, "ja_text", False, function_words), cosines, "ja"), "ja")
+    en = materialize(_vectors(_track(rows, "en_text", True, function_words), cosines, "en"), "en")
+    pairs = materialize(_similar(ja, en, cosines), "similar")
+    release(spark, rows, ja, en, cosines)
+    placed = materialize(_foretold(pairs), "placed")
+    release(spark, pairs)
     return best_spans(placed)
 
 
-def best_spans(pairs: DataFrame) -> DataFrame:
-    """Pairs inside spans that are each other's best: one line to one, or to a window of up to three neighbours.
-
-    A span scores the harmonic mean of the shares of both sides' terms that the other side translates, less a little
-    for the time it is off and for each further line.
-    """
-    cols = ["source", "ja", "en", "cue_ja", "cue_en", "got_ja", "got_en", "n_ja", "known_ja", "known_en", "late"]
-    one = pairs.select(*cols)
-    spans = [_span(one)]
-    for side, other in (("ja", "en"), ("en", "ja")):
-        more = one
-        for k in (1, 2):
-            step = one.select(*(F.col(x).alias(f"{x}_{k}") for x in cols))
-            same = (F.col("source") == F.col(f"source_{k}")) & (F.col(other) == F.col(f"{other}_{k}"))
-            more = more.join(step, same & (F.col(f"cue_{side}") + k == F.col(f"cue_{side}_{k}")))
-            spans.append(_window(more, side, k))
-    spans_all = materialize(reduce(DataFrame.unionByName, spans), "spans")
-    members = spans_all.select("span", "score", F.explode(F.transform("jas", lambda x: F.struct(F.lit("ja").alias("side"), x.alias("line")))).alias("m"))
-    members = members.unionByName(
-        spans_all.select("span", "score", F.explode(F.transform("ens", lambda x: F.struct(F.lit("en").alias("side"), x.alias("line")))).alias("m"))
-    )
-    best = members.groupBy("m").agg(F.max(F.struct("score", "span")).alias("best")).select("m.side", "best.span")
-    mutual = best.groupBy("span").agg(F.count_distinct("side").alias("sides")).filter("sides = 2").select("span")
-    chosen = spans_all.join(mutual, "span", "left_semi")
-    chosen = chosen.select(F.explode("jas").alias("ja"), "ens").select("ja", F.explode("ens").alias("en")).distinct()
-    share = F.greatest("share_ja", "share_en").alias("share")
-    return pairs.join(chosen, ["ja", "en"]).select("ja", "en", share, "late").filter(F.col("share") >= LEAST_SHARE)
+def _spans(pairs: DataFrame, side: str, least_lines: int) -> DataFrame:
+    """Spans that begin with a pair: its line of the other side, and least_lines to MOST_LINES neighbouring lines of side."""
+    other = "en" if side == "ja" else "ja"
+    order = Window.partitionBy(other).orderBy(f"cue_{side}", side)
+    fields = {"cue": f"cue_{side}", "line": side, "cosine": "cosine", "norm": f"norm_{side}", "late": "late"}
+    ahead = {(k, f): F.lead(c, k).over(order) for f, c in fields.items() for k in range(1, MOST_LINES)}
+    rows = pairs.select(F.col(other).alias("one"), *(F.col(c).alias(f"{f}0") for f, c in fields.items()), *(x.alias(f"{f}{k}") for (k, f), x in ahead.items()))
+    follow = F.array(*(F.struct(*(F.col(f"{f}{k}").alias(f) for f in fields)) for k in range(MOST_LINES)))
+    rows = rows.select("one", follow.alias("follow")).select("one", "follow", F.explode(F.sequence(F.lit(least_lines), F.lit(MOST_LINES))).alias("k"))
+    rows = rows.select("one", "k", F.expr("slice(follow, 1, k)").alias("many"))
+    # A null at the end of a track and a gap between cues both end a window.
+    rows = rows.filter("NOT exists(transform(many, (x, i) -> x.cue = many[0].cue + i), y -> NOT coalesce(y, false))")
+    norm = "sqrt(aggregate(many, 0D, (n, x) -> n + x.norm * x.norm))"
+    rows = rows.withColumn("cosine", F.expr(f"aggregate(many, 0D, (n, x) -> n + x.cosine * x.norm) / {norm}"))
+    score = F.col("cosine") - F.expr("array_max(transform(many, x -> x.late))") * MS_COST - LINE_COST * (F.col("k") - 1)
+    kind = F.col("k") if side == "en" else -F.col("k")
+    span = F.struct(kind.alias("kind"), "one", F.col("many")[0]["line"].alias("first")).alias("span")
+    return rows.select(span, F.transform("many", lambda x: F.struct(x["line"].alias("line"), x["cosine"].alias("cosine"), x["late"].alias("late"))).alias("many"), "cosine", score.alias("score"))
 
 
-def _score(share_ja: Column, share_en: Column, late: Column, lines: int) -> Column:
-    return 2 * share_ja * share_en / (share_ja + share_en) - late / 50_000 - 0.03 * (lines - 1)
-
-
-def _span(one: DataFrame) -> DataFrame:
-    share_ja = _share(F.size("got_ja"), (F.col("n_ja") + F.col("known_ja")) / 2)
-    share_en = _share(F.size("got_en"), F.col("known_en"))
-    return one.select(
-        F.concat_ws("-", "ja", "en").alias("span"), F.array("ja").alias("jas"), F.array("en").alias("ens"),
-        _score(share_ja, share_en, F.col("late"), 1).alias("score"),
-    )
-
+def best_spans(pairs: DataFrame) -> DataFrame:
+    """Pairs inside spans that are each other's best: one line to one, or to a window of up to MOST_LINES neighbours.
 
-def _window(more: DataFrame, side: str, k: int) -> DataFrame:
-    """Spans of k + 1 neighbouring lines of a side and one line of the other."""
-    tags = ["", *(f"_{i}" for i in range(1, k + 1))]
-    total = lambda c: sum((F.col(f"{c}{t}") for t in tags[1:]), F.col(c))
-    union = lambda c: reduce(F.array_union, [F.col(f"{c}{t}") for t in tags])
-    many = {x: total(x) for x in (("n_ja", "known_ja") if side == "ja" else ("known_en",))}
-    n_ja, known_ja, known_en = (many.get(x, F.col(x)) for x in ("n_ja", "known_ja", "known_en"))
-    summed = lambda c: sum((F.size(f"{c}{t}") for t in tags[1:]), F.size(c))
-    size_ja = summed("got_ja") if side == "ja" else F.size(union("got_ja"))
-    size_en = F.size(union("got_en")) if side == "ja" else summed("got_en")
-    late = F.greatest(*(F.col(f"late{t}") for t in tags))
-    jas = F.array(*(F.col(f"ja{t}") for t in tags)) if side == "ja" else F.array("ja")
-    ens = F.array("en") if side == "ja" else F.array(*(F.col(f"en{t}") for t in tags))
-    score = _score(_share(size_ja, (n_ja + known_ja) / 2), _share(size_en, known_en), late, k + 1)
-    return more.select(F.concat_ws("-", F.array_join(jas, ","), F.array_join(ens, ",")).alias("span"), jas.alias("jas"), ens.alias("ens"), score.alias("score"))
+    A window's vector is the sum of its lines' vectors. A span scores its cosine, less a little for the time it is off and
+    for each further line. It stays if it is the best one of a line on either side and has a cosine of LEAST_SPAN.
+    """
+    spans = materialize(_spans(pairs, "en", 1).unionByName(_spans(pairs, "ja", 2)), "spans")
+    ja, en = F.lit(0), F.lit(1)
+    one = F.array(F.struct(F.when(F.col("span.kind") > 0, ja).otherwise(en).alias("side"), F.col("span.one").alias("line")))
+    many = F.transform("many", lambda x: F.struct(F.when(F.col("span.kind") > 0, en).otherwise(ja).alias("side"), x["line"].alias("line")))
+    members = spans.select("span", "score", F.explode(F.concat(one, many)).alias("m"))
+    best = members.groupBy("m").agg(F.max(F.struct("score", "span")).getField("span").alias("span"), F.first("m.side").alias("side"))
+    mutual = best.groupBy("span").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo < hi").select("span")
+    chosen = spans.filter(F.col("cosine") >= LEAST_SPAN).join(mutual, "span", "left_semi").select("span", F.explode("many").alias("x"))
+    side = lambda a, b: F.when(F.col("span.kind") > 0, a).otherwise(b)
+    one, line = F.col("span.one"), F.col("x.line")
+    return chosen.select(side(one, line).alias("ja"), side(line, one).alias("en"), "x.cosine", "x.late").distinct()

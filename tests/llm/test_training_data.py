@@ -88,9 +88,12 @@ def test_trie_is_a_map(pairs):
 
 
 def test_terms():
-    assert alignment.ja_terms("今日、遅館殻がガトンデサでABP185した") == ["ABP185", "ガトンデサ", "今日", "遅館殻"]
-    assert alignment.en_terms("It is the oddly crisp path that fell; Truth, the EAVES.") == ["crisp path", "eaves", "fell", "oddly crisp", "truth"]
-    assert alignment.ja_terms(None) == [] and alignment.en_terms("") == []
+    assert alignment.runs("今日、遅館殻がガトンデサでABP１85した") == ["今日", "遅館殻", "が", "ガトンデサ", "で", "abp185", "した"]
+    assert alignment.words("It's the oddly-crisp PATH;") == ["it's", "the", "oddly", "crisp", "path"]
+    assert alignment.runs(None) == [] == alignment.words("")
+    the, fell = alignment._hashed(["the fell"], alignment.words)[1]
+    line, _, at, length = alignment._phrases(["the crisp path fell", None, "the the", "fell"], np.array([the]))
+    assert list(zip(line, at, length)) == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (2, 4, 1), (2, 5, 1), (3, 6, 1), (0, 1, 2), (0, 2, 2)]
 
 
 def test_alignment_finds_shifted_and_merged_lines(spark):
@@ -160,27 +163,32 @@ def test_alignment_follows_a_drift_beyond_the_blocks(spark):
     assert len(got & expected) >= 0.97 * len(expected) and len(got - expected) <= 3
 
 
-def test_term_cosines_are_of_all_lines(spark):
+@pytest.mark.parametrize(("least", "listed"), [(alignment.LEAST_COSINE, 100), (alignment.LEAST_COSINE, 5), (0.0, 100)])
+def test_term_cosines_are_of_all_lines(spark, monkeypatch, least, listed):
+    monkeypatch.setattr(alignment, "LISTED", listed)
     rng = random.Random(11)
     ja, en = [f"{a}{b}" for a in "春夏秋冬" for b in "山川海空"], [f"{c}q" for c in string.ascii_lowercase[:16]]
     docs = []
     for n in range(300):
-        some = [i for i in range(16) if rng.random() < (i + 1) / 20]
-        docs.append((n, "は".join(ja[i] for i in some), " of the ".join(en[i] for i in some if rng.random() < 0.7)))
-    known = {spark.range(1).select(F.xxhash64(F.lit(w))).first()[0]: w for w in (*ja, *en)}
-    at = lambda k: collections.Counter((w, n) for n, *texts in docs for w in texts[k].replace(" of the ", "は").split("は") if w)
+        some = [i for i in range(16) if rng.random() < (i + 1) / 200]
+        docs.append((n, "は".join(ja[i] for i in some), " . of the ".join(en[i] for i in some if rng.random() < 0.7) + " the of the"))
     lines = [collections.defaultdict(set), collections.defaultdict(set)]
-    for k in (0, 1):
-        for w, n in at(k):
-            lines[k][w].add(n)
-    exact = {(a, b): len(x & y) / ((len(x) * len(y)) ** 0.5 + 0.5) for a, x in lines[0].items() for b, y in lines[1].items()}
+    for n, *texts in docs:
+        for w in [*texts[0].split("は"), *["は"] * ("は" in texts[0])]:
+            lines[0][w].add(n)
+        content = [w for w in texts[1].replace(".", "").split() if w not in ("of", "the")]
+        for w in content or ["of", "the"]:
+            lines[1][w].add(n)
+    del lines[0][""]
+    exact = {(a, b): len(x & y) / ((len(x) * len(y)) ** 0.5 + 0.5) for a, x in lines[0].items() for b, y in lines[1].items() if x & y}
+    name = {w: int(alignment._hashed([w], alignment.words)[1][0]) for w in (*ja, *en, "は", "of", "the")}
     df = spark.createDataFrame([*docs, docs[250]], "id long, a string, b string")  # a repeated row counts once
-    got = {(known[r.ja], known[r.en]): r.cosine for r in alignment.term_cosines(df).collect()}
-    assert got == pytest.approx({k: v for k, v in exact.items() if v >= alignment.LEAST_COSINE})
+    got, common = alignment.term_cosines(df, least)
+    assert sorted(common) == sorted([name["of"], name["the"]])
+    assert {(r.ja, r.en): r.cosine for r in got.collect()} == pytest.approx({(name[a], name[b]): v for (a, b), v in exact.items() if v >= least})
 
 
 def test_alignment_of_lines_in_hiragana(spark):
-    assert alignment.ja_terms("ありがとう、山!") == ["ありがとう", "山"]
     said = [("ありがとう", "Thanks!"), ("おやすみ", "Sleep well."), ("山!", "Mountain!"), ("どうぞ", "Welcome.")]
     lines = [(n, 1, n, n * 3000, n * 3000 + 2000, *said[n % 4]) for n in range(40)]
     for cue, (a, b) in enumerate(said):
