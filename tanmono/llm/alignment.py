@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tanmono.plans.storage import materialize, release
 
 #: Least cosine of two terms that translate each other; 0 keeps every pair of terms that meet.
-LEAST_COSINE = 0.3
+LEAST_COSINE = 0.35
 #: Least cosine of two lines of which one may translate a part of the other, and of two spans that translate each other.
 LEAST_PART, LEAST_SPAN = 0.15, 0.3
 #: Words in more than this share of the lines are the language's function words: they part phrases.
@@ -105,9 +105,10 @@ _SIZES = pa.schema([("spaced", pa.bool_()), ("term", pa.int64()), ("n", pa.int64
 
 
 def _distinct_terms(batch: pa.RecordBatch, function_words: np.ndarray) -> list[pd.DataFrame]:
-    line, term = _hashed(batch.column(0).to_pylist(), runs)
-    spaced = _phrases(batch.column(1).to_pylist(), function_words)
-    return [pd.DataFrame({"line": a, "term": b}).drop_duplicates() for a, b in ((line, term), spaced[:2])]
+    """(line, term) of both languages, each once, by line."""
+    spaced = _phrases(batch.column(1).to_pylist(), function_words)[:2]
+    sides = [pd.DataFrame({"line": a, "term": b}).drop_duplicates() for a, b in (_hashed(batch.column(0).to_pylist(), runs), spaced)]
+    return [side.iloc[np.argsort(side["line"].to_numpy(), kind="stable")] for side in sides]
 
 
 def _term_counts(function_words: np.ndarray):
@@ -123,18 +124,48 @@ def _term_counts(function_words: np.ndarray):
 _MET = pa.schema([("ja", pa.int64()), ("en", pa.int64()), ("n", pa.int64())])
 
 
-def _bounds(terms: np.ndarray, listed: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest number of lines that each term can be in, by the list (sorted terms, sizes, most of any other term)."""
+Listed = tuple[np.ndarray, np.ndarray, int]
+
+
+def _known(terms: np.ndarray, listed: Listed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each term, and the least and greatest number of lines it can be in, by the list (sorted terms, sizes, most of any other term).
+
+    A listed term has its place in the list as its code, which takes few bytes; any other its hash.
+    """
     names, sizes, most = listed
     if not len(names):
-        return np.ones(len(terms)), np.full(len(terms), np.inf)
+        return terms, np.ones(len(terms)), np.full(len(terms), np.inf)
     at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
     known = names[at] == terms
-    return np.where(known, sizes[at], 1), np.where(known, sizes[at], most)
+    return np.where(known, at, terms), np.where(known, sizes[at], 1), np.where(known, sizes[at], most)
 
 
-def _met(function_words: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray, int]], least: float):
-    """(ja, en, lines) for terms that meet in a line and may have the least cosine: that is at most the root of the ratio of sizes."""
+def _coded(listed: list[Listed]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaced, term = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            yield _batch(_SIZES, spaced, np.where(spaced, _known(term, listed[1])[0], _known(term, listed[0])[0]), batch.column(2))
+
+    return run
+
+
+def _crossed(sides: list[pd.DataFrame], listed: list[Listed], least: float) -> pd.DataFrame:
+    """(ja, en, n) for terms that meet in n lines and may have the least cosine: that is at most the root of the ratio of sizes."""
+    lines = [side["line"].to_numpy() for side in sides]
+    (ja, lo_a, hi_a), (en, lo_b, hi_b) = (_known(side["term"].to_numpy(), x) for side, x in zip(sides, listed, strict=True))
+    per_line = np.bincount(lines[1], minlength=lines[0].max(initial=-1) + 1)
+    start, many = np.cumsum(per_line) - per_line, per_line[lines[0]]
+    a = np.repeat(np.arange(len(ja)), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many - start[lines[0]], many)
+    may = np.minimum(hi_a[a], hi_b[b]) >= least * least * np.maximum(lo_a[a], lo_b[b])
+    a, b = a[may], b[may]
+    (code_a, name_a), (code_b, name_b) = pd.factorize(ja), pd.factorize(en)
+    pair, n = np.unique(code_a[a] * max(1, len(name_b)) + code_b[b], return_counts=True)
+    return pd.DataFrame({"ja": name_a[pair // max(1, len(name_b))], "en": name_b[pair % max(1, len(name_b))], "n": n})
+
+
+def _met(function_words: np.ndarray, listed: list[Listed], least: float):
+    """_crossed() of all lines, added up over up to COMBINED pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -145,13 +176,7 @@ def _met(function_words: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray,
             return _batch(_MET, both["ja"].to_numpy(), both["en"].to_numpy(), both["n"].to_numpy())
 
         for batch in batches:
-            sides = _distinct_terms(batch, function_words)
-            for side, known in zip(sides, listed, strict=True):
-                side["lo"], side["hi"] = _bounds(side["term"].to_numpy(), known)
-            both = sides[0].merge(sides[1], on="line")
-            ratio = np.minimum(both["hi_x"], both["hi_y"]) / np.maximum(both["lo_x"], both["lo_y"])
-            both = both[ratio >= least * least][["term_x", "term_y"]].set_axis(["ja", "en"], axis=1)
-            parts.append(both.groupby(["ja", "en"], sort=False).size().rename("n").reset_index())
+            parts.append(_crossed(_distinct_terms(batch, function_words), listed, least))
             held += len(parts[-1])
             if held > COMBINED:
                 yield added()
@@ -163,23 +188,23 @@ def _met(function_words: np.ndarray, listed: list[tuple[np.ndarray, np.ndarray,
 
 
 def _once(docs: DataFrame) -> DataFrame:
-    """(a, b) of docs(id, a, b), rows that are stored several times once; only such rows are shuffled."""
-    twice = docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    """(a, b) of docs(id, a, b), rows that are stored several times once. While few are, no text is shuffled."""
+    twice = materialize(docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "twice")
     again = docs.join(twice, "id", "left_semi").distinct()
     return docs.join(twice, "id", "left_anti").select("a", "b").unionByName(again.select("a", "b"))
 
 
-def _listed(sizes: DataFrame, spaced: bool) -> tuple[np.ndarray, np.ndarray, int]:
+def _listed(sizes: DataFrame, spaced: bool) -> Listed:
     top = sizes.filter(F.col("spaced") == spaced).select("term", "n").orderBy(F.col("n").desc()).limit(LISTED).toArrow().sort_by("term")
     n = top.column("n").to_numpy()
     return top.column("term").to_numpy(), n, int(n.min()) if len(n) == LISTED else 1
 
 
-def term_cosines(pairs: DataFrame, least: float = LEAST_COSINE) -> tuple[DataFrame, list[int]]:
-    """(ja, en, cosine, w_ja, w_en) of terms from paired documents (id, a, b), and the hashes of the function words.
+def term_cosines(pairs: DataFrame, least: float = LEAST_COSINE) -> tuple[DataFrame, np.ndarray, list[Listed]]:
+    """(ja, en, cosine, w_ja, w_en) of terms from paired documents (id, a, b), the function words, and the lists that give codes.
 
-    ja and en are hashes. A cosine is n / (sqrt(size_ja size_en) + 0.5) for n common concepts, the half for the doubt
-    of rare terms; a weight is the logarithm of the concepts for each that holds the term. All concepts count.
+    ja and en are codes, function words hashes. A cosine is n / (sqrt(size_ja size_en) + 0.5) for n common concepts, the half
+    for the doubt of rare terms; a weight is the logarithm of the concepts for each that holds the term. All concepts count.
     """
     docs, spark = pairs.transform(_once), pairs.sparkSession
     counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -191,15 +216,15 @@ def term_cosines(pairs: DataFrame, least: float = LEAST_COSINE) -> tuple[DataFra
     sizes = materialize(sizes.groupBy("spaced", "term").agg(F.sum("n").alias("n")), "sizes")
     listed = [_listed(sizes, spaced) for spaced in (False, True)]
     met = docs.mapInArrow(_met(function_words, listed, least), "ja long, en long, n long").repartition("ja").groupBy("ja", "en").agg(F.sum("n").alias("n"))
-    weight = F.log((F.lit(lines) + 1) / F.col("n"))
-    of = {side: sizes.filter(F.col("spaced") == (side == "en")).select(F.col("term").alias(side), F.col("n").alias(f"size_{side}"), weight.alias(f"w_{side}")) for side in ("ja", "en")}
+    weight, coded = F.log((F.lit(lines) + 1) / F.col("n")), sizes.mapInArrow(_coded(listed), sizes.schema)
+    of = {side: coded.filter(F.col("spaced") == (side == "en")).select(F.col("term").alias(side), F.col("n").alias(f"size_{side}"), weight.alias(f"w_{side}")) for side in ("ja", "en")}
     # A term has at least the n concepts of its pair, which bounds the cosine before the other size is known.
     met = met.join(of["ja"], "ja").filter(F.col("n") / (F.sqrt(F.col("size_ja") * F.col("n")) + 0.5) >= least)
     cosine = F.col("n") / (F.sqrt(F.col("size_ja") * F.col("size_en")) + 0.5)
     met = met.join(of["en"], "en").select("ja", "en", cosine.alias("cosine"), "w_ja", "w_en").filter(F.col("cosine") >= least)
     out = materialize(met, "cosines")
     release(spark, counts, sizes)
-    return out, common
+    return out, function_words, listed
 
 
 _TRACK = "source long, line long, cue long, start long, stop long, terms array<struct<term:long,at:int,length:int>>"
@@ -209,7 +234,7 @@ _TRACK_SCHEMA = pa.schema(
 )
 
 
-def _track_terms(spaced: bool, function_words: np.ndarray):
+def _track_terms(spaced: bool, function_words: np.ndarray, listed: Listed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(5).to_pylist()
@@ -219,7 +244,7 @@ def _track_terms(spaced: bool, function_words: np.ndarray):
                 line, term = _hashed(texts, runs)
                 at, length = np.arange(len(term)), np.ones(len(term), np.int64)
             order = np.argsort(line, kind="stable")
-            fields = [pa.array(x[order], t) for x, t in ((term, pa.int64()), (at, pa.int32()), (length, pa.int32()))]
+            fields = [pa.array(x[order], t) for x, t in ((_known(term, listed)[0], pa.int64()), (at, pa.int32()), (length, pa.int32()))]
             offsets = np.append(0, np.cumsum(np.bincount(line, minlength=len(texts)))).astype(np.int32)
             terms = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["term", "at", "length"]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], terms], schema=_TRACK_SCHEMA)
@@ -227,47 +252,53 @@ def _track_terms(spaced: bool, function_words: np.ndarray):
     return run
 
 
-def _track(rows: DataFrame, text: str, spaced: bool, function_words: np.ndarray) -> DataFrame:
+def _track(rows: DataFrame, text: str, spaced: bool, function_words: np.ndarray, listed: Listed) -> DataFrame:
+    """(source, line, cue, start, stop, term, at, length): the terms of a track's lines."""
     rows = rows.filter(F.col(text) != "").select(*(F.col(c).cast("long").alias(d) for c, d in (("source", "source"), ("id", "line"), ("cue", "cue"), ("start", "start"), ("end", "stop"))), text)
-    return rows.mapInArrow(_track_terms(spaced, function_words), _TRACK)
+    return rows.mapInArrow(_track_terms(spaced, function_words, listed), _TRACK).select("source", "line", "cue", "start", "stop", F.inline("terms"))
 
 
 def _vectors(track: DataFrame, cosines: DataFrame, side: str) -> DataFrame:
-    """(source, side, cue_side, from_side, to_side, norm_side, terms): lines by those of their terms that the other language has a word for.
+    """(source, side, cue_side, from_side, to_side, term, ...): the terms of lines that the other language has a word for, of unit length.
 
-    A word inside a pair of words that is itself such a term is left to the pair. ja terms carry their translations.
+    A word inside a pair of words that is itself such a term is left to the pair. On the ja side each term comes with each of
+    its translations; x is its share of the line's vector times their cosine.
     """
-    known = cosines.groupBy(side).agg(F.first(f"w_{side}").alias("w"), F.collect_list(F.struct("en", "cosine")).alias("to"))
+    if side == "ja":
+        many = cosines.groupBy("ja").agg(F.count("*").alias("many"))
+        known = cosines.join(many, "ja").select(F.col("ja").alias("term"), "en", "cosine", F.col("w_ja").alias("w"), "many")
+    else:
+        known = cosines.select(F.col("en").alias("term"), F.col("w_en").alias("w")).distinct()
+    met = track.join(known, "term")
     if side == "en":
-        known = known.withColumn("to", F.lit(None).cast("array<struct<en:long,cosine:double>>"))
-    attributes = ["source", "line", "cue", "start", "stop"]
-    met = track.select(*attributes, F.explode("terms").alias("x")).select(*attributes, F.col("x.term").alias(side), "x.at", "x.length").join(known, side)
-    met = met.groupBy(*attributes).agg(F.collect_list(F.struct(F.col(side).alias("term"), "at", "length", "w", "to")).alias("terms"))
-    pairs = F.transform(F.filter("terms", lambda x: x["length"] == 2), lambda x: x["at"])
-    alone = F.filter("terms", lambda x: (x["length"] == 2) | ~(F.array_contains(pairs, x["at"]) | F.array_contains(pairs, x["at"] - 1)))
-    once = F.array_distinct(F.transform(alone, lambda x: F.struct(x["term"].alias("term"), x["w"].alias("w"), x["to"].alias("to"))))
-    met = met.withColumn("terms", once)
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda n, x: n + x["w"] * x["w"]))
-    return met.select(
+        pair = F.max(F.when(F.col("length") == 2, 1)).over(Window.partitionBy("line").orderBy("at").rangeBetween(-1, 0))
+        met = met.withColumn("pair", pair).filter("length = 2 OR pair IS NULL").withColumn("many", F.lit(1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w") / F.col("many")).over(Window.partitionBy("line")))
+    share = F.col("w") / F.col("norm")
+    return met.withColumn("norm", norm).filter("norm > 0").select(
         "source", F.col("line").alias(side), F.col("cue").alias(f"cue_{side}"), F.col("start").alias(f"from_{side}"), F.col("stop").alias(f"to_{side}"),
-        norm.alias(f"norm_{side}"), "terms",
-    ).filter(F.col(f"norm_{side}") > 0)
+        F.col("norm").alias(f"norm_{side}"), F.col("term").alias(side[0]), *([F.col("en").alias("e"), (share * F.col("cosine")).alias("x")] if side == "ja" else [share.alias("y")]),
+    )
+
+
+def _lines(vectors: DataFrame, side: str) -> DataFrame:
+    return vectors.select("source", side, f"cue_{side}", f"from_{side}", f"to_{side}", f"norm_{side}").distinct()
 
 
-def _rare(track: DataFrame, side: str, term: str) -> DataFrame:
+def _rare(vectors: DataFrame, side: str) -> DataFrame:
     """(source, term, from_side): the times of the terms that one or two lines of a source's track hold."""
-    terms = track.select("source", F.explode("terms.term").alias(term), f"from_{side}")
-    times = terms.groupBy("source", term).agg(F.count("*").alias("n"), F.min(f"from_{side}").alias("a"), F.max(f"from_{side}").alias("b"))
-    return times.filter("n <= 2").select("source", term, F.explode(F.array_distinct(F.array("a", "b"))).alias(f"from_{side}"))
+    terms = vectors.select("source", side[0], side, f"from_{side}").distinct().groupBy("source", side[0])
+    times = terms.agg(F.count("*").alias("n"), F.min(f"from_{side}").alias("a"), F.max(f"from_{side}").alias("b"))
+    return times.filter("n <= 2").select("source", side[0], F.explode(F.array_distinct(F.array("a", "b"))).alias(f"from_{side}"))
 
 
-def _drifts(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
+def _drifts(ja: DataFrame, en: DataFrame, lines: DataFrame, cosines: DataFrame) -> DataFrame:
     """(source, block, drifts): by how much the lines of a block of the English track are later than their Japanese lines.
 
     Rare terms that translate each other meet anywhere in a source and vote for a drift, in the block of the English time
     and its neighbours. A block without a drift of LEAST_VOTES takes those of the nearest blocks before and after.
     """
-    met = _rare(ja, "ja", "t").join(cosines.select(F.col("ja").alias("t"), F.col("en").alias("u")), "t").join(_rare(en, "en", "u"), ["source", "u"])
+    met = _rare(ja, "ja").join(cosines.select(F.col("ja").alias("j"), F.col("en").alias("e")), "j").join(_rare(en, "en"), ["source", "e"])
     drift, block = F.col("from_en") - F.col("from_ja"), F.expr(f"from_en div {BLOCK_MS}")
     step = F.floor(drift / DRIFT_MS)
     votes = met.select("source", F.explode(F.array(block - 1, block, block + 1)).alias("block"), drift.alias("drift"), F.array(step - 1, step).alias("steps"))
@@ -277,23 +308,23 @@ def _drifts(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("block")
     before = F.last("drift", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("drift", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    blocks = en.select("source", block.alias("block")).distinct().join(best, ["source", "block"], "left")
+    blocks = lines.select("source", block.alias("block")).distinct().join(best, ["source", "block"], "left")
     return blocks.select("source", "block", F.array_compact(F.array(F.lit(0).cast("long"), before, after)).alias("drifts"))
 
 
 def _similar(ja: DataFrame, en: DataFrame, cosines: DataFrame) -> DataFrame:
     """(source, ja, en, cosine, times, cues, norms): lines of a source with a cosine of at least LEAST_PART, near each other in time."""
     near = F.flatten(F.transform("drifts", lambda d: F.sequence(F.floor((F.col("from_en") - d) / BLOCK_MS) - 1, F.floor((F.col("from_en") - d) / BLOCK_MS) + 1)))
-    block_en, block_ja = F.expr(f"from_en div {BLOCK_MS}"), F.expr(f"from_ja div {BLOCK_MS}")
-    placed = en.withColumn("block", block_en).join(_drifts(ja, en, cosines), ["source", "block"]).withColumn("blocks", F.array_distinct(near))
-    left = ja.select("source", block_ja.alias("block"), "ja", "norm_ja", F.explode("terms").alias("x"))
-    left = left.select("source", "block", "ja", (F.col("x.w") / F.col("norm_ja")).alias("x"), F.explode("x.to").alias("y"))
-    left = left.select("source", "block", "ja", F.col("y.en").alias("u"), (F.col("x") * F.col("y.cosine")).alias("x"))
-    right = placed.select("source", "en", "blocks", "norm_en", F.explode("terms").alias("y"))
-    right = right.select("source", F.explode("blocks").alias("block"), "en", F.col("y.term").alias("u"), (F.col("y.w") / F.col("norm_en")).alias("y"))
-    met = left.join(right, ["source", "block", "u"]).groupBy("ja", "en").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    lines = {"ja": _lines(ja, "ja"), "en": materialize(_lines(en, "en"), "lines")}
+    drifts = _drifts(ja, en, lines["en"], cosines)
+    right = en.withColumn("block", F.expr(f"from_en div {BLOCK_MS}")).join(drifts, ["source", "block"])
+    right = right.select("source", F.explode(F.array_distinct(near)).alias("block"), "en", "e", "y")
+    left = ja.select("source", F.expr(f"from_ja div {BLOCK_MS}").alias("block"), "ja", "e", "x")
+    met = left.join(right, ["source", "block", "e"]).groupBy("ja", "en").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
     met = met.filter(F.col("cosine") >= LEAST_PART)
-    return met.join(ja.drop("terms"), "ja").join(en.drop("terms", "source"), "en")
+    out = materialize(met.join(lines["ja"], "ja").join(lines["en"].drop("source"), "en"), "similar")
+    release(ja.sparkSession, lines["en"])
+    return out
 
 
 def _foretold(pairs: DataFrame) -> DataFrame:
@@ -329,13 +360,14 @@ def translation_pairs(lines: DataFrame) -> DataFrame:
     terms pair with nothing; without any paired document the result is empty.
     """
     lines, spark = lines.fillna("", ["ja_text", "en_text"]).filter("id IS NOT NULL"), lines.sparkSession
-    cosines, common = term_cosines(lines.filter("ja_text <> '' AND en_text <> ''").select("id", F.col("ja_text").alias("a"), F.col("en_text").alias("b")))
+    paired = lines.filter("ja_text <> '' AND en_text <> ''").select("id", F.col("ja_text").alias("a"), F.col("en_text").alias("b"))
+    cosines, function_words, listed = term_cosines(paired)
     sources = lines.filter("ja_text = '' AND en_text <> ''").select("source").distinct()
     rows = lines.filter("ja_text = '' OR en_text = ''").join(sources, "source", "left_semi").distinct()
-    rows, function_words = materialize(rows, "tracks"), np.array(sorted(common), np.int64)
-    ja = materialize(_vectors(_track(rows, "ja_text", False, function_words), cosines, "ja"), "ja")
-    en = materialize(_vectors(_track(rows, "en_text", True, function_words), cosines, "en"), "en")
-    pairs = materialize(_similar(ja, en, cosines), "similar")
+    rows = materialize(rows, "tracks")
+    ja = materialize(_vectors(_track(rows, "ja_text", False, function_words, listed[0]), cosines, "ja"), "ja")
+    en = materialize(_vectors(_track(rows, "en_text", True, function_words, listed[1]), cosines, "en"), "en")
+    pairs = _similar(ja, en, cosines)
     release(spark, rows, ja, en, cosines)
     placed = materialize(_foretold(pairs), "placed")
     release(spark, pairs)

@@ -1,203 +1,209 @@
 """Problem 7: held-out passages in a training corpus, by a distributed positional inverted index.
 
-Texts are reduced to their letters and digits. The tokens of a document are the blocks of G letters at every
-STEP-th position; those of a passage are the blocks at every position. Any common stretch of G + STEP - 1 letters thus
-holds a whole document token, so no stretch of the least length is missed. Posting lists are intersected with
-the passages' terms, hits that lie in one place are counted with the offset of the rarest term first, and what can still
-be half a passage is compared letter by letter: phrases by extension, proximity by chaining the phrases.
+Texts are reduced to their letters and digits. A token is a run of as many letters as the shortest stretch that counts, and
+every position of a document starts one, so the positions in the posting lists say all that is asked: the lists
+of a passage's terms, each moved back by the term's offset, meet in one number exactly where document and passage agree,
+and a run of neighbouring offsets is a phrase. Phrases that follow each other in the passage's order, with gaps up to
+its length, are proximity matches. Lists are intersected from the rarest term on: only places that hold a term beyond the
+few most frequent ones, without which no passage is half there, look into the long lists at all.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tanmono.llm.hashing import codes_of, gram_hashes
 from tanmono.plans.storage import materialize, release
 
-
-@dataclass(frozen=True)
-class Script:
-    """Letters of a token, distance of a document's tokens, least letters of a stretch (size + step - 1 at most)."""
-
-    size: int
-    step: int
-    stretch: int
-
-
-JA = Script(8, 8, 15)
-EN = Script(16, 15, 30)
+#: Letters of the shortest stretch that counts, in passages of East Asian scripts and of others.
+JA, EN = 15, 30
 #: From here on, characters belong to East Asian scripts.
 WIDE = 0x2E80
-#: Terms, or hits with their passages, up to which these are broadcast (under 40 MB); beyond, Spark shuffles both sides.
-BROADCAST_TERMS, BROADCAST_HITS = 500_000, 100_000
-#: Letters of the place in which the stretches of one passage are looked for; a passage longer than that widens it.
-PLACE = 600
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Bits of the filter of terms, 8 MB whatever the number of passages; what passes it by chance is left out by the join.
+FILTER_BITS = 26
+#: Letters that are hashed at once.
+CHUNK = 1_000_000
+_NO_LETTER = re.compile(r"[\W_]+")
 
 
 def letters(text: str | None) -> str:
     """The letters and digits of a text in one width and case."""
-    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text or "").casefold()))
+    return _NO_LETTER.sub("", unicodedata.normalize("NFKC", text or "").casefold())
 
 
-def block_hashes(codes: np.ndarray, size: int, step: int) -> np.ndarray:
-    """A hash of the size code points at every step-th position."""
-    if len(codes) < size:
-        return np.empty(0, np.int64)
-    powers = np.cumprod(np.full(size, _BASE))
-    blocks = np.lib.stride_tricks.sliding_window_view(codes.astype(np.uint64), size)[::step]
-    mixed = (blocks @ powers) ^ np.uint64(size)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
-    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+def tokens(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size letters at every position."""
+    return gram_hashes(codes, size) ^ np.uint64(size)
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+_POSTINGS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
 
-def _doc_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
-    codes = _codes(text)
-    wide, tokens, at = codes >= WIDE, [], []
-    if wide.any():
-        tokens.append(block_hashes(codes, JA.size, JA.step))
-        at.append(np.arange(len(tokens[-1])) * JA.step)
-    if len(codes) >= EN.size:
-        plain = ~np.lib.stride_tricks.sliding_window_view(wide, EN.size)[:: EN.step].any(axis=1)
-        tokens.append(block_hashes(codes, EN.size, EN.step)[plain])
-        at.append(np.flatnonzero(plain) * EN.step)
-    return (np.concatenate(tokens), np.concatenate(at)) if tokens else (np.empty(0, np.int64), np.empty(0, np.int64))
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Documents, offsets and letters, together up to CHUNK letters; a longer text comes in pieces that overlap by EN - 1."""
+    docs, offsets, parts, held = [], [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        body = letters(text.as_py())
+        for at in range(0, max(1, len(body) - JA + 1), CHUNK):
+            docs.append(doc), offsets.append(at), parts.append(body[at : at + CHUNK + EN - 1])
+            held += len(parts[-1])
+            if held >= CHUNK:
+                yield docs, offsets, parts
+                docs, offsets, parts, held = [], [], [], 0
+    yield docs, offsets, parts
 
 
-_POSTINGS = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+def _index(bits: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, offsets, parts in _pieces(batch):
+                codes = codes_of("\0".join(parts))
+                starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+                columns = []
+                for size in (JA, EN):
+                    hashes = tokens(codes, size)
+                    if bits is None:
+                        at = np.arange(len(hashes))
+                    else:
+                        spot = hashes >> np.uint64(64 - FILTER_BITS)
+                        at = np.flatnonzero((bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1))
+                    of = np.searchsorted(starts, at, "right") - 1
+                    place = at - starts[of]
+                    whole = (at + size < starts[of + 1]) & (place < CHUNK)
+                    of, place = of[whole], place[whole]
+                    columns.append((hashes[at[whole]].view(np.int64), np.array(docs, np.int64)[of], place + np.array(offsets, np.int64)[of]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], schema=_POSTINGS)
 
+    return run
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tokens, docs, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t, a = _doc_tokens(letters(text.as_py()))
-            tokens.append(t), at.append(a), docs.append(np.full(len(t), doc))
-        columns = [np.concatenate(tokens), np.concatenate(docs), np.concatenate(at).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _POSTINGS, strict=True)], schema=_POSTINGS)
 
+def positional_index(docs: DataFrame, key: str, text: str, bits: np.ndarray | None = None) -> DataFrame:
+    """(token, doc, at): the postings of documents; with bits, only of tokens that pass this filter.
 
-def positional_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, doc, at): the posting of every document token. Write it as a table to search it more than once."""
+    Written as a table without a filter, it serves any number of searches.
+    """
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc IS NOT NULL AND text <> ''")
-    return rows.mapInArrow(_index, "token long, doc long, at int")
+    return rows.mapInArrow(_index(bits), "token long, doc long, at long")
 
 
-_TERMS = pa.schema([("token", pa.int64()), ("item", pa.int64()), ("of", pa.int32()), ("least", pa.int32()), ("place", pa.int32())])
+_TERMS = pa.schema([(c, pa.int64()) for c in ("token", "item", "part", "of", "n", "size")])
 
 
-def _script(lang: str | None, codes: np.ndarray) -> Script:
+def _size(lang: str | None, codes: np.ndarray) -> int:
     return EN if lang == "en" or (lang != "ja" and not (codes >= WIDE).any()) else JA
 
 
 def _passage_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for item, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            codes = _codes(letters(text))
-            script = _script(lang, codes)
-            least = max(1, -(-((len(codes) + 1) // 2) // (script.stretch + script.step - 1)))
-            out.extend((t, item, at, least, max(PLACE, 3 * len(codes))) for at, t in enumerate(block_hashes(codes, script.size, 1).tolist()))
-        columns = zip(*out, strict=True) if out else ((),) * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _TERMS, strict=True)], schema=_TERMS)
+        for item, part, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            codes = codes_of(letters(text))
+            size = _size(lang, codes)
+            hashes = tokens(codes, size).view(np.int64)
+            item, part, n, size = (np.full(len(hashes), x) for x in (item, part, len(codes), size))
+            columns = [hashes, item, part, np.arange(len(hashes)), n, size]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_TERMS)
 
 
-def candidate_places(index: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc, item, hits): hits (of, at) in a place of a document that may hold half of the passage, rarest term first.
+def passage_terms(items: DataFrame, item: str, lang: str, passage: str) -> DataFrame:
+    """(token, item, part, of, n, size): the terms of passages with their offsets, letters of the passage and of a term.
 
-    A stretch holds a document token for every stretch + step - 1 letters, which bounds the tokens of half a passage from
-    below; places with fewer distinct tokens are left out, and nothing else is.
+    An id with several texts has as many parts, which count apart.
     """
-    terms = materialize(passages.mapInArrow(_passage_terms, "token long, item long, of int, least int, place int"), "terms")
-    small = terms.count() <= BROADCAST_TERMS
-    hits = materialize(index.join(F.broadcast(terms) if small else terms, "token"), "hits")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    spots = hits.withColumn("spot", F.explode(F.array(F.expr("at div place"), F.expr("at div place - 1")))).join(df, "token")
-    spots = spots.groupBy("doc", "item", "spot").agg(
-        F.array_sort(F.collect_set(F.struct("df", "of", "at"))).alias("hits"), F.count_distinct("of").alias("n"), F.first("least").alias("least")
-    )
-    out = materialize(spots.filter("n >= least").select("doc", "item", "hits"), "spots")
-    release(index.sparkSession, terms, hits)
+    rows = items.select(F.col(item).cast("bigint").alias("item"), F.col(lang).alias("lang"), F.col(passage).alias("passage"))
+    rows = rows.filter("item IS NOT NULL AND passage <> ''").distinct().select("item", F.xxhash64("passage", "lang").alias("part"), "lang", "passage")
+    return rows.mapInArrow(_passage_terms, "token long, item long, part long, of long, n long, size long")
+
+
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bit for each leading FILTER_BITS of a term's hash; at most 2 ** (FILTER_BITS - 6) words come to the driver."""
+    spot = F.shiftrightunsigned("token", 64 - FILTER_BITS)
+    words = terms.select(F.shiftright(spot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - FILTER_BITS}) & 63 AS int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def _extended(a: str, b: str, i: int, j: int) -> tuple[int, int, int]:
-    """The longest equal stretch of a and b through a[i] and b[j], as start in a, start in b, length."""
-    left = 0
-    while left < i and left < j and a[i - left - 1] == b[j - left - 1]:
-        left += 1
-    right, most = 0, min(len(a) - i, len(b) - j)
-    while right < most and a[i + right] == b[j + right]:
-        right += 1
-    return i - left, j - left, left + right
-
-
-def covered_letters(passage: str, doc: str, hits: list[tuple[int, int]], stretch: int) -> int:
-    """Letters of the passage that the best chain of stretches covers, in order, gaps up to the passage's length."""
-    found: set[tuple[int, int, int]] = set()
-    for i, j in hits:
-        if passage[i : i + 1] != doc[j : j + 1]:
-            continue  # a hit of another text under the same id
-        if not any(s[0] <= i < s[0] + s[2] and j - i == s[1] - s[0] for s in found):
-            found.add(_extended(passage, doc, i, j))
-    chain: list[tuple[int, int, int, int]] = []
-    for i, j, n in sorted(s for s in found if s[2] >= stretch):
-        best = 0
-        for pi, pj, pn, score in chain:
-            over = max(0, pi + pn - i, pj + pn - j)
-            if pi < i and pj < j and over < n and j - pj - pn <= len(passage):
-                best = max(best, score - over)
-        chain.append((i, j, n, best + n))
-    return max((c[3] for c in chain), default=0)
+def candidate_places(postings: DataFrame, terms: DataFrame, share: float) -> DataFrame:
+    """(doc, item, n, size, hits): the hits (of, at) in a place of a document that may hold that share of a passage.
+
+    A place is as wide as the stretches of a passage can lie apart, and places overlap by half, so none is cut. Stretches
+    of a share of n letters hold at least share * n / size distinct terms. So a place must hold one of the rarest terms
+    of its passage, all but as many as that number less one, and places without them are not looked for in
+    the lists of the others.
+    """
+    least = F.ceil(F.ceil(F.lit(share) * F.col("n")) / F.col("size"))
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    common = Window.partitionBy("item", "part").orderBy(F.col("df").desc(), "of")
+    ranked = terms.join(df, "token").withColumn("rare", F.row_number().over(common) >= least)
+    # Letters between the first and the last stretch: n for the stretches and n for each gap.
+    width = F.expr("n + (n div size + 1) * n")
+    hits = postings.join(ranked, "token").select("doc", "item", "part", "n", "size", "of", "at", "rare", F.floor(F.col("at") / width).alias("p"))
+    hits = materialize(hits.select(*hits.columns[:-1], F.explode(F.array(F.col("p"), F.col("p") - 1)).alias("place")), "hits")
+    place = ["doc", "item", "part", "n", "size", "place"]
+    wanted = hits.filter("rare").select(place).distinct()
+    near = hits.join(wanted, place, "left_semi").groupBy(place).agg(F.collect_set(F.struct("of", "at")).alias("hits"))
+    out = near.filter(F.size(F.array_distinct("hits.of")) >= least).select("doc", "item", "n", "size", "hits")
+    out = materialize(out, "places")
+    release(terms.sparkSession, hits)
+    return out
+
+
+def phrases(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(offset, position, letters) of the longest stretches that hits of size letters add up to."""
+    hits = np.array(sorted(hits, key=lambda h: (h[1] - h[0], h[0])), np.int64).reshape(-1, 2)
+    if not len(hits):
+        return []
+    new = np.append(True, (np.diff(hits[:, 0]) != 1) | (np.diff(hits[:, 1]) != 1))
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(hits)))
+    return sorted(zip(hits[first, 0].tolist(), hits[first, 1].tolist(), (n + size - 1).tolist(), strict=True))
+
+
+def covered_letters(hits: list[tuple[int, int]], size: int, n: int) -> int:
+    """Letters of a passage of n letters that its best chain of phrases covers, in order, with gaps up to n."""
+    found = np.array(phrases(hits, size), np.int64).reshape(-1, 3)
+    end_a, end_b, score = found[:, 0] + found[:, 2], found[:, 1] + found[:, 2], np.zeros(len(found), np.int64)
+    for k, (i, j, length) in enumerate(found):
+        over = np.maximum(0, np.maximum(end_a[:k] - i, end_b[:k] - j))
+        fits = (found[:k, 0] < i) & (found[:k, 1] < j) & (over < length) & (j - end_b[:k] <= n)
+        score[k] = length + max(0, int((score[:k] - over)[fits].max(initial=0)))
+    return int(score.max(initial=0))
 
 
 _FOUND = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("share", pa.float64())])
 
 
-def _verified(share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best: dict[tuple[int, int], float] = {}
-            for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                body = letters(text)
-                for place in places:
-                    passage = letters(place["passage"])
-                    script = _script(place["lang"], _codes(passage))
-                    n = covered_letters(passage, body, [(h["of"], h["at"]) for h in place["hits"]], script.stretch)
-                    key = (doc, place["item"])
-                    if n >= share * len(passage) > 0:
-                        best[key] = max(best.get(key, 0.0), n / len(passage))
-            rows = [(d, i, s) for (d, i), s in best.items()]
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shares = []
+        for n, size, hits in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            shares.append(covered_letters([(h["of"], h["at"]) for h in hits], size, n) / n)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shares, pa.float64())], schema=_FOUND)
 
-    return run
+
+def search(postings: DataFrame, terms: DataFrame, share: float = 0.5) -> DataFrame:
+    """(doc, item, share): documents of an index that hold at least that share of a passage's letters in one place."""
+    found = candidate_places(postings, terms, share).mapInArrow(_chained, "doc long, item long, share double")
+    return found.groupBy("doc", "item").agg(F.max("share").alias("share")).filter(F.col("share") >= share)
 
 
 def leaked_passages(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, lang: str, passage: str, share: float = 0.5) -> DataFrame:
     """(doc, item, share): documents that hold at least that share of a passage's letters in one place.
 
     Counted are stretches of 15 (ja) or 30 (en) letters in the passage's order. Rows with a null key or a null or empty
-    text take no part; passages too short for a stretch cannot be found; repeated rows give one result row.
+    text take no part; passages too short for a stretch cannot be found; repeated rows give one result row; documents
+    with the same key are one index entry each, told apart only by their positions.
     """
-    passages = items.select(F.col(item).cast("bigint").alias("item"), F.col(lang).alias("lang"), F.col(passage).alias("passage"))
-    passages = passages.filter("item IS NOT NULL AND passage <> ''").distinct()
-    places = candidate_places(positional_index(docs, key, text), passages)
-    cases = F.collect_list(F.struct("item", "lang", "passage", "hits")).alias("places")
-    wanted = materialize(places.join(passages, "item").groupBy("doc").agg(cases), "places")
-    release(docs.sparkSession, places)
-    n_hits = wanted.agg(F.sum(F.expr("aggregate(places, 0L, (n, p) -> n + size(p.hits))"))).first()[0] or 0
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text <> ''")
-    rows = rows.join(F.broadcast(wanted) if n_hits <= BROADCAST_HITS else wanted, "doc")
-    found = rows.select("doc", "text", "places").mapInArrow(_verified(share), "doc long, item long, share double")
-    return found.groupBy("doc", "item").agg(F.max("share").alias("share"))
+    terms = materialize(passage_terms(items, item, lang, passage), "terms")
+    postings = materialize(positional_index(docs, key, text, term_filter(terms)), "postings")
+    found = search(postings, terms, share)
+    release(docs.sparkSession, terms, postings)
+    return found

@@ -113,6 +113,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.sharing_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").toDF("doc_id_a", "doc_id_b")
 
 
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages of documents with the representatives of what they share: bounds, equal characters, longest exact span."""
+    found = p8.span_passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "start_a", "end_a", "start_b", "end_b", "equal", "longest")
+
+
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
@@ -153,7 +159,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found, "p5_counts": p5_counts, "p5_ngrams": p5_ngrams,
         "p6_packing": p6_packing,
         "p7_found": p7_found,
-        "p8_found": p8_found, "p8_shared": p8_shared,
+        "p8_found": p8_found, "p8_shared": p8_shared, "p8_passages": p8_passages,
     }
 
 

@@ -1,9 +1,11 @@
 """Problem 8: long exact spans that records share, by collinear chaining of k-mer seeds.
 
 Seeds are minimizers: in every window of W neighbouring K-mers the one with the least hash. A span of K + W - 1
-characters that two texts share holds the same minimizer in both. Seeds are joined, the matches of a pair are chained
-with gap costs through a Fenwick tree, and the chains are aligned with the texts, which gives fuzzy passages and
-the exact spans inside them. Of texts that are equal in full, one represents all.
+characters that two texts share holds the same minimizer in both. Around seeds that several texts hold, the spans of the
+least length are hashed; those that the same set of documents holds belong to one class, and a class has a
+representative and members, however many they are. Each member's seeds are joined with those of its representative,
+the matches are chained with gap costs through a Fenwick tree, and the chains are aligned with the texts, which gives
+fuzzy passages and the exact spans inside them. Of texts that are equal in full, one represents all.
 """
 
 from __future__ import annotations
@@ -13,38 +15,16 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tanmono.llm.hashing import codes_of, gram_hashes
 from tanmono.plans.storage import materialize, release
 
-#: A seed that more documents hold is compared by whole spans of the least length around it instead.
-HOT = 100
-#: Rows of small tables up to which they are broadcast (some 20 MB); beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 300_000
 #: Cost of a chain for each character between two seeds, in characters; longest gap that is aligned.
 GAP_COST, GAP = 0.1, 400
-_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
-
-
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-grams: those of 2, 4, 8 ... characters are put together by the bits of k."""
-    n = len(codes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    part, length, power = codes.astype(np.uint64), 1, _BASE
-    total, have = None, 0
-    while True:
-        if k & length:
-            tail = part[have : have + n]
-            total = tail if total is None else total * np.uint64(power) + tail
-            have += length
-        if have == k:
-            break
-        part = part[:-length] * np.uint64(power) + part[length:]
-        power, length = power * power % 2**64, length * 2
-    mixed = (total ^ (total >> np.uint64(31))) * _MIX
-    return mixed ^ (mixed >> np.uint64(29))
+#: Members of a class that meet all others in one task.
+MEET = 1_000
 
 
 def _sliding(values: np.ndarray, w: int, pick: np.ufunc, worst: np.uint64) -> np.ndarray:
@@ -70,10 +50,6 @@ def minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, w, np.maximum, low) == hashes)
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 _SEEDS = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
 
 
@@ -91,7 +67,7 @@ def _seeds(least: int):
             seeds, docs, at = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                hashes = gram_hashes(_codes(text), k)
+                hashes = gram_hashes(codes_of(text), k)
                 spots = minimizers(hashes, w)
                 if len(np.unique(hashes[spots])) < len(spots):  # the text repeats itself: one seed for each surrounding
                     around = {text[max(0, p - least + k) : p + least]: p for p in reversed(spots.tolist())}
@@ -102,20 +78,26 @@ def _seeds(least: int):
     return run
 
 
-def _windows(least: int):
-    """All spans of the least length around hot seeds."""
+_SPANS = pa.schema([("span", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("first", pa.bool_())])
+
+
+def _around(least: int):
+    """All spans of the least length that hold a shared seed; first is true at a text's first place with that span."""
     k = least // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, docs, at = [], [], []
-            for doc, text, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = gram_hashes(_codes(text), least)
-                near = np.unique(np.concatenate([np.arange(p - least + k, p + 1) for p in hot]))
-                near = near[(near >= 0) & (near < len(hashes))]
-                values, first = np.unique(hashes[near], return_index=True)
-                seeds.append(values.view(np.int64)), at.append(near[first]), docs.append(np.full(len(values), doc))
-            yield _seed_batch(seeds, docs, at)
+            for doc, text, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes = codes_of(text)
+                hashes, held = gram_hashes(codes, least), np.isin(gram_hashes(codes, k), np.array(seeds, np.int64).view(np.uint64))
+                # A span at s holds a seed if one starts in s ... s + least - k.
+                count = np.append(0, np.cumsum(held))
+                at = np.flatnonzero(count[least - k + 1 :][: len(hashes)] > count[: len(hashes)])
+                values, first = np.unique(hashes[at], return_index=True)
+                is_first = np.zeros(len(at), bool)
+                is_first[first] = True
+                columns = (hashes[at].view(np.int64), np.full(len(at), doc), at, is_first)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPANS, strict=True)], schema=_SPANS)
 
     return run
 
@@ -236,7 +218,7 @@ def _passages(least: int):
         for batch in batches:
             rows = []
             for a, b, matches, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes_a, codes_b = _codes(text_a), _codes(text_b)
+                codes_a, codes_b = codes_of(text_a), codes_of(text_b)
                 for chain in chains([(m["at_a"], m["at_b"]) for m in matches], least // 2):
                     for p in aligned(text_a, text_b, chain):
                         long = [s for s in p["spans"] if s[2] >= least]
@@ -252,11 +234,6 @@ def _passages(least: int):
     return run
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def representatives(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     """(doc, rep): the ids of texts that stand there more than once, with the smallest id of each such group."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.unhex(F.md5(text)).alias("digest"), F.char_length(text).alias("n"))
@@ -265,68 +242,99 @@ def representatives(docs: DataFrame, key: str, text: str, least: int) -> DataFra
     return rows.join(groups, "digest").select("doc", "rep").distinct()
 
 
-def shared_passages(docs: DataFrame, key: str, text: str, least: int = 240) -> tuple[DataFrame, DataFrame]:
-    """Passages of pairs of different texts, and (doc, rep) of the texts that stand there more than once.
-
-    A passage is a row (a, b, start_a, end_a, start_b, end_b, equal, longest, spans_a, spans_b) with at least one exact
-    span of least characters; a < b are representatives. Rows with null id or text take no part, nor do texts shorter
-    than least. A seed that more than HOT documents hold is never paired as such: all spans of the least
-    length around it are, so that documents meet only if they share a whole span.
-    """
-    copies = materialize(representatives(docs, key, text, least), "copies")
+def _texts(docs: DataFrame, key: str, text: str, least: int, copies: DataFrame) -> DataFrame:
+    """(doc, text): one of every group of equal texts."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     rows = rows.filter(F.col("doc").isNotNull() & (F.char_length("text") >= least))
-    rows = rows.join(_bounded(copies.filter("doc <> rep").select("doc")), "doc", "left_anti")
+    return rows.join(copies.filter("doc <> rep").select("doc"), "doc", "left_anti")
+
+
+def shared_spans(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Shared seeds (seed, doc, at) and shared spans (span, class, rep, doc, at, first) of rows(doc, text).
+
+    Spans are all places of texts where a span of the least length starts that another document holds too. class tells the set
+    of documents that hold the span, by the sum of their hashes; rep is the smallest of them.
+    """
     seeds = materialize(rows.mapInArrow(_seeds(least), "seed long, doc long, at int"), "seeds")
-    sizes = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    found = materialize(seeds.join(sizes.select("seed", "n"), "seed"), "found")
-    release(docs.sparkSession, seeds)
-    hot = found.filter(F.col("n") > HOT).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("hot"))
-    wide = rows.join(_bounded(materialize(hot, "hot")), "doc").select("doc", "text", "hot")
-    wide = materialize(wide.mapInArrow(_windows(least), "seed long, doc long, at int"), "windows")
-    met = found.filter(F.col("n") <= HOT).select("seed", "doc", "at").unionByName(wide)
-    a = met.select("seed", F.col("doc").alias("a"), F.col("at").alias("at_a"))
-    b = met.select("seed", F.col("doc").alias("b"), F.col("at").alias("at_b"))
-    pairs = a.join(b, "seed").filter("a < b").groupBy("a", "b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("matches"))
-    pairs = materialize(pairs, "pairs")
-    release(docs.sparkSession, found, wide)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = materialize(rows.join(_bounded(materialize(wanted, "wanted")), "doc", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    both = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("seed")
+    found = materialize(seeds.join(both, "seed", "left_semi"), "found")
+    wanted = found.groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
+    spans = rows.join(wanted, "doc").select("doc", "text", "seeds").mapInArrow(_around(least), "span long, doc long, at long, first boolean")
+    spans = materialize(spans, "around")
+    member = F.when(F.col("first"), F.xxhash64("doc").cast("decimal(20,0)"))
+    held = spans.groupBy("span").agg(F.min("doc").alias("rep"), F.max("doc").alias("hi"), F.sum(member).alias("class")).filter("rep < hi")
+    shared = materialize(spans.join(held.select("span", "class", "rep"), "span"), "shared")
+    release(rows.sparkSession, seeds, spans)
+    return found, shared
+
+
+def shared_passages(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Passages of representatives and members of classes, and the members (class, rep, doc) with such a passage.
+
+    A passage is a row (a, b, start_a, end_a, start_b, end_b, equal, longest, spans_a, spans_b) with at least one exact
+    span of least characters, a being the representative.
+    """
+    found, shared = shared_spans(rows, least)
+    one = shared.groupBy("class").agg(F.min("span").alias("span"))
+    members = materialize(shared.filter("first").join(one, ["class", "span"], "left_semi").select("class", "rep", "doc"), "members")
+    pairs = members.filter("rep <> doc").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct()
+    b = found.select("seed", F.col("doc").alias("b"), F.col("at").alias("at_b"))
+    a = found.select("seed", F.col("doc").alias("a"), F.col("at").alias("at_a"))
+    matches = pairs.join(b, "b").join(a, ["a", "seed"]).groupBy("a", "b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("matches"))
+    both = matches.join(rows.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(rows.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     passages = both.select("a", "b", "matches", "text_a", "text_b").mapInArrow(_passages(least), _PASSAGES_DDL)
     passages = materialize(passages, "passages")
-    release(docs.sparkSession, pairs, texts)
-    return passages, copies
+    true = passages.select(F.col("a").alias("rep"), F.col("b").alias("doc")).distinct()
+    members = members.filter("rep = doc").unionByName(members.join(true, ["rep", "doc"], "left_semi"))
+    release(rows.sparkSession, found, shared)
+    return passages, members
+
+
+def _meetings(members: DataFrame, group: str) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: all pairs of members of a group, a large group spread over many tasks."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / MEET).alias("parts"))
+    rows = members.join(sizes, group)
+    a = rows.select(group, F.col("doc").alias("doc_a"), F.pmod(F.xxhash64("doc"), "parts").alias("part"))
+    b = rows.select(group, F.col("doc").alias("doc_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, [group, "part"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+
+
+def span_passages(docs: DataFrame, key: str, text: str, least: int = 240) -> DataFrame:
+    """Passages (see shared_passages) of each document with the representatives of the classes it is in, copies by their first."""
+    rows = _texts(docs, key, text, least, materialize(representatives(docs, key, text, least), "copies"))
+    return shared_passages(rows, least)[0]
 
 
 def sharing_pairs(docs: DataFrame, key: str, text: str, least: int = 240) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents that share a span of at least least characters, copies included."""
-    passages, copies = shared_passages(docs, key, text, least)
-    pairs = passages.select("a", "b").distinct()
+    """(doc_a, doc_b), doc_a < doc_b: documents that share a span of at least least characters, copies included.
+
+    Rows with null id or text take no part, nor do texts shorter than least. The members of a class and the copies of a
+    text are pairwise results; everything up to there is one row for each member.
+    """
+    copies = materialize(representatives(docs, key, text, least), "copies")
+    _, members = shared_passages(_texts(docs, key, text, least, copies), least)
+    pairs = _meetings(members, "class").toDF("a", "b")
     pairs = pairs.join(copies.toDF("doc_a", "a"), "a", "left").withColumn("doc_a", F.coalesce("doc_a", "a"))
     pairs = pairs.join(copies.toDF("doc_b", "b"), "b", "left").withColumn("doc_b", F.coalesce("doc_b", "b"))
     between = pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
-    within = copies.toDF("doc_a", "rep").join(copies.toDF("doc_b", "rep"), "rep").filter("doc_a < doc_b")
-    return between.unionByName(within.select("doc_a", "doc_b"))
+    return between.unionByName(_meetings(copies, "rep"))
 
 
 def shared_share(docs: DataFrame, key: str, text: str, least: int = 240) -> DataFrame:
     """(doc, n_chars, n_shared): for each document, how many of its characters stand in spans that others hold too.
 
     Overlapping spans count once; a text that has copies is shared as a whole. Texts shorter than least share nothing.
+    Documents never meet in pairs: a span says by itself whether another document holds it.
     """
-    passages, copies = shared_passages(docs, key, text, least)
-    spans = passages.select(F.col("a").alias("rep"), F.explode("spans_a").alias("s"))
-    spans = spans.unionByName(passages.select(F.col("b").alias("rep"), F.explode("spans_b").alias("s")))
-    ordered = spans.select("rep", "s.start", "s.end").groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    covered = F.expr(
-        "aggregate(spans, named_struct('n', 0L, 'to', 0L), (x, s) -> named_struct('n', "
-        "x.n + greatest(0L, s.end - greatest(s.start, x.to)), 'to', greatest(x.to, s.end)), x -> x.n)"
-    )
-    ordered = ordered.select("rep", covered.alias("covered"))
+    copies = materialize(representatives(docs, key, text, least), "copies")
+    found, shared = shared_spans(_texts(docs, key, text, least, copies), least)
+    release(docs.sparkSession, found)
+    following = F.lead("at").over(Window.partitionBy("doc").orderBy("at"))
+    length = F.least(F.lit(least), F.coalesce(following - F.col("at"), F.lit(least)))
+    covered = shared.select("doc", length.alias("n")).groupBy(F.col("doc").alias("rep")).agg(F.sum("n").alias("covered"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.char_length(text).cast("bigint").alias("n_chars")).filter("doc IS NOT NULL")
     rows = rows.join(copies.withColumn("copied", F.lit(True)), "doc", "left").withColumn("rep", F.coalesce("rep", "doc"))
-    rows = rows.join(ordered, "rep", "left")
+    rows = rows.join(covered, "rep", "left")
     shared = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return rows.select("doc", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce(shared, F.lit(0)).alias("n_shared"))

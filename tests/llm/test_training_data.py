@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -181,11 +182,12 @@ def test_term_cosines_are_of_all_lines(spark, monkeypatch, least, listed):
             lines[1][w].add(n)
     del lines[0][""]
     exact = {(a, b): len(x & y) / ((len(x) * len(y)) ** 0.5 + 0.5) for a, x in lines[0].items() for b, y in lines[1].items() if x & y}
-    name = {w: int(alignment._hashed([w], alignment.words)[1][0]) for w in (*ja, *en, "は", "of", "the")}
+    hashed = lambda w: alignment._hashed([w], alignment.words)[1]
     df = spark.createDataFrame([*docs, docs[250]], "id long, a string, b string")  # a repeated row counts once
-    got, common = alignment.term_cosines(df, least)
-    assert sorted(common) == sorted([name["of"], name["the"]])
-    assert {(r.ja, r.en): r.cosine for r in got.collect()} == pytest.approx({(name[a], name[b]): v for (a, b), v in exact.items() if v >= least})
+    got, common, lists = alignment.term_cosines(df, least)
+    assert sorted(common) == sorted([hashed("of")[0], hashed("the")[0]])
+    code = lambda w, side: int(alignment._known(hashed(w), lists[side])[0][0])
+    assert {(r.ja, r.en): r.cosine for r in got.collect()} == pytest.approx({(code(a, 0), code(b, 1)): v for (a, b), v in exact.items() if v >= least})
 
 
 def test_alignment_of_lines_in_hiragana(spark):
@@ -315,10 +317,37 @@ def test_leaks(spark):
     assert leaks.leaked_passages(docs.withColumnRenamed("doc", "d"), "d", "text", items.limit(0), "item", "lang", "passage").count() == 0
 
 
+def test_leaks_in_mixed_scripts_and_whole_test_sets(spark):
+    rng = random.Random(6)
+    mixed = "".join(c + ("漢字仮名交文章"[i // 15] if i % 15 == 7 else "") for i, c in enumerate("".join(rng.choice(string.ascii_lowercase) for _ in range(104))))
+    kanji = [chr(0x4E00 + i) for i in range(2000)]
+    passages = [mixed, "".join(rng.choice(kanji) for _ in range(90)) + "latin letters in a row", "あ" * 100, "ab" * 60, "Ｆｕｌｌ ｗｉｄｔｈ " * 9]
+    items = spark.createDataFrame([(i, lang, "Q?", p) for i, p in enumerate(passages) for lang in [["en", "ja", "ja", "en", "en"][i]]], "item long, lang string, q string, passage string")
+    far = "".join(rng.choice(kanji) for _ in range(4000))
+    docs = [(i, "intro, " + p + ". outro") for i, p in enumerate(passages)] + [(10, far.join(passages)), (11, mixed[:70] + " 3 " + mixed[70:]), (12, far)]
+    docs = spark.createDataFrame(docs, "d long, text string")
+    expected = {(i, i) for i in range(5)} | {(10, i) for i in range(5)} | {(11, 0)}
+    found = leaks.leaked_passages(docs, "d", "text", items, "item", "lang", "passage")
+    assert {(r.doc, r.item) for r in found.collect()} == expected
+    stored = leaks.search(leaks.positional_index(docs, "d", "text"), leaks.passage_terms(items, "item", "lang", "passage"))
+    assert rows(stored) == rows(found)
+
+
+def test_leaks_of_texts_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "CHUNK", 50)
+    batch = pa.RecordBatch.from_pydict({"d": [1, 2, 3], "t": ["".join(random.Random(1).choices(string.ascii_lowercase, k=333)), "short", "x" * 60]})
+    cut = pa.concat_tables(pa.Table.from_batches([b]) for b in leaks._index(None)([batch])).to_pylist()
+    monkeypatch.setattr(leaks, "CHUNK", 10**6)
+    whole = pa.concat_tables(pa.Table.from_batches([b]) for b in leaks._index(None)([batch])).to_pylist()
+    assert sorted(map(repr, cut)) == sorted(map(repr, whole)) and len(cut) == 333 - 14 + 333 - 29 + 46 + 31
+
+
 def test_covered_letters_keeps_order():
-    a = "abcdefghijklmnopqrstuvwxyz"
-    assert leaks.covered_letters(a, "xx" + a + "yy", [(5, 7)], 5) == 26
-    assert leaks.covered_letters(a, a[13:] + a[:13], [(0, 13), (13, 0)], 5) == 13
+    hits = [(i, i + 2) for i in range(22)]
+    assert leaks.phrases(hits, 5) == [(0, 2, 26)] and leaks.covered_letters(hits, 5, 26) == 26
+    swapped = [(i, i + 13) for i in range(9)] + [(i + 13, i) for i in range(9)]
+    assert leaks.covered_letters(swapped, 5, 26) == 13
+    assert leaks.covered_letters([], 5, 26) == 0
 
 
 # Problem 8
@@ -332,9 +361,9 @@ def brute_pairs(texts, least):
     return {(a, b) for v in held.values() for a in v for b in v if a < b}
 
 
-@pytest.mark.parametrize("hot", [100, 1])
-def test_shared_spans(spark, monkeypatch, hot):
-    monkeypatch.setattr(spans, "HOT", hot)
+@pytest.mark.parametrize("meet", [1000, 2])
+def test_shared_spans(spark, monkeypatch, meet):
+    monkeypatch.setattr(spans, "MEET", meet)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
     shared = [word(40), word(39), word(70)]
