@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VERDICTS = ["pass", "flag", "uncertain"]
@@ -36,52 +38,79 @@ def snapshot(plan: DataFrame, path: str, replace: bool = False) -> None:
     plan.write.mode("overwrite" if replace else "errorifexists").parquet(path)
 
 
+def first_alternatives(examples: DataFrame, limit: int) -> DataFrame:
+    """Alternatives (source_id, lexeme_id, length, cue_index, sentence_id, needs) that a gate of that limit can come to.
+
+    They are tried short and early ones first. One without needs suits unless it is shown or the card's own, so none is tried
+    after the first limit + 1 of these.
+    """
+    order = Window.partitionBy("source_id", "lexeme_id").orderBy("length", "cue_index", "sentence_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.size("needs") == 0, 1).otherwise(0)).over(order), F.lit(0))
+    return examples.withColumn("before", before).filter(F.col("before") <= limit).drop("before")
+
+
+@dataclass
+class Course:
+    """What a learner has met after some cards: words taught, words refused with their difficulty, sentences shown."""
+
+    taught: set[int] = field(default_factory=set)
+    refused: dict[int, float] = field(default_factory=dict)
+    shown: set[int] = field(default_factory=set)
+
+    def unknown_again(self, card: dict) -> list[int]:
+        """Words of the card's sentence that the plan took for known but that were refused."""
+        return sorted(self.refused.keys() & set(card["words"]))
+
+    def faults(self, card: dict, tolerance: float) -> list[str]:
+        """Reasons against a card: its findings, and refused words in it that are too hard for it."""
+        ceiling = card["difficulty"] + tolerance
+        hard = any(self.refused[w] > ceiling for w in self.unknown_again(card))
+        return sorted({*card["findings"], *(["rejected_word_became_harder_context"] if hard else [])})
+
+    def suits(self, card: dict, other: dict) -> bool:
+        """Whether an alternative can stand for the card: another sentence, not shown, without findings, all else in it known."""
+        fresh = other["sentence_id"] != card["sentence_id"] and other["sentence_id"] not in self.shown
+        return fresh and not len(other["findings"]) and self.taught.issuperset(other["needs"])
+
+
 def gate(cards: list[dict], limit: int, tolerance: float = 2.0) -> tuple[list[dict], list[dict]]:
-    """Accepted and rejected cards, in order.
+    """Accepted and rejected cards, in order, until limit are accepted.
 
-    A card is rejected for its findings, or if a word of its sentence was rejected before and is harder than the card by more than
-    the tolerance. A rejected card may give way to its first alternative whose other words are all accepted by then and
-    whose sentence no accepted card uses.
+    A card without faults stays as it is. One with faults stays with its first alternative that suits; needs are the words of an
+    alternative, besides the card's, that were not known before the plan. Any other is rejected, and its word counts as refused.
     """
-    accepted: list[dict] = []
-    rejected: list[dict] = []
-    known: set[int] = set()
-    used: set[int] = set()
-    hard: dict[int, float] = {}
+    course, accepted, rejected = Course(), [], []
     for card in cards:
-        if len(accepted) >= limit:
+        if len(accepted) == limit:
             break
-        reasons = list(card["findings"])
-        if any(hard.get(w, float("-inf")) > card["difficulty"] + tolerance for w in card["words"]):
-            reasons.append("rejected_word_became_harder_context")
-        if card["sentence_id"] in used:
-            reasons.append("sentence_is_used")
-        if reasons:
-            free = (a for a in card["alternatives"] if a["sentence_id"] not in used and set(a["words"]) - {card["lexeme_id"]} <= known)
-            other = next(free, None)
-            if other is None:
-                rejected.append(card | {"reasons": sorted(set(reasons))})
-                hard[card["lexeme_id"]] = card["difficulty"]
-                continue
-            card = card | {"sentence_id": other["sentence_id"], "words": other["words"], "replaced": card["sentence_id"]}
-        accepted.append(card | {"clean_position": len(accepted) + 1})
-        known.add(card["lexeme_id"])
-        used.add(card["sentence_id"])
+        faults, again = course.faults(card, tolerance), course.unknown_again(card)
+        other = next((a for a in card["alternatives"] if course.suits(card, a)), None) if faults else None
+        if faults and other is None:
+            course.refused[card["lexeme_id"]] = card["difficulty"]
+            rejected.append(card | {"reasons": faults})
+            continue
+        replaced = {"sentence_id": other["sentence_id"], "replaced": card["sentence_id"]} if other else {}
+        accepted.append(card | replaced | {"clean_position": len(accepted) + 1, "unknown_again": [] if other else again})
+        course.taught.add(card["lexeme_id"])
+        course.shown.add(accepted[-1]["sentence_id"])
     return accepted, rejected
 
 
-def select_clean(cards: DataFrame, limit: int) -> DataFrame:
-    """(plan, lexeme_id, sentence_id, clean_position, replaced) by gate() for every plan.
+def select_clean(cards: DataFrame, limit: int, tolerance: float = 2.0) -> DataFrame:
+    """(plan, lexeme_id, sentence_id, clean_position, replaced, reasons) by gate() for every plan.
 
-    cards(plan, position, lexeme_id, sentence_id, difficulty, findings array, words array, alternatives array of (sentence_id, words)); a plan
-    is a bounded batch, so a group is small.
+    cards(plan, position, lexeme_id, sentence_id, difficulty, findings array, words array, alternatives array of (sentence_id, needs,
+    findings)); a plan is a bounded batch, so a group is small. Rejected cards have no clean_position but reasons.
     """
+    columns = {"lexeme_id": "Int64", "sentence_id": "Int64", "clean_position": "Int64", "replaced": "Int64", "reasons": "object"}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        accepted, _ = gate(frame.sort_values("position").to_dict("records"), limit)
-        columns = ["lexeme_id", "sentence_id", "clean_position", "replaced"]
-        out = pd.DataFrame([{c: a.get(c) for c in columns} for a in accepted], columns=columns)
+        accepted, rejected = gate(frame.sort_values("position").to_dict("records"), limit, tolerance)
+        rows = [{c: card.get(c) for c in columns} for card in (*accepted, *rejected)]
+        for row in rows:
+            row["reasons"] = ",".join(row["reasons"] or ())
+        out = pd.DataFrame(rows, columns=list(columns)).astype(columns)
         out.insert(0, "plan", frame["plan"].iloc[0])
-        return out.astype({"replaced": "Int64"})
+        return out
 
-    return cards.groupBy("plan").applyInPandas(run, "plan long, lexeme_id long, sentence_id long, clean_position int, replaced long")
+    return cards.groupBy("plan").applyInPandas(run, "plan long, lexeme_id long, sentence_id long, clean_position int, replaced long, reasons string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tanmono.operators.model import sentence_words, source_counts
+from tanmono.plans.storage import materialize
 
 #: Marks of sentence fragments, of colloquial speech, and filler words.
 FRAGMENT_ANY = ["→", "…"]
@@ -26,6 +27,20 @@ WEIGHTS = {
 TOLERANCE = 2.0
 
 
+#: Parts of a difficulty point by which a large source's ranking is split; difficulties have three digits.
+RANK_STEPS = 10
+
+
+def scoped(sen: DataFrame, scopes: DataFrame) -> DataFrame:
+    """sen with every sentence once for each scope that holds its source; source_id is then the scope.
+
+    scopes(scope_id, source_id) may overlap. All operators of this module, given such sentences, count, choose examples, rank and
+    plan for each set of sources as a whole.
+    """
+    rows = sen.join(scopes.select("scope_id", "source_id").distinct(), "source_id")
+    return rows.drop("source_id").withColumnRenamed("scope_id", "source_id").select(sen.columns)
+
+
 def contains_any(text: Column | str, marks: list[str]) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     out = F.lit(False)
@@ -83,7 +98,7 @@ def candidates(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFrame:
     ).select(F.col("id").alias("lexeme_id"), "lexeme_key", "lemma", "reading", "part_of_speech", "gloss")
     counts = source_counts(occ, sen, lex).select("source_id", "lexeme_id", "source_count")
     rows = counts.join(wanted, "lexeme_id").join(initial_examples(occ, sen, lex), ["source_id", "lexeme_id"])
-    rows = rows.join(sen.select(F.col("id").alias("sentence_id"), "japanese", "english"), "sentence_id")
+    rows = rows.join(sen.select(F.col("id").alias("sentence_id"), "source_id", "japanese", "english"), ["source_id", "sentence_id"])
     return rows.join(zipf_prior(occ, lex), "lemma", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0)))
 
 
@@ -121,33 +136,59 @@ def difficulty(metric: str) -> Column:
     return F.floor((units + 500) / 1000) / 1000.0
 
 
-def ranked(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """rows for every metric with difficulty and rank within the source: easy first, then frequent, early, by key."""
+def scored(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """rows for every metric with difficulty."""
     scores = F.array(*(F.struct(F.lit(m).alias("metric"), difficulty(m).alias("difficulty")) for m in metrics))
-    rows = components(rows).withColumn("m", F.explode(scores)).select("*", "m.metric", "m.difficulty").drop("m")
-    order = Window.partitionBy("source_id", "metric").orderBy("difficulty", F.col("source_count").desc(), "cue_index", "lexeme_key")
-    return rows.withColumn("rank", F.row_number().over(order))
+    return components(rows).withColumn("m", F.explode(scores)).select("*", "m.metric", "m.difficulty").drop("m")
+
+
+def with_ranks(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """scored() rows, kept as a table, with their rank within source and metric, to that limit: easy first, then frequent, early, by key.
+
+    Rows are numbered within steps of difficulty, above the number of rows of the easier steps. So a source that holds a third of
+    all rows is sorted by many tasks, and steps beyond the limit are not sorted at all.
+    """
+    group, step = ["source_id", "metric"], F.floor(F.col("difficulty") * RANK_STEPS).alias("step")
+    sizes = rows.select(*group, step).groupBy(*group, "step").agg(F.count("*").alias("n"))
+    easier = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "step", easier.alias("easier"))
+    if limit is not None:
+        sizes = sizes.filter(F.col("easier") < limit)
+    placed = rows.withColumn("step", step).join(sizes, [*group, "step"])
+    order = Window.partitionBy(*group, "step").orderBy("difficulty", F.col("source_count").desc(), "cue_index", "lexeme_key")
+    placed = placed.withColumn("rank", (F.row_number().over(order) + F.col("easier")).cast("int")).drop("step", "easier")
+    return placed if limit is None else placed.filter(F.col("rank") <= limit)
+
+
+def ranked(rows: DataFrame, metrics: list[str], limit: int | None = None) -> DataFrame:
+    """rows for every metric with difficulty and rank within the source."""
+    return with_ranks(materialize(scored(rows, metrics), "scored"), limit)
 
 
-def example_parts(rows: DataFrame, occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFrame:
-    """Examples (source_id, lexeme_id, sentence_id, surface) of ranked rows, with what their scores are made of.
+def example_parts(rows: DataFrame, occ: DataFrame, sen: DataFrame, lex: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """Examples (source_id, lexeme_id, sentence_id, surface) of a pool of scored rows, all if None, with what their scores are made of.
 
     fixed is the part of the score that depends neither on the position nor on the words known by then. others holds the
     unknown other words, each with gap: how far it is above the target's difficulty and the tolerance, 0 if it is not, null if unscored.
     """
-    target = rows.select("source_id", "lexeme_id", "lemma", "difficulty")
-    unknown = lex.filter("known_at IS NULL").select(F.col("id").alias("other"))
-    words = occ.select("sentence_id", F.col("lexeme_id").alias("other")).distinct()
-    sizes = words.groupBy("sentence_id").agg(F.count("*").alias("n_words"))
-    lines = sen.select(F.col("id").alias("sentence_id"), "source_id", "cue_index", "japanese", "english").join(sizes, "sentence_id")
-    examples = occ.select("lexeme_id", "sentence_id", "surface").join(lines, "sentence_id").join(target, ["source_id", "lexeme_id"])
-    scored = rows.select("source_id", F.col("lexeme_id").alias("other"), F.col("difficulty").alias("other_difficulty"))
-    context = lines.select("source_id", "sentence_id").join(words.join(unknown, "other"), "sentence_id").join(scored, ["source_id", "other"], "left")
-    context = context.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("other", "other_difficulty"))).alias("context"))
-    examples = examples.join(context, "sentence_id", "left")
+    target = (rows if pool is None else pool).select("source_id", "lexeme_id", "lemma", "difficulty")
+    unknown = lex.filter("known_at IS NULL").select(F.col("id").alias("lexeme_id"), F.lit(1).alias("unknown"))
+    lines = sen.select(F.col("id").alias("sentence_id"), "source_id", "cue_index", "japanese", "english")
+    places = occ.select("lexeme_id", "sentence_id", "surface").join(lines.select("sentence_id", "source_id"), "sentence_id")
+    examples = places.join(target, ["source_id", "lexeme_id"])
+    if pool is not None:
+        examples = materialize(examples, "examples")
+        wanted = examples.select("source_id", "sentence_id").distinct()
+        places = places.join(wanted, ["source_id", "sentence_id"], "left_semi")
+    # Size and context of a sentence come from one pass over its words.
+    words = places.select("source_id", "sentence_id", "lexeme_id").distinct().join(unknown, "lexeme_id", "left")
+    words = words.join(rows.select("source_id", "lexeme_id", F.col("difficulty").alias("other_difficulty")), ["source_id", "lexeme_id"], "left")
+    other = F.when(F.col("unknown").isNotNull(), F.struct(F.col("lexeme_id").alias("other"), "other_difficulty"))
+    context = words.groupBy("source_id", "sentence_id").agg(F.count("*").alias("n_words"), F.array_sort(F.collect_list(other)).alias("context"))
+    examples = examples.join(context.join(lines, ["source_id", "sentence_id"]), ["source_id", "sentence_id"])
     gap = lambda x: F.greatest(x["other_difficulty"] - F.col("difficulty") - TOLERANCE, F.lit(0.0))
     others = F.transform(
-        F.filter(F.coalesce("context", F.array()), lambda x: x["other"] != F.col("lexeme_id")),
+        F.filter("context", lambda x: x["other"] != F.col("lexeme_id")),
         lambda x: F.struct(x["other"].alias("id"), F.when(x["other_difficulty"].isNotNull(), gap(x)).alias("gap")),
     )
     marks = F.char_length(F.regexp_replace("japanese", "[^。？！?!]", ""))
@@ -166,6 +207,37 @@ def example_parts(rows: DataFrame, occ: DataFrame, sen: DataFrame, lex: DataFram
     )
 
 
+def unreserved(parts: DataFrame, reserved: DataFrame) -> DataFrame:
+    """Examples less those whose sentence is reserved(sentence_id, lexeme_id) by the cards of other lexemes only."""
+    owned = reserved.filter("sentence_id IS NOT NULL").groupBy("sentence_id").agg(F.collect_set("lexeme_id").alias("owners"))
+    rows = parts.join(owned, "sentence_id", "left").filter("owners IS NULL OR array_contains(owners, lexeme_id)")
+    return rows.select(parts.columns)
+
+
+def bounded_examples(parts: DataFrame, pool: DataFrame, limit: int) -> DataFrame:
+    """parts less the examples of a lexeme that no plan of that limit can choose.
+
+    Of a lexeme's examples at most limit - 1 are taken by other cards, so one with a cost no higher than the limit-th least
+    highest cost is always free. Costs fall only by the words of the pool, which can become known. Examples that cost more even
+    then are left out; the plan stays the same.
+    """
+    taught = pool.groupBy("source_id").agg(F.collect_set("lexeme_id").alias("taught"))  # at most max(100, 5 x limit)
+    weight = lambda x: 10.0 + F.when(x["gap"].isNull() | (x["gap"] > 0), 8.0).otherwise(0.0) + F.coalesce(x["gap"], F.lit(0.0))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + weight(x))
+    desired = [desired_words(p) for p in range(min(limit, 100))] or [2]
+    off = [F.abs(F.col("n_words") - d) * 1.25 for d in sorted(set(desired))]
+    rows = parts.join(taught, "source_id")
+    least = F.col("fixed") + total(F.filter("others", lambda x: ~F.array_contains("taught", x["id"]))) + (F.least(*off) if len(off) > 1 else off[0])
+    most = F.col("fixed") + total("others") + (F.greatest(*off) if len(off) > 1 else off[0]) + F.when(F.col("colloquial"), 5.0).otherwise(0.0)
+    word = ["source_id", "lexeme_id"]
+    rows = rows.withColumns({"least": least, "most": most}).drop("taught")
+    again = F.row_number().over(Window.partitionBy(*word, "sentence_id").orderBy("most", "surface")) > 1
+    rows = rows.withColumn("again", again).withColumn("r", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy(*word).orderBy("most", "sentence_id", "surface")))
+    # Rows come in order of most, so the running maximum up to the limit-th sentence is that sentence's.
+    safe = F.max(F.when(F.col("r") <= limit, F.col("most"))).over(Window.partitionBy(*word).orderBy("most", "sentence_id", "surface").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("safe", safe).filter((F.col("r") <= limit) | (F.col("least") <= F.col("safe") + 1e-6)).select(parts.columns)
+
+
 def context_weight(position: int) -> float:
     return max(0.6, 3.0 - 0.12 * position)
 
@@ -208,24 +280,35 @@ def plan_greedily(rows: list[dict], limit: int, window: int = 500) -> list[dict]
             cost[n] += weight
             holds.setdefault(o["id"], []).append((n, weight))
     difficulty = np.array([float(row["difficulty"]) for row in rows])
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))  # a candidate's examples lie together
     left = np.ones(len(rows), bool)
     free = np.ones(len(examples), bool)
     plan: list[dict] = []
+
+    def best_in(part: np.ndarray, position: int) -> tuple[float, float, int, int] | None:
+        """(joint, difficulty, candidate, example) of the best of some candidates."""
+        part = part[first[part] < first[part + 1]]
+        if not len(part):
+            return None
+        sizes = first[part + 1] - first[part]
+        at = np.arange(sizes.sum()) + np.repeat(first[part] - (np.cumsum(sizes) - sizes), sizes)
+        score = cost[at] + 1.25 * np.abs(words[at] - desired_words(position)) + colloquial[at] * max(0.0, 5.0 - 0.15 * position)
+        score = np.where(free[at], np.round(score, 9), np.inf)
+        best = np.minimum.reduceat(score, np.cumsum(sizes) - sizes)
+        joint = np.round(difficulty[part] + context_weight(position) * best, 9)
+        k = int(np.lexsort((part, difficulty[part], joint))[0])
+        if not np.isfinite(joint[k]):
+            return None
+        begin = int(sizes[:k].sum())
+        n = begin + int(np.argmin(score[begin : begin + sizes[k]]))
+        return float(joint[k]), float(best[k]), int(part[k]), int(at[n])
+
     for position in range(min(limit, len(rows))):
-        score = cost + 1.25 * np.abs(words - desired_words(position)) + colloquial * max(0.0, 5.0 - 0.15 * position)
-        score = np.where(free & left[owner], np.round(score, 9), np.inf)
-        best = np.full(len(rows), np.inf)
-        np.minimum.at(best, owner, score)
-        joint = np.round(difficulty + context_weight(position) * best, 9)
         open_rows = np.flatnonzero(left)
-        for part in (open_rows[:window], open_rows[window:]):
-            part = part[np.isfinite(joint[part])]
-            if len(part):
-                break
-        else:
+        found = best_in(open_rows[:window], position) or best_in(open_rows[window:], position)
+        if found is None:
             break
-        chosen = int(part[np.lexsort((part, difficulty[part], joint[part]))[0]])
-        n = int(np.flatnonzero((owner == chosen) & (score == best[chosen]))[0])
+        joint, score, chosen, n = found
         taken = examples[n][1]
         left[chosen] = False
         free[places[taken["sentence_id"]]] = False
@@ -233,15 +316,24 @@ def plan_greedily(rows: list[dict], limit: int, window: int = 500) -> list[dict]
             cost[m] -= weight
         plan.append({
             "position": position + 1, "lexeme_id": rows[chosen]["lexeme_id"], "sentence_id": taken["sentence_id"], "surface": taken["surface"],
-            "example_score": float(best[chosen]), "joint_score": float(joint[chosen]),
+            "example_score": score, "joint_score": joint,
         })
     return plan
 
 
-def planned(rows: DataFrame, parts: DataFrame, limit: int = 20) -> DataFrame:
-    """One plan for every source from ranked rows of one metric; a group holds at most max(100, 5 x limit) candidates."""
-    pool = rows.filter(F.col("rank") <= max(100, 5 * limit)).select("source_id", "lexeme_id", "rank", "difficulty")
-    examples = parts.groupBy("source_id", "lexeme_id").agg(
+def pool_size(limit: int) -> int:
+    """Candidates that a plan looks at."""
+    return max(100, 5 * limit)
+
+
+def planned(pool: DataFrame, parts: DataFrame, limit: int = 20, reserved: DataFrame | None = None) -> DataFrame:
+    """One plan for every source, or scope, from its pool_size() first ranked rows of one metric and their example_parts().
+
+    reserved(sentence_id, lexeme_id) are the sentences of existing cards, which only their own lexemes may use.
+    """
+    pool = pool.filter(F.col("rank") <= pool_size(limit)).select("source_id", "lexeme_id", "rank", "difficulty")
+    parts = parts if reserved is None else unreserved(parts, reserved)
+    examples = bounded_examples(parts, pool, limit).groupBy("source_id", "lexeme_id").agg(
         F.collect_list(F.struct("sentence_id", "surface", "n_words", "fixed", "colloquial", "others")).alias("examples")
     )
     pool = pool.join(examples, ["source_id", "lexeme_id"])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tanmono.functions import text as tx
 from tanmono.operators import cards, model, ranking, tokens
 from tanmono.plans import sql
-from tanmono.plans.model_queries import _parts
+from tanmono.plans.model_queries import _DIFFICULTY, kept_model
+from tanmono.plans.storage import materialize
 from tanmono.plans.text_queries import _ANAK, SRT_CUES
 from tanmono.session import table
 from tanmono.sinks import reports
@@ -81,26 +82,65 @@ WHERE lexeme_id NOT IN (SELECT id FROM lex WHERE dictionary_status = 'matched' A
 
 
 def clean_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source's plan through the quality gate; cards without translation or with fragments are the faulty ones."""
-    occ, sen, lex = model.occurrences(spark, sf_dir), model.sentences(spark, sf_dir), model.lexemes(spark, sf_dir)
-    ranked, parts = _parts(spark, sf_dir)
-    plan = ranking.planned(ranked, parts).join(ranked.select("source_id", "lexeme_id", "difficulty"), ["source_id", "lexeme_id"])
-    words = model.sentence_words(occ, lex).select("sentence_id", F.col("word_ids").alias("words"))
-    lines = sen.select(F.col("id").alias("sentence_id"), "english", "japanese")
-    faults = F.array_compact(F.array(
+    """The first 40 of every source's queue through the quality gate until 20 are accepted.
+
+    A sentence without translation or with fragments in it is a fault, of a card as of an alternative.
+    """
+    occ, sen, lex = kept_model(spark, sf_dir)
+    ranked = ranking.ranked(ranking.candidates(occ, sen, lex), ["hybrid"], 40)
+    queue = materialize(ranked.select("source_id", "rank", "lexeme_id", "sentence_id", "difficulty"), "queue")
+    words = occ.select("sentence_id", "lexeme_id").distinct().join(lex.select(F.col("id").alias("lexeme_id"), F.col("known_at").isNull().alias("open")), "lexeme_id")
+    words = words.groupBy("sentence_id").agg(F.array_sort(F.collect_list("lexeme_id")).alias("words"), F.collect_list(F.when(F.col("open"), F.col("lexeme_id"))).alias("open"))
+    findings = F.array_compact(F.array(
         F.when(F.coalesce(F.col("english") == "", F.lit(True)), F.lit("missing_translation")), F.when(ranking.contains_any("japanese", ranking.FRAGMENT_MARKS), F.lit("fragment")),
     ))
-    plan = plan.join(lines, "sentence_id").join(words, "sentence_id")
-    better = parts.select("source_id", "lexeme_id", "sentence_id").distinct().join(lines.filter("english <> ''").filter(~ranking.contains_any("japanese", ranking.FRAGMENT_MARKS)), "sentence_id")
-    better = better.join(plan.select("source_id", "lexeme_id"), ["source_id", "lexeme_id"], "left_semi").join(words, "sentence_id")
-    better = better.groupBy("source_id", "lexeme_id").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "words"))).alias("alternatives"))
-    rows = plan.join(better, ["source_id", "lexeme_id"], "left").select(
-        F.col("source_id").alias("plan"), "position", "lexeme_id", "sentence_id", "difficulty", faults.alias("findings"), "words",
+    lines = sen.select(F.col("id").alias("sentence_id"), "source_id", "cue_index", F.char_length("japanese").alias("length"), findings.alias("findings"))
+    examples = occ.join(queue.select("lexeme_id").distinct(), "lexeme_id", "left_semi").select("lexeme_id", "sentence_id").distinct()
+    examples = examples.join(lines, "sentence_id").join(queue.select("source_id", "lexeme_id"), ["source_id", "lexeme_id"]).join(words, "sentence_id")
+    needs = F.filter("open", lambda x: x != F.col("lexeme_id"))
+    # An alternative may need only words of the same queue, of which a source has 40.
+    taught = queue.groupBy("source_id").agg(F.collect_set("lexeme_id").alias("taught"))
+    examples = examples.withColumn("needs", needs).join(taught, "source_id").filter("size(findings) = 0 AND size(array_except(needs, taught)) = 0")
+    # At most 20 sentences are shown when an alternative is looked for, and one is the card's own.
+    alternatives = cards.first_alternatives(examples, 20).groupBy("source_id", "lexeme_id").agg(
+        F.array_sort(F.collect_list(F.struct("length", "cue_index", "sentence_id", "needs", "findings"))).alias("alternatives")
+    )
+    rows = queue.join(lines.select("sentence_id", "source_id", "findings"), ["source_id", "sentence_id"]).join(words, "sentence_id")
+    rows = rows.join(alternatives, ["source_id", "lexeme_id"], "left").select(
+        F.col("source_id").alias("plan"), F.col("rank").alias("position"), "lexeme_id", "sentence_id", "difficulty", "findings", "words",
         F.coalesce("alternatives", F.array()).alias("alternatives"),
     )
     return cards.select_clean(rows, 20)
 
 
+_FRAGMENT = sql.any_of("japanese", ranking.FRAGMENT_MARKS)
+#: One card of every plan a step: accepted words, shown sentences and refused words are carried along.
+CLEAN_SELECTION = _DIFFICULTY.replace("\nWITH ", "\nWITH RECURSIVE ", 1) + f""",
+queue AS (SELECT source_id, rank, lexeme_id, sentence_id, difficulty FROM ranked WHERE metric = 'hybrid' AND rank <= 40),
+wds AS (SELECT sentence_id, list(lexeme_id) AS words, list(lexeme_id) FILTER (known_at IS NULL) AS open FROM (SELECT DISTINCT sentence_id, lexeme_id FROM occ) JOIN lex ON id = lexeme_id GROUP BY 1),
+lns AS (SELECT id AS sentence_id, source_id, cue_index, length(japanese) AS l,
+        list_filter([CASE WHEN coalesce(english, '') = '' THEN 'missing_translation' END, CASE WHEN {_FRAGMENT} THEN 'fragment' END], lambda x: x IS NOT NULL) AS findings FROM sen),
+alt AS (SELECT source_id, lexeme_id, list({{'s': sentence_id, 'n': list_filter(coalesce(open, []), lambda x: x <> lexeme_id)}} ORDER BY l, cue_index, sentence_id) AS alts
+        FROM (SELECT DISTINCT lexeme_id, sentence_id FROM occ) JOIN lns USING (sentence_id) JOIN wds USING (sentence_id) JOIN (SELECT source_id, lexeme_id FROM queue) USING (source_id, lexeme_id)
+        WHERE len(findings) = 0 GROUP BY 1, 2),
+card AS (SELECT q.*, findings, words, coalesce(alts, []) AS alts FROM queue q JOIN lns USING (source_id, sentence_id) JOIN wds USING (sentence_id) LEFT JOIN alt USING (source_id, lexeme_id)),
+walk AS (
+  SELECT DISTINCT source_id, 0 AS rank, 0 AS n, []::BIGINT[] AS taught, []::BIGINT[] AS shown, []::STRUCT(w BIGINT, d DOUBLE)[] AS refused,
+         NULL::BIGINT AS lexeme_id, NULL::BIGINT AS sentence_id, NULL::BIGINT AS replaced, '' AS reasons FROM card
+  UNION ALL
+  SELECT source_id, rank, n + CAST(ok AS INTEGER), CASE WHEN ok THEN list_append(taught, lexeme_id) ELSE taught END,
+         CASE WHEN ok THEN list_append(shown, CASE WHEN bad THEN other ELSE sentence_id END) ELSE shown END,
+         CASE WHEN ok THEN refused ELSE list_append(refused, {{'w': lexeme_id, 'd': difficulty}}) END,
+         lexeme_id, CASE WHEN bad AND ok THEN other ELSE sentence_id END, CASE WHEN bad AND ok THEN sentence_id END, CASE WHEN ok THEN '' ELSE faults END
+  FROM (SELECT *, faults <> '' AS bad, faults = '' OR other IS NOT NULL AS ok FROM (
+    SELECT c.*, w.n, w.taught, w.shown, w.refused,
+           array_to_string(list_sort(list_concat(c.findings, CASE WHEN len(list_filter(w.refused, lambda r: list_contains(c.words, r.w) AND r.d > c.difficulty + 2.0::DOUBLE)) > 0
+             THEN ['rejected_word_became_harder_context'] ELSE [] END)), ',') AS faults,
+           list_filter(c.alts, lambda a: a.s <> c.sentence_id AND NOT list_contains(w.shown, a.s) AND list_has_all(w.taught, a.n))[1].s AS other
+    FROM walk w JOIN card c ON c.source_id = w.source_id AND c.rank = w.rank + 1 WHERE w.n < 20)))
+SELECT source_id AS plan, lexeme_id, sentence_id, CASE WHEN reasons = '' THEN CAST(n AS INTEGER) END AS clean_position, replaced, reasons FROM walk WHERE rank > 0"""
+
+
 def stream_first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     rows = state.stream(spark, f"{sf_dir}/event[s].parquet", schema).filter("event_type = 'purchase'")
@@ -134,7 +174,7 @@ QUERIES = {
     "target_spans": (target_spans, TARGET_SPANS),
     "media_names": (media_names, MEDIA_NAMES),
     "card_actions": (card_actions, CARD_ACTIONS),
-    "clean_selection": (clean_selection, None),
+    "clean_selection": (clean_selection, CLEAN_SELECTION),
     "stream_first_known": (stream_first_known, STREAM_FIRST_KNOWN),
     "stream_event_windows": (stream_event_windows, STREAM_EVENT_WINDOWS),
     "stream_cues": (stream_cues, STREAM_CUES),

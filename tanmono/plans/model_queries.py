@@ -15,7 +15,7 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return model.occurrences(spark, sf_dir), model.sentences(spark, sf_dir), model.lexemes(spark, sf_dir)
 
 
-def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kept_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The model as tables with the columns that ranking reads, for queries that read it several times."""
     occ, _, lex = _model(spark, sf_dir)
     sen = model.sentences(spark, sf_dir, "id", "source_id", "cue_index", "japanese", "english")
@@ -199,8 +199,8 @@ def initial_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 INITIAL_EXAMPLES = _EXAMPLES + " SELECT * FROM examples"
 
 
-def _ranked(spark: SparkSession, sf_dir: str, metrics: list[str]) -> DataFrame:
-    return ranking.ranked(ranking.candidates(*_kept(spark, sf_dir)), metrics)
+def _ranked(spark: SparkSession, sf_dir: str, metrics: list[str], limit: int | None = None) -> DataFrame:
+    return ranking.ranked(ranking.candidates(*kept_model(spark, sf_dir)), metrics, limit)
 
 
 def _metric_sql(metric: str) -> str:
@@ -238,7 +238,7 @@ DIFFICULTY_RANKING = _DIFFICULTY + " SELECT source_id, lexeme_id, metric, diffic
 
 
 def difficulty_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.components(ranking.candidates(*_kept(spark, sf_dir)))
+    rows = ranking.components(ranking.candidates(*kept_model(spark, sf_dir)))
     return rows.select("source_id", "lexeme_id", "c_general", "c_source", "c_sentence", "c_form", "c_quality", "c_noise")
 
 
@@ -256,7 +256,7 @@ METRIC_COMPARISON = _DIFFICULTY + "SELECT source_id, lexeme_id, " + ", ".join(f"
 
 def unseen_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates that a plan of 20 looks at, easiest first: the flagship query."""
-    rows = _ranked(spark, sf_dir, ["hybrid"]).filter(F.col("rank") <= 100)
+    rows = _ranked(spark, sf_dir, ["hybrid"], 100)
     return rows.select("source_id", "rank", "lexeme_id", "lemma", "difficulty", "source_count", F.col("sentence_id").alias("example_id"))
 
 
@@ -264,11 +264,17 @@ UNSEEN_QUEUE = _DIFFICULTY + """ SELECT source_id, rank, lexeme_id, lemma, diffi
 FROM ranked WHERE metric = 'hybrid' AND rank <= 100"""
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    kept = _kept(spark, sf_dir)
-    rows = ranking.ranked(ranking.candidates(*kept), ["hybrid"]).select("source_id", "lexeme_id", "lemma", "difficulty", "rank")
-    rows = materialize(rows, "ranked")
-    return rows, materialize(ranking.example_parts(rows, *kept), "parts")
+def _parts(spark: SparkSession, sf_dir: str, limit: int | None = None, scopes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates and their examples, all or those that a plan of that limit looks at; by source or by scope."""
+    occ, sen, lex = kept_model(spark, sf_dir)
+    if scopes is not None:
+        sen = materialize(ranking.scoped(sen, scopes), "scoped")
+    columns = ["source_id", "lexeme_id", "lemma", "metric", "difficulty", "source_count", "cue_index", "lexeme_key"]
+    rows = materialize(ranking.scored(ranking.candidates(occ, sen, lex), ["hybrid"]).select(columns), "scored")
+    if limit is None:
+        return rows, materialize(ranking.example_parts(rows, occ, sen, lex), "parts")
+    pool = materialize(ranking.with_ranks(rows, ranking.pool_size(limit)), "pool")
+    return pool, materialize(ranking.example_parts(rows, occ, sen, lex, pool), "parts")
 
 
 def example_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,23 +306,86 @@ EXAMPLE_SCORES = _EXAMPLE_SCORES + """ SELECT source_id, lexeme_id, sentence_id,
 round(difficulty + 3.0::DOUBLE * score, 6) AS joint_score FROM es"""
 
 
-def first_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first card of every source's plan, from expressions alone."""
-    rows, parts = _parts(spark, sf_dir)
+def _first_planned(rows: DataFrame, parts: DataFrame) -> DataFrame:
     scores = ranking.opening_scores(parts).join(rows.select("source_id", "lexeme_id", "rank"), ["source_id", "lexeme_id"])
     key = F.struct(F.round("joint_score", 6).alias("joint"), "difficulty", "rank", "sentence_id", "surface", "lexeme_id")
-    best = scores.filter("rank <= 100").groupBy("source_id").agg(F.min(key).alias("b"))
+    best = scores.groupBy("source_id").agg(F.min(key).alias("b"))
     return best.select("source_id", "b.lexeme_id", "b.sentence_id", "b.surface", F.col("b.joint").alias("joint_score"))
 
 
+def first_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first card of every source's plan, from expressions alone."""
+    return _first_planned(*_parts(spark, sf_dir, 20))
+
+
 FIRST_PLANNED = _EXAMPLE_SCORES + """, b AS (SELECT source_id, min((round(difficulty + 3.0::DOUBLE * score, 6), difficulty, rank, sentence_id, surface, lexeme_id)) AS b FROM es WHERE rank <= 100 GROUP BY 1)
 SELECT source_id, b[6] AS lexeme_id, b[4] AS sentence_id, b[5] AS surface, b[1] AS joint_score FROM b"""
 
 
+def _plan(pool: DataFrame, parts: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
+    plan = ranking.planned(pool, parts, 20, reserved)
+    return plan.withColumns({"example_score": F.round("example_score", 6), "joint_score": F.round("joint_score", 6)})
+
+
 def planned_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan of 20 cards for every source."""
-    plan = ranking.planned(*_parts(spark, sf_dir))
-    return plan.withColumns({"example_score": F.round("example_score", 6), "joint_score": F.round("joint_score", 6)})
+    return _plan(*_parts(spark, sf_dir, 20))
+
+
+def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope_id, source_id): the sources of every season as one scope, by its smallest source, and all sources as scope 0."""
+    src = model.sources(spark, sf_dir).select("id", "series", "season")
+    firsts = src.groupBy("series", "season").agg(F.min("id").alias("scope_id"))
+    same = F.col("a.series").eqNullSafe(F.col("b.series")) & F.col("a.season").eqNullSafe(F.col("b.season"))
+    by_season = src.alias("a").join(firsts.alias("b"), same).select("scope_id", F.col("id").alias("source_id"))
+    return by_season.unionByName(src.select(F.lit(0).cast("bigint").alias("scope_id"), F.col("id").alias("source_id")))
+
+
+def scoped_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of a plan of 20 for every season and for all sources together, counts and examples over the whole scope."""
+    occ, sen, lex = kept_model(spark, sf_dir)
+    sen = materialize(ranking.scoped(sen, seasons(spark, sf_dir)), "scoped")
+    rows = ranking.ranked(ranking.candidates(occ, sen, lex), ["hybrid"], 100)
+    return rows.select(
+        F.col("source_id").alias("scope_id"), "rank", "lexeme_id", "difficulty", "source_count", F.col("sentence_id").alias("example_id")
+    )
+
+
+def _scoped_sql(text: str) -> str:
+    """The SQL of a query by source, by scope instead; scopes overlap, so sentences are told apart by scope."""
+    scopes = """,
+scopes AS (SELECT id AS source_id, min(id) OVER (PARTITION BY series, season) AS scope_id FROM src UNION ALL SELECT id, 0 FROM src),
+one AS (SELECT * FROM sen),
+two AS (SELECT scope_id, one.* EXCLUDE (source_id) FROM one JOIN scopes USING (source_id))"""
+    text = text.replace(sql.MODEL, sql.MODEL.rstrip() + scopes, 1)
+    head, tail = text.split(scopes)
+    for old, new in (
+        ("JOIN sen ON sen.id = sentence_id LEFT JOIN z", "JOIN sen ON sen.id = sentence_id AND sen.source_id = e.source_id LEFT JOIN z"),
+        ("SELECT DISTINCT o.sentence_id, o.lexeme_id AS other, h.difficulty AS od", "SELECT DISTINCT sen.source_id, o.sentence_id, o.lexeme_id AS other, h.difficulty AS od"),
+        ("LEFT JOIN ctx ON ctx.sentence_id = ex.sentence_id AND", "LEFT JOIN ctx ON ctx.source_id = ex.source_id AND ctx.sentence_id = ex.sentence_id AND"),
+        ("FROM sen", "FROM two sen"), ("JOIN sen", "JOIN (SELECT * EXCLUDE (scope_id), scope_id AS source_id FROM two) sen"),
+    ):
+        tail = tail.replace(old, new)
+    return head + scopes + tail
+
+
+SCOPED_QUEUE = _scoped_sql(_DIFFICULTY) + """ SELECT source_id AS scope_id, rank, lexeme_id, difficulty, CAST(source_count AS BIGINT) AS source_count, sentence_id AS example_id
+FROM ranked WHERE metric = 'hybrid' AND rank <= 100"""
+
+
+def scoped_first_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first card of the plan of every season and of all sources together."""
+    rows = _first_planned(*_parts(spark, sf_dir, 20, seasons(spark, sf_dir)))
+    return rows.withColumnRenamed("source_id", "scope_id")
+
+
+SCOPED_FIRST_PLANNED = _scoped_sql(FIRST_PLANNED).replace("SELECT source_id, b[6]", "SELECT source_id AS scope_id, b[6]")
+
+
+def scoped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of 20 cards for every season and for all sources together; sentences of the stored queue's cards are reserved for them."""
+    reserved = table(spark, sf_dir, "source_queue").groupBy("lexeme_id").agg(F.min("example_sentence_id").alias("sentence_id"))
+    return _plan(*_parts(spark, sf_dir, 20, seasons(spark, sf_dir)), reserved).withColumnRenamed("source_id", "scope_id")
 
 
 def known_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,5 +424,8 @@ QUERIES = {
     "example_scores": (example_scores, EXAMPLE_SCORES),
     "first_planned": (first_planned, FIRST_PLANNED),
     "planned_batch": (planned_batch, None),
+    "scoped_queue": (scoped_queue, SCOPED_QUEUE),
+    "scoped_first_planned": (scoped_first_planned, SCOPED_FIRST_PLANNED),
+    "scoped_plan": (scoped_plan, None),
     "known_alternatives": (known_alternatives, KNOWN_ALTERNATIVES),
 }

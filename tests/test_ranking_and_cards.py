@@ -160,14 +160,56 @@ def test_audit(spark):
 
 def test_gate():
     card = lambda i, s, d, words, faults=(), other=(): {"lexeme_id": i, "sentence_id": s, "difficulty": d, "words": words, "findings": list(faults), "alternatives": list(other)}
+    other = lambda s, needs, findings=(): {"sentence_id": s, "needs": needs, "findings": list(findings)}
     rows = [
         card(1, 1, 10.0, [1]), card(2, 2, 50.0, [2], ["x"]), card(3, 3, 20.0, [2, 3]), card(4, 4, 60.0, [2, 4]),
-        card(5, 5, 30.0, [5, 9], ["x"], [{"sentence_id": 1, "words": [5]}, {"sentence_id": 6, "words": [5, 8]}, {"sentence_id": 7, "words": [1, 5]}]), card(6, 7, 10.0, [6]),
+        card(5, 5, 30.0, [5, 9], ["x"], [other(1, []), other(5, []), other(6, [8]), other(8, [], ["y"]), other(7, [1])]), card(6, 7, 10.0, [6]),
+        card(7, 9, 10.0, [7], ["x", "x"], [other(10, [])]),
     ]
     accepted, rejected = cards.gate(rows, 9)
-    assert [(c["lexeme_id"], c["sentence_id"]) for c in accepted] == [(1, 1), (4, 4), (5, 7)]
-    assert {c["lexeme_id"]: c["reasons"] for c in rejected} == {2: ["x"], 3: ["rejected_word_became_harder_context"], 6: ["sentence_is_used"]}
-    assert len(cards.gate(rows, 1)[0]) == 1
+    # A word known before the plan is no need, so card 7 takes its alternative; a planned sentence is no fault even where another card shows it.
+    assert [(c["lexeme_id"], c["sentence_id"], c.get("replaced"), c["unknown_again"]) for c in accepted] == [
+        (1, 1, None, []), (4, 4, None, [2]), (5, 7, 5, []), (6, 7, None, []), (7, 10, 9, []),
+    ]
+    assert {c["lexeme_id"]: c["reasons"] for c in rejected} == {2: ["x"], 3: ["rejected_word_became_harder_context"]}
+    assert len(cards.gate(rows, 1)[0]) == 1 and cards.gate(rows, 0) == ([], [])
+
+
+def test_bounded_examples_keep_the_plan(spark):
+    rng = random.Random(4)
+    pool, parts = [], []
+    for lexeme in range(30):
+        pool.append((1, lexeme, lexeme + 1, rng.randrange(100) / 2))
+        for sentence in rng.sample(range(200), 40 if lexeme % 3 else 2):
+            others = [(o, rng.choice([None, 0.0, 3.5])) for o in rng.sample(range(60), rng.randrange(5)) if o != lexeme]
+            for surface in "ab"[: rng.randrange(1, 3)]:
+                parts.append((1, lexeme, sentence, surface, 0, 1.0, rng.randrange(1, 9), rng.randrange(60) / 4, rng.random() < 0.3, others))
+    pool = spark.createDataFrame(pool, "source_id long, lexeme_id long, rank int, difficulty double")
+    schema = "source_id long, lexeme_id long, sentence_id long, surface string, cue_index int, difficulty double, n_words int, fixed double, colloquial boolean, others array<struct<id:long,gap:double>>"
+    parts = spark.createDataFrame(parts, schema)
+    kept = ranking.bounded_examples(parts, pool, 6)
+    assert 0 < kept.count() < 0.8 * parts.count()
+    group = lambda df: {r.lexeme_id: [e.asDict(True) for e in r.examples] for r in df.groupBy("lexeme_id").agg(F.collect_list(F.struct("*")).alias("examples")).collect()}
+    rows = [r.asDict() for r in pool.orderBy("rank").collect()]
+    plans = [ranking.plan_greedily([r | {"examples": held.get(r["lexeme_id"], [])} for r in rows], 6) for held in (group(parts), group(kept))]
+    assert plans[0] == plans[1] and len(plans[0]) == 6
+
+
+def test_reserved_sentences_belong_to_their_cards(spark):
+    parts = spark.createDataFrame([(1, 1, 10), (1, 2, 10), (1, 2, 11), (1, 3, 12)], "source_id long, lexeme_id long, sentence_id long")
+    reserved = spark.createDataFrame([(10, 1), (12, 9), (None, 5)], "sentence_id long, lexeme_id long")
+    assert sorted((r.lexeme_id, r.sentence_id) for r in ranking.unreserved(parts, reserved).collect()) == [(1, 10), (2, 11)]
+
+
+def test_scopes_add_up_their_sources(spark):
+    occ = spark.createDataFrame([(1, 1, "a", 2), (1, 2, "a", 3), (2, 2, "b", 1), (1, 3, "a", 1)], "lexeme_id long, sentence_id long, surface string, n long")
+    sen = spark.createDataFrame([(i, i, 0, "あ" * 14, "x") for i in (1, 2, 3)], "id long, source_id long, cue_index long, japanese string, english string")
+    lex = spark.createDataFrame([(1, "k1", "a", "名詞", "g", None, None), (2, "k2", "b", "名詞", "g", None, None)], "id long, lexeme_key string, lemma string, part_of_speech string, gloss string, dictionary_status string, known_at timestamp")
+    lex = lex.withColumn("reading", F.lit("あ"))
+    scopes = spark.createDataFrame([(7, 1), (7, 2), (8, 1), (7, 1), (9, 4)], "scope_id long, source_id long")
+    rows = ranking.ranked(ranking.candidates(occ, ranking.scoped(sen, scopes), lex), ["hybrid"])
+    got = {(r.source_id, r.lexeme_id): (r.source_count, r.sentence_id) for r in rows.collect()}
+    assert got == {(7, 1): (5, 2), (7, 2): (1, 2), (8, 1): (2, 1)}  # two words in sentence 2 are better than one
 
 
 def test_card_actions(spark):
