@@ -1,82 +1,51 @@
 """Problem 1: texts that look the same although their characters differ.
 
-Every text is brought to its confusables skeleton: invisible characters are dropped, the rest is decomposed,
-every character is replaced by the prototype of its look-alike class, and the result is decomposed again.
+Every text is brought to its confusables skeleton: invisible characters are dropped, the rest is decomposed
+canonically, every character is replaced by the prototype of its look-alike class, and the result is decomposed again.
 Two texts read alike to the eye exactly if their skeletons are equal.
+
+The table of prototypes is the public one of Unicode's security mechanisms (some 6,300 characters, prototypes of one or more
+characters), read from the data of the ICU library that Spark brings. Widths and kinds of a blank are classes of
+their own, as are a few pairs of kana and kanji that the public table lacks.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import struct
+import sys
 import unicodedata
+import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
+import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tanmono.plans.storage import materialize, release
 
-#: Look-alike classes: the first character of a row is the prototype of the others.
+#: Look-alike classes beside the public table: the first character of a row is the prototype of the others.
 CLASSES = """
-A Α А
-B Β В
-C С Ϲ
-E Ε Е
-H Η Н
-I Ι І
-J Ј
-K Κ К
-M Μ М
-N Ν
-O Ο О
-P Ρ Р
-S Ѕ
-T Τ Т
-X Χ Х
-Y Υ Ү
-Z Ζ
-a а
-c с ϲ
-d ԁ
-e е
-h һ
-i і
-j ј ϳ
-o о ο
-p р ρ
-q ԛ
-s ѕ
-v ν ѵ
-w ԝ
-x х
-y у
-ヘ へ
 リ り
-一 ー ㇐
-ニ 二
-ハ 八
-カ 力
-ロ 口 囗
-エ 工
-ト 卜
-タ 夕
 チ 千
 オ 才
 ミ 三
 ヒ 匕
 ヌ 又
 ム 厶
-ノ 丿
+ヽ 丶
 日 曰
-・ · • ∙ ⋅ ‧
-- ‐ ‒ – −
-— ― ─
-' ‘ ’ ‛ ′
-" “ ” ‟ ″
+q ԛ
 ~ 〜 ∼
 """
+#: Characters that the public table joins with others although readers of Japanese tell them apart by their strokes, or by the
+#: kind of mark they are.
+APART = "士く。"
 
 #: Characters without any picture: soft hyphen, joiners, zero-width marks, variation selectors and the like.
 INVISIBLE = (
@@ -84,30 +53,91 @@ INVISIBLE = (
     "\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 )
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
-_PROTOTYPE = {ord(c): row.split()[0] for row in CLASSES.strip().splitlines() for c in row.split()[1:]}
-#: Kinds of a blank that decomposition leaves; line ends are blanks too.
-_PROTOTYPE |= {ord(c): " " for c in "\t\n\v\f\r\x85\u1680\u2028\u2029"}
-
-
-def skeleton(text: str | None) -> str | None:
+#: Kinds of a blank; line ends are blanks too.
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def public_table(source: str | None = None) -> dict[int, str]:
+    """Character to prototype, from ICU's compiled confusables: a .cfu file, or the ICU jar that holds it (that of Spark, if None)."""
+    if source is None:
+        folders = [Path(f) / "jars" for f in (os.environ.get("SPARK_HOME"), pyspark.__path__[0]) if f]
+        jars = [str(j) for f in folders for j in sorted(f.glob("icu4j-*.jar"))]
+        if not jars:
+            raise FileNotFoundError("no ICU jar beside Spark: name the jar or the .cfu file")
+        source = jars[0]
+    if source.endswith(".jar"):
+        with zipfile.ZipFile(source) as jar:
+            data = jar.read(next(n for n in jar.namelist() if n.endswith("/confusables.cfu")))
+    else:
+        data = Path(source).read_bytes()
+    order = ">" if data[8] else "<"  # byte order, by ICU's common header
+    body = data[struct.unpack(order + "H", data[:2])[0] :]
+    # Offset and length of three arrays: keys (code point, units of the prototype less one), values, units of longer prototypes.
+    keys_at, n_keys, values_at, n_values, units_at, n_units = struct.unpack(order + "6i", body[12:36])
+    keys = struct.unpack(f"{order}{n_keys}I", body[keys_at : keys_at + 4 * n_keys])
+    values = struct.unpack(f"{order}{n_values}H", body[values_at : values_at + 2 * n_values])
+    units, coding = body[units_at : units_at + 2 * n_units], "utf-16-be" if order == ">" else "utf-16-le"
+    out = {}
+    for key, value in zip(keys, values, strict=True):
+        n = (key >> 24) + 1
+        out[key & 0xFFFFFF] = chr(value) if n == 1 else units[2 * value : 2 * (value + n)].decode(coding)
+    return out
+
+
+def _decomposed(text: str) -> str:
+    return text if unicodedata.is_normalized("NFD", text) else unicodedata.normalize("NFD", text)
+
+
+def _closed(steps: dict[int, str]) -> dict[int, str]:
+    """The table that takes as many steps as there are for each character at once."""
+    out = {}
+    for c in steps:
+        seen, text = set(), chr(c)
+        while text not in seen:
+            seen.add(text)
+            text = _decomposed(_INVISIBLE.sub("", _decomposed(text).translate(steps)))
+        out[c] = text
+    return out
+
+
+@lru_cache
+def prototypes(source: str | None = None) -> dict[int, str]:
+    """Prototype of every character that is not its own: the public table, widths, blanks and CLASSES."""
+    apart = lambda c: (same := unicodedata.normalize("NFKC", chr(c))) in APART and same
+    steps = {c: apart(c) or p for c, p in public_table(source).items() if chr(c) not in APART}  # ⼠, say, stays with 士
+    for c in range(sys.maxunicode + 1):
+        kind, _, of = unicodedata.decomposition(chr(c)).partition(" ")
+        if kind in ("<wide>", "<narrow>"):
+            steps[c] = "".join(chr(int(x, 16)) for x in of.split())
+    blank = re.compile(f"[{BLANKS}]")
+    steps |= {c: " " for c in range(0x3001) if blank.match(chr(c))}
+    public = _closed(steps)
+    for row in CLASSES.strip().splitlines():
+        first, *others = (public.get(ord(c), c) for c in row.split())
+        steps |= {ord(c): first for c in others if c != first and len(c) == 1}
+    return _closed(steps)
+
+
+def skeleton(text: str | None, table: dict[int, str] | None = None) -> str | None:
     """The form under which exactly the look-alike texts are equal; null for null, '' for ''."""
     if text is None:
         return None
+    table = prototypes() if table is None else table
     if text.isascii():
-        return text.translate(_PROTOTYPE)
-    flat = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-    return unicodedata.normalize("NFD", _INVISIBLE.sub("", flat.translate(_PROTOTYPE)))
+        return text.translate(table)
+    return _decomposed(_decomposed(_INVISIBLE.sub("", text)).translate(table))
 
 
-@F.pandas_udf(T.StringType())
-def _skeletons(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(skeleton, na_action="ignore")
+def skeleton_column(text: Column | str, source: str | None = None) -> Column:
+    """skeleton() over Arrow batches; the table, some 200 kB, goes with the function."""
+    table = prototypes(source)
 
+    @F.pandas_udf(T.StringType())
+    def skeletons(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: skeleton(t, table), na_action="ignore")
 
-def skeleton_column(text: Column | str) -> Column:
-    """skeleton() over Arrow batches."""
-    return _skeletons(F.col(text) if isinstance(text, str) else text)
+    return skeletons(F.col(text) if isinstance(text, str) else text)
 
 
 def _digest(text: Column) -> Column:

@@ -95,13 +95,23 @@ def p5_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.translate("ngram", p5.UNIT, " ").alias("ngram"), "n", "total", F.col("records").alias("n_sentences"))
 
 
-def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in its containers; sizes by the byte-level tokenizer: a token a byte and one at the end."""
+def _packed(spark: SparkSession, sf_dir: str, search: bool = True) -> DataFrame:
+    """Sizes by the byte-level tokenizer: a token a byte and one at the end."""
     docs = table(spark, sf_dir, "documents")
     known = docs.filter("n_tokens IS NOT NULL").select("doc_id", "n_tokens")
     counted = docs.filter("n_tokens IS NULL").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("n_tokens"))
-    packed = p6.packed_documents(known.unionByName(counted), "doc_id", "n_tokens", table(spark, sf_dir, "context_windows"), "window_id", "capacity_tokens")
-    return packed.withColumnsRenamed({"window": "window_id", "capacity": "capacity_tokens", "container": "container_id", "id": "doc_id"})
+    return p6.packed_documents(known.unionByName(counted), "doc_id", "n_tokens", table(spark, sf_dir, "context_windows"), "window_id", "capacity_tokens", search)
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its containers."""
+    return _packed(spark, sf_dir).withColumnsRenamed({"window": "window_id", "capacity": "capacity_tokens", "container": "container_id", "id": "doc_id"})
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers the lower bound, the packing before the search and the result have."""
+    report = p6.packing_report(_packed(spark, sf_dir), _packed(spark, sf_dir, False))
+    return report.withColumnsRenamed({"window": "window_id", "capacity": "capacity_tokens"})
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +167,7 @@ def queries() -> dict[str, Query]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_found": p5_found, "p5_counts": p5_counts, "p5_ngrams": p5_ngrams,
-        "p6_packing": p6_packing,
+        "p6_packing": p6_packing, "p6_report": p6_report,
         "p7_found": p7_found,
         "p8_found": p8_found, "p8_shared": p8_shared, "p8_passages": p8_passages,
     }

@@ -30,6 +30,8 @@ def rows(df):
         ("ガ", "ｶﾞ", True), ("ガ", "ガ", True), ("ロボ", "口ボ", True), ("A1", "Ａ１", True), ("Répo", "Répo", True),
         ("cafе", "cafe", True), ("x​y", "xy", True), ("a b", "a　b", True), ("a b", "a  b", False), ("a.", "a。", False),
         ("カ", "ガ", False), ("土", "士", False), ("⽵", "竹", True), ("竹\U000e0100", "竹", True), ("べ", "ベ", True),
+        ("α", "a", True), ("ı", "i", True), ("ɡ", "g", True), ("l", "I", True), ("0", "O", True), ("丶", "ヽ", True), ("rn", "m", True), ("…", "...", True),
+        ("x²", "x2", False), ("①", "1", False), ("一", "ー", True), ("A", "Α", True), ("\t", "\u2007", True), ("a\u00adb", "ab", True), ("⼠", "士", True),
     ],
 )
 def test_skeleton(a, b, same):
@@ -42,6 +44,16 @@ def test_skeleton_is_stable(text):
     assert lookalikes.skeleton(once) == once
 
 
+def test_public_table_is_that_of_the_library(spark):
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    table = lookalikes.public_table()
+    chars = sorted(c for c in table if chr(c).isprintable())
+    theirs = checker.getSkeleton("\n".join(map(chr, chars))).split("\n")
+    seen = (lookalikes._INVISIBLE.sub("", chr(c)) for c in chars)
+    ours = [lookalikes._decomposed(lookalikes._decomposed(c).translate(table)) for c in seen]
+    assert len(table) > 5000 and sum(a != b for a, b in zip(theirs, ours, strict=True)) == 0
+
+
 def test_lookalike_pairs(spark):
     df = spark.createDataFrame(
         [(1, "ガ", 0), (2, "ｶﾞ", 0), (3, "ガ", 0), (3, "ガ", 0), (4, None, 0), (None, "ガ", 0), (5, "", 0), (6, "​", 0), (7, "x" * 50_000, 0)],
@@ -294,6 +306,22 @@ def test_evolved_packings_hold_every_item_once(sizes, seed):
         assert all(0 < sum(sizes[i] for i in g) <= 50 for g in found)
 
 
+def test_search_beats_its_first_packing(spark):
+    rng = random.Random(8)
+    sizes = []
+    for _ in range(60):  # sixty containers without any space left
+        cut = sorted(rng.sample(range(1, 1000), 4))
+        sizes += [b - a for a, b in zip([0, *cut], [*cut, 1000], strict=True)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, n long")
+    args = (df, "id", "n", spark.createDataFrame([(1, 1000)], "w long, c long"), "w", "c")
+    report = packing.packing_report(packing.packed_documents(*args), packing.packed_documents(*args, search=False)).first()
+    assert (report["items"], report["tokens"], report["least"]) == (300, 60_000, 60)
+    assert 60 <= report["containers"] <= report["before"]
+    one = packing.best_fit(sizes, 1000, [], sorted(range(300), key=lambda i: -sizes[i]))
+    found = packing.evolved(sizes, 1000, [[list(g) for g in one]], 150, random.Random(1))[0]
+    assert packing.fitness(sizes, 1000, found) > packing.fitness(sizes, 1000, one)
+
+
 # Problem 7
 
 
