@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tanmono.plans.storage import materialize, release
 
 #: Items of a block; islands of a block; packings of an island; children of an island and epoch; epochs.
-BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 2_000, 2, 4, 16, 3
+BLOCK, ISLANDS, POPULATION, CHILDREN, EPOCHS = 2_000, 2, 4, 24, 3
 #: Share of a block's containers, the worst filled, that is packed again across blocks.
-AGAIN = 0.03
+AGAIN = 0.1
 
 #: Container sizes that one call takes.
 WINDOWS = 1_000
