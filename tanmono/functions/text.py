@@ -116,3 +116,16 @@ def highlight_target(sentence: Column, target: Column, start: Column, end: Colum
 
 def source_label(season: Column | str, episode: Column | str) -> Column:
     return F.format_string("S%02dE%02d", _col(season), _col(episode))
+
+
+#: The parent of all decks, and the tag of all notes.
+DECK_PARENT, NOTE_TAG = "Japanese Sources", "multisource_vocab"
+
+
+def deck_name(series: Column | str) -> Column:
+    """The deck of a series under the common parent; "::" would part it in two."""
+    return F.concat(F.lit(f"{DECK_PARENT}::"), F.replace(_col(series), F.lit("::"), F.lit("-")))
+
+
+def note_tags(series: Column | str) -> Column:
+    return F.array(F.lit(NOTE_TAG), F.concat(F.lit("series::"), F.replace(_col(series), F.lit(" "), F.lit("_"))))

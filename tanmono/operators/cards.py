@@ -33,6 +33,46 @@ def valid_reviews(reviews: DataFrame, criteria: DataFrame) -> tuple[DataFrame, D
     return rows.filter(fine).drop("known"), rows.filter(~fine).drop("known")
 
 
+def recorded(state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """state(lexeme_id, note_id, card_id, source_id, sentence_id, synced_at, reps) after fresh cards, without reps, were recorded.
+
+    The latest record of a lexeme replaces all but the reviews seen so far, which only a pull may change.
+    """
+    latest = fresh.groupBy("lexeme_id").agg(F.max_by(F.struct(*(c for c in state.columns if c not in ("lexeme_id", "reps"))), "synced_at").alias("now"))
+    rows = state.withColumn("old", F.lit(True)).join(latest, "lexeme_id", "full")
+    values = [F.when(F.col("now").isNotNull(), F.col(f"now.{c}")).otherwise(F.col(c)).alias(c) if c not in ("lexeme_id", "reps") else c for c in state.columns]
+    return rows.fillna(0, ["reps"]).select(*values)
+
+
+def batch(name: str, plan: DataFrame, limit: int, sources: list[int], metric: str) -> DataFrame:
+    """A plan as a named batch: its rows with name, sources, metric, limit, and complete, whether it has as many cards as asked."""
+    facts = {"batch": F.lit(name), "sources": F.array(*map(F.lit, sorted(sources))).cast("array<bigint>"), "metric": F.lit(metric), "asked": F.lit(limit)}
+    return plan.withColumns(facts).withColumn("complete", F.count("*").over(Window.partitionBy("batch")) == limit)
+
+
+def recorded_reviews(stored: DataFrame, fresh: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Reviews(card, code, verdict, note, at) after the valid fresh ones were added; the latest of a card and criterion stays."""
+    valid, _ = valid_reviews(fresh, criteria)
+    both = stored.unionByName(valid.select(stored.columns))
+    rest = [c for c in stored.columns if c not in ("card", "code")]
+    return both.groupBy("card", "code").agg(F.max_by(F.struct(*rest), "at").alias("r")).select("card", "code", "r.*").select(stored.columns)
+
+
+def checked_selection(selection: DataFrame, findings: DataFrame, limit: int) -> DataFrame:
+    """A clean selection (plan, lexeme_id, ...) to be exported, after its cards were audited again.
+
+    It is an error if a plan has fewer than limit cards, or if findings(plan, lexeme_id) still names one of them.
+    """
+    accepted = selection.filter("clean_position IS NOT NULL")
+    short = accepted.groupBy("plan").agg(F.count("*").alias("n")).filter(F.col("n") < limit).orderBy("plan").limit(1).collect()
+    if short or not accepted.limit(1).collect():
+        raise ValueError(f"plan {short[0]['plan']} has {short[0]['n']} clean cards of {limit}" if short else "no clean cards")
+    again = accepted.join(findings.select("plan", "lexeme_id").distinct(), ["plan", "lexeme_id"], "left_semi").count()
+    if again:
+        raise ValueError(f"{again} selected cards still have findings")
+    return accepted
+
+
 def snapshot(plan: DataFrame, path: str, replace: bool = False) -> None:
     """Keep a plan under a name; a name that exists is an error unless it is to be replaced."""
     plan.write.mode("overwrite" if replace else "errorifexists").parquet(path)

@@ -133,9 +133,27 @@ def undefined_lexemes(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFra
     return rows.groupBy("lexeme_id", "lemma").agg(F.sum("n").alias("total"), best).select("lexeme_id", "lemma", "total", F.col("best.sentence_id").alias("example_id"))
 
 
-def stale_lexemes(lex: DataFrame, occ: DataFrame, version: int = 2) -> DataFrame:
-    """(id): lexemes that occur and whose dictionary match is missing or of an older version."""
-    stale = lex.filter(F.col("dictionary_status").isNull() | (F.coalesce("dictionary_version", F.lit(0)) < version))
+def excluded_lexemes(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFrame:
+    """(source_id, lexeme_id, lexeme_key, lemma, reason, source_count, example_id, position): what is never taught, and why.
+
+    Interjections of one character are reaction fragments, other lexemes without a definition lack it. Per source, or scope, the frequent
+    ones first, then by lemma and key; the example is as of undefined_lexemes().
+    """
+    reaction = (F.coalesce("part_of_speech", F.lit("")) == "感動詞") & (F.char_length("lemma") <= 1)
+    reason = F.when(reaction, "reaction_fragment").when((F.col("dictionary_status") == "missing") | F.col("gloss").isNull(), "missing_definition")
+    out = lex.select(F.col("id").alias("lexeme_id"), "lexeme_key", "lemma", reason.alias("reason")).filter("reason IS NOT NULL")
+    missing = F.coalesce(F.col("english") == "", F.lit(True)).alias("missing")
+    lines = sen.select(F.col("id").alias("sentence_id"), "source_id", missing, F.char_length("japanese").alias("length"), "cue_index")
+    rows = occ.join(out, "lexeme_id").join(lines, "sentence_id")
+    best = F.min(F.struct("missing", "length", "cue_index", "sentence_id")).alias("best")
+    rows = rows.groupBy("source_id", "lexeme_id", "lexeme_key", "lemma", "reason").agg(F.sum("n").alias("source_count"), best)
+    order = Window.partitionBy("source_id").orderBy(F.col("source_count").desc(), "lemma", "lexeme_key")
+    return rows.select("source_id", "lexeme_id", "lexeme_key", "lemma", "reason", "source_count", F.col("best.sentence_id").alias("example_id"), F.row_number().over(order).alias("position"))
+
+
+def stale_lexemes(lex: DataFrame, occ: DataFrame, version: int = 2, force: bool = False) -> DataFrame:
+    """(id): lexemes that occur and whose dictionary match is missing or of an older version; with force, all that occur."""
+    stale = lex.filter(F.lit(force) | F.col("dictionary_status").isNull() | (F.coalesce("dictionary_version", F.lit(0)) < version))
     return stale.select("id").join(occ.select(F.col("lexeme_id").alias("id")), "id", "left_semi")
 
 

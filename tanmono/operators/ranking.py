@@ -348,17 +348,18 @@ def planned(pool: DataFrame, parts: DataFrame, limit: int = 20, reserved: DataFr
     return pool.groupBy("source_id").applyInPandas(plans, schema)
 
 
-def known_alternatives(occ: DataFrame, sen: DataFrame, lex: DataFrame, taken: DataFrame) -> DataFrame:
-    """(source_id, lexeme_id, sentence_id, surface, rank): examples whose other words are all known, less those taken.
+def known_alternatives(occ: DataFrame, sen: DataFrame, lex: DataFrame, used: DataFrame) -> DataFrame:
+    """(source_id, lexeme_id, sentence_id, surface, rank): examples whose other words are all known, less those in used sentences.
 
-    taken has (source_id, lexeme_id, sentence_id). Sentences with a translation first, then short, then early ones.
+    used has (sentence_id), whoever shows it. The surface must stand in the sentence, else there is nothing to mark. Sentences with a
+    translation first, then short, then early ones.
     """
     unknown = lex.filter("known_at IS NULL").select(F.col("id").alias("lexeme_id"), F.lit(1).alias("is_unknown"))
     words = occ.select("sentence_id", "lexeme_id").distinct().join(unknown, "lexeme_id", "left")
-    open_words = words.groupBy("sentence_id").agg(F.count("is_unknown").alias("n_unknown"))
+    open_words = words.groupBy("sentence_id").agg(F.count("is_unknown").alias("n_unknown")).filter("n_unknown <= 1")
     rows = occ.select("lexeme_id", "sentence_id", "surface").join(unknown, "lexeme_id", "left").join(open_words, "sentence_id")
     rows = rows.filter(F.col("n_unknown") == F.coalesce("is_unknown", F.lit(0)))
-    lines = sen.select(F.col("id").alias("sentence_id"), "source_id", "cue_index", _missing("english").alias("missing"), F.char_length("japanese").alias("length"))
-    rows = rows.join(lines, "sentence_id").join(taken, ["source_id", "lexeme_id", "sentence_id"], "left_anti")
-    order = Window.partitionBy("source_id", "lexeme_id").orderBy("missing", "length", "cue_index", "sentence_id", "surface")
+    lines = sen.select(F.col("id").alias("sentence_id"), "source_id", "cue_index", _missing("english").alias("missing"), "japanese")
+    rows = rows.join(lines, "sentence_id").filter(F.contains(F.col("japanese"), F.col("surface"))).join(used, "sentence_id", "left_anti")
+    order = Window.partitionBy("source_id", "lexeme_id").orderBy("missing", F.char_length("japanese"), "cue_index", "sentence_id", "surface")
     return rows.select("source_id", "lexeme_id", "sentence_id", "surface", F.row_number().over(order).alias("rank"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tanmono.functions.text import to_katakana
+from tanmono.plans.storage import materialize
 
 #: Queries whose vectors go to every task at a time; more are done in rounds.
 QUERIES_AT_ONCE = 20_000
@@ -76,6 +77,23 @@ def cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(cache.select("model", "role", "text_hash"), ["model", "role", "text_hash"], "left_anti")
 
 
+def cached_vectors(texts: DataFrame, cache: DataFrame, encode: Callable[[Iterator[pd.Series]], Iterator[pd.Series]]) -> tuple[DataFrame, DataFrame]:
+    """(model, role, text, vector) of texts, and the cache(model, role, text_hash, vector) with what it lacked.
+
+    encode turns batches of texts into lists of floats; only distinct texts that the cache lacks reach it, and they are kept as
+    a table, so that no later read encodes them again.
+    """
+
+    @F.pandas_udf("array<float>")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from encode(parts)
+
+    missing = materialize(cache_misses(texts, cache).withColumn("vector", vectors("text")), "vectors")
+    grown = cache.unionByName(missing.select(cache.columns))
+    keyed = texts.filter("text IS NOT NULL").withColumn("text_hash", F.sha2("text", 256))
+    return keyed.join(grown, ["model", "role", "text_hash"]).select("model", "role", "text", "vector"), grown
+
+
 def reading_consensus(expected: Column, votes: Column, has_span: Column) -> Column:
     """agreement, disagreement or unresolved, from an array of readings in katakana, null where a reader has none.
 

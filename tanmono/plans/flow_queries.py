@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tanmono.functions import text as tx
-from tanmono.operators import cards, model, ranking, tokens
+from tanmono.operators import cards, ingest, model, ranking, semantics, tokens
 from tanmono.plans import sql
-from tanmono.plans.model_queries import _DIFFICULTY, kept_model
+from tanmono.plans.model_queries import _DIFFICULTY, _REIMPORTED, kept_model, reimported
 from tanmono.plans.storage import materialize
 from tanmono.plans.text_queries import _ANAK, SRT_CUES
 from tanmono.session import table
@@ -141,6 +144,81 @@ walk AS (
 SELECT source_id AS plan, lexeme_id, sentence_id, CASE WHEN reasons = '' THEN CAST(n AS INTEGER) END AS clean_position, replaced, reasons FROM walk WHERE rank > 0"""
 
 
+def _reingested(spark: SparkSession, sf_dir: str) -> tuple[ingest.Tables, ingest.Tables]:
+    """The model before and after those sources that came in more than once are ingested anew, from their lines with a translation."""
+    occ, sen, lex = model.occurrences(spark, sf_dir), model.sentences(spark, sf_dir, *_SENTENCE), model.lexemes(spark, sf_dir)
+    held = lex.filter("dictionary_status = 'matched'").select(F.col("id").alias("lexeme_id"), F.lit(None).cast("bigint").alias("sentence_id"))
+    planned = table(spark, sf_dir, "source_queue").select(F.col("source_id").alias("batch_id"), F.col("example_sentence_id").alias("sentence_id"))
+    before = ingest.Tables(sen, occ, lex, held, planned)
+    lines = sen.join(reimported(spark, sf_dir), "source_id", "left_semi").filter("english <> '' AND japanese <> ''")
+    cue = ["source_id", "cue_index", "start_ms", "end_ms"]
+    fresh = ingest.fresh_sentences(lines.select(*cue, F.col("japanese").alias("text")), lines.select(*cue, F.col("english").alias("text")))
+    return before, ingest.ingested(before, fresh, lambda rows, key, text: tokens.content_words(tokens.default_tokens(rows, key, text)))
+
+
+_SENTENCE = ("id", "source_id", "cue_index", "start_ms", "end_ms", "japanese", "english")
+
+
+def reingested_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lexeme's count after the re-import, and before, null for new ones; those that nothing holds any more are gone."""
+    before, after = _reingested(spark, sf_dir)
+    old = model.corpus_counts(before.occurrences, before.lexemes).select("id", F.col("counted").alias("before"))
+    return after.lexemes.select("id", "lexeme_key", "corpus_count").join(old, "id", "left").select("lexeme_key", "corpus_count", "before")
+
+
+_INGESTED = f"""
+WITH {sql.MODEL}, {_REIMPORTED},
+f AS (SELECT DISTINCT id, source_id, cue_index, start_ms, japanese FROM sen SEMI JOIN again USING (source_id) WHERE english <> '' AND japanese <> ''),
+gone AS (SELECT id FROM sen WHERE source_id IN (SELECT source_id FROM f)),
+t AS (SELECT source_id, cue_index, start_ms, unnest(regexp_extract_all(japanese, '{tokens.WORD}')) AS surface FROM f),
+fresh AS (SELECT substr(sha256(concat_ws(chr(31), lower(surface), translate(lower(surface), {_ANAK}))), 1, 24) AS key, * FROM t WHERE regexp_matches(surface, '[\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{9fff}}]')),
+kept AS (SELECT lexeme_id, sentence_id, surface, n FROM occ WHERE sentence_id NOT IN (SELECT id FROM gone))"""
+REINGESTED_LEXEMES = _INGESTED + """,
+c AS (SELECT lexeme_id, sum(n) AS n FROM kept GROUP BY 1), d AS (SELECT key, count(*) AS n FROM fresh GROUP BY 1), b AS (SELECT lexeme_id, sum(n) AS n FROM occ GROUP BY 1)
+SELECT coalesce(lexeme_key, key) AS lexeme_key, CAST(coalesce(c.n, 0) + coalesce(d.n, 0) AS BIGINT) AS corpus_count, CASE WHEN lex.id IS NOT NULL THEN CAST(coalesce(b.n, 0) AS BIGINT) END AS before
+FROM lex FULL JOIN d ON key = lexeme_key LEFT JOIN c ON c.lexeme_id = lex.id LEFT JOIN b ON b.lexeme_id = lex.id
+WHERE coalesce(c.n, 0) + coalesce(d.n, 0) > 0 OR known_at IS NOT NULL OR dictionary_status = 'matched'"""
+
+
+def reingested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and occurrences of every source after the re-import, and whether its queue still stands as a plan."""
+    after = _reingested(spark, sf_dir)[1]
+    lines = after.sentences.select(F.col("id").alias("sentence_id"), "source_id")
+    words = after.occurrences.join(lines, "sentence_id").groupBy("source_id").agg(F.sum("n").alias("n_words"))
+    plans = after.planned.select(F.col("batch_id").alias("source_id"), F.lit(True).alias("planned")).distinct()
+    rows = lines.groupBy("source_id").agg(F.count("*").alias("n_sentences")).join(words, "source_id", "left").join(plans, "source_id", "left")
+    return rows.fillna(0, ["n_words"]).fillna(False, ["planned"])
+
+
+REINGESTED_SOURCES = _INGESTED + """,
+s AS (SELECT id, source_id FROM sen WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT id, source_id FROM f),
+w AS (SELECT source_id, sum(n) AS n FROM kept JOIN sen ON id = sentence_id GROUP BY 1 UNION ALL SELECT source_id, count(*) FROM fresh GROUP BY 1),
+hit AS (SELECT DISTINCT source_id FROM source_queue WHERE example_sentence_id IN (SELECT id FROM gone))
+SELECT source_id, count(*) AS n_sentences, CAST(coalesce((SELECT sum(n) FROM w WHERE w.source_id = s.source_id), 0) AS BIGINT) AS n_words,
+       source_id IN (SELECT source_id FROM source_queue) AND source_id NOT IN (SELECT source_id FROM hit) AS planned FROM s GROUP BY source_id"""
+
+
+def _shape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """An encoder for tests of the cache: a text's length and its blanks."""
+    for part in parts:
+        yield part.map(lambda t: [float(len(t)), float(t.count(" "))])
+
+
+def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after all translations were asked for, with those of aligned lines in it before."""
+    lines = model.sentences(spark, sf_dir, "id", "japanese", "english").filter("english <> ''")
+    texts = lines.select(F.lit("encoder").alias("model"), F.lit("query").alias("role"), F.col("english").alias("text"))
+    have = texts.join(lines.filter("japanese <> ''").select(F.col("english").alias("text")).distinct(), "text", "left_semi").distinct()
+    vector = F.array(F.lit(-1.0), F.lit(-1.0)).cast("array<float>").alias("vector")
+    cache = have.select("model", "role", F.sha2("text", 256).alias("text_hash"), vector)
+    return semantics.cached_vectors(texts, cache, _shape)[1].select("text_hash", F.col("vector")[0].cast("int").alias("length"), F.col("vector")[1].cast("int").alias("blanks"))
+
+
+CACHED_VECTORS = """WITH a AS (SELECT DISTINCT english FROM sentences WHERE japanese <> '' AND english <> '')
+SELECT sha256(english) AS text_hash, -1 AS length, -1 AS blanks FROM a
+UNION ALL SELECT DISTINCT sha256(english), CAST(length(english) AS INTEGER), CAST(length(english) - length(replace(english, ' ', '')) AS INTEGER) FROM sentences WHERE english <> '' AND english NOT IN (FROM a)"""
+
+
 def stream_first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     rows = state.stream(spark, f"{sf_dir}/event[s].parquet", schema).filter("event_type = 'purchase'")
@@ -175,6 +253,9 @@ QUERIES = {
     "media_names": (media_names, MEDIA_NAMES),
     "card_actions": (card_actions, CARD_ACTIONS),
     "clean_selection": (clean_selection, CLEAN_SELECTION),
+    "reingested_lexemes": (reingested_lexemes, REINGESTED_LEXEMES),
+    "reingested_sources": (reingested_sources, REINGESTED_SOURCES),
+    "cached_vectors": (cached_vectors, CACHED_VECTORS),
     "stream_first_known": (stream_first_known, STREAM_FIRST_KNOWN),
     "stream_event_windows": (stream_event_windows, STREAM_EVENT_WINDOWS),
     "stream_cues": (stream_cues, STREAM_CUES),

@@ -109,6 +109,20 @@ WITH {sql.MODEL}, u AS (
 SELECT lexeme_id, lemma, CAST(total AS BIGINT) AS total, sentence_id AS example_id FROM u WHERE k = 1"""
 
 
+def excluded_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source's queue leaves out, why, and in which order it is listed."""
+    return model.excluded_lexemes(*_model(spark, sf_dir))
+
+
+EXCLUDED_LEXEMES = f"""
+WITH {sql.MODEL}, o AS (SELECT id, lexeme_key, lemma, CASE WHEN coalesce(part_of_speech, '') = '感動詞' AND length(lemma) <= 1 THEN 'reaction_fragment'
+       WHEN dictionary_status = 'missing' OR gloss IS NULL THEN 'missing_definition' END AS reason FROM lex),
+g AS (SELECT source_id, lexeme_id, lexeme_key, lemma, reason, CAST(sum(n) AS BIGINT) AS source_count,
+             arg_min(sentence_id, (coalesce(english, '') = '', length(japanese), cue_index, sentence_id)) AS example_id
+      FROM occ JOIN o ON o.id = lexeme_id JOIN sen ON sen.id = sentence_id WHERE reason IS NOT NULL GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY source_count DESC, lemma, lexeme_key) AS INTEGER) AS position FROM g"""
+
+
 def stale_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     occ, _, lex = _model(spark, sf_dir)
     return model.stale_lexemes(lex, occ)
@@ -147,7 +161,7 @@ def known_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN_FIRST_EVENT = "SELECT user_id, min(ts) AS first_at FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1"
 
 
-def _reimported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reimported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id) of sources that came in more than once."""
     counts = table(spark, sf_dir, "sources").groupBy(F.col("id").alias("source_id")).agg(F.count_distinct("imported_at").alias("n"))
     return counts.filter("n > 1").select("source_id")
@@ -159,7 +173,7 @@ _REIMPORTED = "again AS (SELECT id AS source_id FROM sources GROUP BY id HAVING
 def replaced_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences per source after re-imported sources were replaced by those of their lines that have a translation."""
     sen = model.sentences(spark, sf_dir, "id", "source_id", "cue_index", "english")
-    fresh = sen.join(_reimported(spark, sf_dir), "source_id", "left_semi").filter("english <> ''").select(sen.columns)
+    fresh = sen.join(reimported(spark, sf_dir), "source_id", "left_semi").filter("english <> ''").select(sen.columns)
     return model.replaced(sen, fresh, "source_id").groupBy("source_id").agg(F.count("*").alias("n"), F.sum("cue_index").alias("cues"))
 
 
@@ -172,7 +186,7 @@ def kept_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans, one for each lexeme's cards in the stored queue, that no re-imported source touches."""
     queue = table(spark, sf_dir, "source_queue").select(F.col("lexeme_id").alias("batch_id"), F.col("example_sentence_id").alias("sentence_id"))
     lines = model.sentences(spark, sf_dir).select(F.col("id").alias("sentence_id"), "source_id")
-    changed = lines.join(_reimported(spark, sf_dir), "source_id", "left_semi")
+    changed = lines.join(reimported(spark, sf_dir), "source_id", "left_semi")
     return model.without_batches(queue.select("batch_id").distinct(), queue, changed)
 
 
@@ -389,16 +403,17 @@ def scoped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that stored cards show are used, whatever lexeme shows them."""
     occ, sen, lex = _model(spark, sf_dir)
-    taken = table(spark, sf_dir, "source_queue").select("source_id", "lexeme_id", F.col("example_sentence_id").alias("sentence_id"))
-    return ranking.known_alternatives(occ, sen, lex, taken)
+    used = table(spark, sf_dir, "source_queue").filter("example_sentence_id IS NOT NULL").select(F.col("example_sentence_id").alias("sentence_id")).distinct()
+    return ranking.known_alternatives(occ, sen, lex, used)
 
 
 KNOWN_ALTERNATIVES = f"""
 WITH {sql.MODEL}, k AS (SELECT sentence_id, count(*) FILTER (known_at IS NULL) AS u FROM (SELECT DISTINCT sentence_id, lexeme_id FROM occ) JOIN lex ON id = lexeme_id GROUP BY 1)
 SELECT source_id, lexeme_id, sentence_id, surface, CAST(row_number() OVER (PARTITION BY source_id, lexeme_id ORDER BY coalesce(english, '') = '', length(japanese), cue_index, sentence_id, surface) AS INTEGER) AS rank
 FROM occ JOIN k USING (sentence_id) JOIN lex ON lex.id = lexeme_id JOIN sen ON sen.id = sentence_id
-WHERE u = CAST(known_at IS NULL AS INTEGER) AND NOT EXISTS (SELECT 1 FROM source_queue q WHERE q.source_id = sen.source_id AND q.lexeme_id = occ.lexeme_id AND q.example_sentence_id = occ.sentence_id)"""
+WHERE u = CAST(known_at IS NULL AS INTEGER) AND contains(japanese, surface) AND sentence_id NOT IN (SELECT example_sentence_id FROM source_queue WHERE example_sentence_id IS NOT NULL)"""
 
 
 QUERIES = {
@@ -410,6 +425,7 @@ QUERIES = {
     "vocabulary_growth": (vocabulary_growth, VOCABULARY_GROWTH),
     "corpus_stats": (corpus_stats, CORPUS_STATS),
     "undefined_lexemes": (undefined_lexemes, UNDEFINED_LEXEMES),
+    "excluded_lexemes": (excluded_lexemes, EXCLUDED_LEXEMES),
     "stale_lexemes": (stale_lexemes, STALE_LEXEMES),
     "orphan_lexemes": (orphan_lexemes, ORPHAN_LEXEMES),
     "lexeme_labels": (lexeme_labels, LEXEME_LABELS),

@@ -83,14 +83,12 @@ SELECT source_id, word, count(*) AS n_sentences FROM words WHERE word NOT IN ({_
 
 
 def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = tx.source_label("season", "episode")
-    return model.sources(spark, sf_dir).select(
-        "id", label.alias("label"), F.concat_ws("::", "series", label).alias("deck"), F.concat_ws(" ", F.replace("series", F.lit(" "), F.lit("_")), label).alias("tags")
-    )
+    label = F.concat_ws(" ", "series", tx.source_label("season", "episode")).alias("label")
+    return model.sources(spark, sf_dir).select("id", label, tx.deck_name("series").alias("deck"), F.array_join(tx.note_tags("series"), " ").alias("tags"))
 
 
-SOURCE_LABELS = f"""WITH {sql.MODEL}, l AS (SELECT id, series, format('S{{:02d}}E{{:02d}}', season, episode) AS label FROM src)
-SELECT id, label, concat_ws('::', series, label) AS deck, concat_ws(' ', replace(series, ' ', '_'), label) AS tags FROM l"""
+SOURCE_LABELS = f"""WITH {sql.MODEL} SELECT id, series || ' ' || format('S{{:02d}}E{{:02d}}', season, episode) AS label, '{tx.DECK_PARENT}::' || replace(series, '::', '-') AS deck,
+  '{tx.NOTE_TAG} series::' || replace(series, ' ', '_') AS tags FROM src"""
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:

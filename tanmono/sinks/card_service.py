@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import urllib.request
 from collections.abc import Callable, Iterable
+from datetime import datetime
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+
+from tanmono.operators import cards
 
 Invoke = Callable[..., object]
 
@@ -23,17 +30,26 @@ def http_client(url: str, timeout: float = 10.0) -> Invoke:
     return invoke
 
 
+def model_calls(name: str, fields: list[str], templates: dict[str, dict[str, str]], css: str, present: list[str] | None) -> list[tuple[str, dict]]:
+    """The calls that turn a note type with the present fields, None if it does not exist, into the wanted one."""
+    if present is None:
+        cards = [{"Name": card, **sides} for card, sides in templates.items()]
+        return [("createModel", {"modelName": name, "inOrderFields": fields, "css": css, "cardTemplates": cards})]
+    added = [("modelFieldAdd", {"modelName": name, "fieldName": f, "index": n}) for n, f in enumerate(fields) if f not in present]
+    looks = {"updateModelTemplates": {"templates": templates}, "updateModelStyling": {"css": css}}
+    return added + [(action, {"model": {"name": name, **look}}) for action, look in looks.items()]
+
+
 def ensure_model(invoke: Invoke, name: str, fields: list[str], templates: dict[str, dict[str, str]], css: str) -> None:
-    """Create a note type, or add the fields it lacks and refresh its templates and style."""
-    if name not in invoke("modelNames"):
-        invoke("createModel", modelName=name, inOrderFields=fields, css=css, cardTemplates=[{"Name": k, **v} for k, v in templates.items()])
-        return
-    have = invoke("modelFieldNames", modelName=name)
-    for at, field in enumerate(fields):
-        if field not in have:
-            invoke("modelFieldAdd", modelName=name, fieldName=field, index=at)
-    invoke("updateModelTemplates", model={"name": name, "templates": templates})
-    invoke("updateModelStyling", model={"name": name, "css": css})
+    """Bring a note type to the wanted fields, templates and style."""
+    present = invoke("modelFieldNames", modelName=name) if name in invoke("modelNames") else None
+    for action, params in model_calls(name, fields, templates, css, present):
+        invoke(action, **params)
+
+
+def store_media(invoke: Invoke, path: Path) -> str:
+    """Upload a file; the name that the service keeps it under."""
+    return str(invoke("storeMediaFile", filename=path.name, data=base64.b64encode(path.read_bytes()).decode("ascii")))
 
 
 def pulled_reviews(invoke: Invoke, card_ids: Iterable[int]) -> list[tuple[int, int]]:
@@ -41,15 +57,43 @@ def pulled_reviews(invoke: Invoke, card_ids: Iterable[int]) -> list[tuple[int, i
     return [(int(c["cardId"]), int(c["reps"])) for c in invoke("cardsInfo", cards=list(card_ids)) if c]
 
 
-def push(invoke: Invoke, deck: str, model: str, rows: Iterable[dict]) -> dict[str, int]:
-    """Carry out action rows: add new notes, move and refresh existing ones; counts by action."""
+def push(invoke: Invoke, deck: str, model: str, rows: Iterable[dict], records: list[tuple[int, int]] | None = None) -> dict[str, int]:
+    """Carry out action rows: add new notes, move and refresh existing ones; counts by action. records gets (note, card) of each row."""
     done = {"add": 0, "move": 0}
     invoke("createDeck", deck=deck)
     for row in rows:
         if row["action"] == "add":
-            invoke("addNote", note={"deckName": deck, "modelName": model, "fields": row["fields"], "tags": row.get("tags", [])})
+            note = invoke("addNote", note={"deckName": deck, "modelName": model, "fields": row["fields"], "tags": row.get("tags", [])})
+            made = invoke("findCards", query=f"nid:{note}") if records is not None else None
+            place = (note, made[0] if made else None)
         else:
             invoke("changeDeck", cards=[row["card_id"]], deck=deck)
             invoke("updateNoteFields", note={"id": row["note_id"], "fields": row["fields"]})
+            place = (row["note_id"], row["card_id"])
         done[row["action"]] += 1
+        if records is not None:
+            records.append(place)
     return done
+
+
+def synchronise(invoke: Invoke, state: DataFrame, plan: Callable[[DataFrame], DataFrame], fields: Callable[[dict], dict], deck: str, model: str, now: datetime) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Pull reviews, plan with what they taught, add and move the planned notes, and record them: (state, learned lexemes, counts).
+
+    state(lexeme_id, note_id, card_id, source_id, sentence_id, synced_at, reps) holds the cards; plan gets the learned(lexeme_id) and gives
+    (lexeme_id, source_id, sentence_id, ...) in order, a batch of bounded size; fields makes a note of one of its rows, uploading media as
+    it goes. A card without reviews moves, a lexeme without a card gets one, and cards with reviews are left alone.
+    """
+    spark, ids = state.sparkSession, [r.card_id for r in state.filter("card_id IS NOT NULL").select("card_id").toLocalIterator()]
+    pulled = spark.createDataFrame(pulled_reviews(invoke, ids), "card_id long, reps long")
+    reviewed = cards.learned(state, pulled)
+    taught = reviewed.filter("learned").select("lexeme_id")
+    state = state.drop("reps").join(reviewed.select("lexeme_id", "reps"), "lexeme_id", "left").select(state.columns)
+    batch = plan(taught)
+    wanted = cards.actions(batch, state).select("lexeme_id", "action").join(state.select("lexeme_id", "note_id", "card_id"), "lexeme_id", "left")
+    rows, records, done = [r.asDict() for r in batch.join(wanted, "lexeme_id").collect()], [], {"add": 0, "move": 0}
+    for row in rows:
+        made = push(invoke, deck, model, [row | {"fields": fields(row)}], records)
+        done = {k: done[k] + made[k] for k in done}
+    fresh = [(row["lexeme_id"], note, card, row["source_id"], row["sentence_id"], now) for row, (note, card) in zip(rows, records, strict=True)]
+    schema = "lexeme_id long, note_id long, card_id long, source_id long, sentence_id long, synced_at timestamp"
+    return cards.recorded(state, spark.createDataFrame(fresh, schema)), taught, done | {"learned": taught.count(), "batch": len(rows)}

@@ -66,6 +66,14 @@ def selected_sources(src: DataFrame, series: str, season: int, episodes: list[in
     return rows.orderBy("episode")
 
 
+def source_id(src: DataFrame, series: str, season: int, episode: int) -> int:
+    """The id of one episode; it is an error if there is none."""
+    found = selected_sources(src, series, season, [episode]).limit(1).collect()
+    if not found:
+        raise KeyError(f"no source for {series} S{season:02d}E{episode:02d}")
+    return found[0]["id"]
+
+
 def missing_episodes(src: DataFrame, asked: DataFrame) -> DataFrame:
     """asked(series, season, episode) that the sources lack."""
     return asked.join(src, ["series", "season", "episode"], "left_anti")
@@ -86,17 +94,29 @@ def not_yet_ingested(manifest: DataFrame, src: DataFrame) -> DataFrame:
     return manifest.join(src.select("series", "season", "episode"), ["series", "season", "episode"], "left_anti")
 
 
+#: A title, the episode after the last " - ", and what some groups put in brackets; titles may hold numbers themselves.
+_EPISODE = r"(?i)^.+ - (\d+)(?: \[[^\]]+\])?\.([a-z0-9]+)$"
+
+
 def episode_of(name: Column) -> Column:
-    """The episode number of a file name like '[Group] Show - 07 [720p].mkv'."""
-    return F.try_to_number(F.regexp_extract(name, r"(?i)\s-\s(\d+)\D*\.[a-z0-9]+$", 1), F.lit("99999")).cast("int")
+    """The episode number of a file name like '[Group] Show - 07 [720p].mkv', null if it has none."""
+    return F.regexp_extract(name, _EPISODE, 1).try_cast("int")
+
+
+def episode_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(episode, extension, path) of a folder's files on any file system, by name alone; contents are not read, and empty files are not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select(episode_of(name).alias("episode"), F.lower(F.regexp_extract(name, _EPISODE, 2)).alias("extension"), "path")
+    return rows.filter("episode IS NOT NULL")
 
 
 def discover_episode_files(folder: str | Path, extensions: tuple[str, ...] = (".mkv", ".srt")) -> dict[tuple[int, str], Path]:
     """(episode, extension) to file; two files for one key are an error."""
     found: dict[tuple[int, str], Path] = {}
     for path in sorted(Path(folder).iterdir()):
-        number = re.search(r"\s-\s(\d+)\b", path.stem)
-        key = (int(number[1]), path.suffix.lower()) if number else None
+        name = re.match(_EPISODE, path.name)
+        key = (int(name[1]), f".{name[2].lower()}") if name else None
         if key is None or key[1] not in extensions:
             continue
         if key in found:
@@ -105,13 +125,16 @@ def discover_episode_files(folder: str | Path, extensions: tuple[str, ...] = (".
     return found
 
 
-def build_manifest(folder: str | Path, series: str, season: int, episodes: list[int]) -> dict:
-    """A manifest of the folder's files; every asked episode needs a video and a subtitle file."""
+def build_manifest(folder: str | Path, series: str, season: int, episodes: list[int], english_track: int | None = None) -> dict:
+    """A manifest of the folder's files; every asked episode needs a video and a subtitle file, and takes English from that track of the video."""
     files = discover_episode_files(folder)
     lacking = [e for e in episodes if (e, ".mkv") not in files or (e, ".srt") not in files]
     if lacking:
         raise ValueError(f"files are missing for episodes {lacking}")
-    rows = [{"episode": e, "video": str(files[e, ".mkv"]), "japanese": {"srt": str(files[e, ".srt"])}, "english": {"track": None}} for e in episodes]
+    rows = [
+        {"episode": e, "video": str(files[e, ".mkv"].resolve()), "japanese": {"srt": str(files[e, ".srt"].resolve())}, "english": {"track": english_track}}
+        for e in episodes
+    ]
     return {"series": series, "season": season, "episodes": rows}
 
 
@@ -134,6 +157,18 @@ def probe_streams(video: str | Path) -> list[dict]:
     return json.loads(subprocess.run(command, check=True, capture_output=True, text=True).stdout or "{}").get("streams", [])
 
 
+def chosen_stream(streams: list[dict], language: str = "eng", track: int | None = None) -> int:
+    """Index of the asked subtitle track among a video's streams, else of the first one in that language; an error if there is none."""
+    if track is not None:
+        if not 0 <= track < len(streams):
+            raise ValueError(f"there is no subtitle track {track}, only {len(streams)}")
+        return streams[track]["index"]
+    fits = [s["index"] for s in streams if s.get("tags", {}).get("language", "").lower() == language]
+    if not fits:
+        raise ValueError(f"no subtitles in {language}")
+    return fits[0]
+
+
 def extract_stream(video: str | Path, index: int, target: str | Path) -> None:
     """One subtitle stream of a video as a file, by ffmpeg."""
     subprocess.run(["ffmpeg", "-v", "error", "-y", "-i", str(video), "-map", f"0:{index}", str(target)], check=True)
