@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tanmono.operators import model, ranking
-from tanmono.plans import flow_queries, meaning_queries, model_queries, text_queries
+from tanmono.plans import audit_queries, flow_queries, meaning_queries, model_queries, morph_queries, text_queries
 from tanmono.session import local_session
 from tanmono.sinks import reports
 from tanmono.sources import subtitles
 
-QUERIES = {name: query for m in (text_queries, model_queries, meaning_queries, flow_queries) for name, (query, _) in m.QUERIES.items()}
+QUERIES = {name: query for m in (text_queries, model_queries, meaning_queries, morph_queries, audit_queries, flow_queries) for name, (query, _) in m.QUERIES.items()}
 #: Commands that are one query each.
 COMMANDS = {
     "stats": "corpus_stats", "coverage": "vocabulary_growth", "compare-difficulty": "metric_comparison", "candidates": "unseen_queue", "queue": "planned_batch",

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 ALIGNMENT, ALIGNMENT_HIGH, GLOSS, MARGIN, OPACITY = 0.78, 0.72, 0.70, 0.06, 0.20
 #: Parts of speech whose reading is checked in context.
 READING_POS = ["名詞", "代名詞", "副詞", "連体詞", "感動詞", "表現"]
+#: Finding codes of the criteria, fixed values, with what a reader is told.
+FINDINGS = {
+    "translation_available": ("missing_translation", "There is no English translation."),
+    "translation_alignment": ("weak_subtitle_alignment", "The translation may belong to another line."),
+    "definition_available": ("missing_definition", "There is no dictionary definition."),
+    "gloss_support": ("weak_gloss_support", "The sentence hardly supports this definition."),
+    "context_difficulty": ("harder_unknown_context", "The sentence has unknown words that are harder than the target."),
+    "contextual_reading": ("reading_disagreement", "Analyzers read this occurrence in another way."),
+    "expression_interpretation": ("ambiguous_expression", "It is uncertain whether words here form an expression."),
+    "unique_example": ("repeated_example", "Another card shows the same sentence."),
+}
+BORDERLINE = ("borderline_expression", "An expression was accepted by a narrow margin.")
 #: How far above its threshold a score still counts as near.
 NEAR = 0.03
 
@@ -101,3 +113,53 @@ def overlapping(cards: DataFrame, analyses: DataFrame) -> DataFrame:
     """
     met = cards.join(analyses, "sentence_id")
     return met.filter(F.col("start").isNull() | F.col("end").isNull() | ((F.col("a_start") < F.col("end")) & (F.col("a_end") > F.col("start"))))
+
+
+def worst_analyses(met: DataFrame) -> DataFrame:
+    """(card, expression, margin, opacity) of the analysis of each card in overlapping() rows that most needs a look.
+
+    Undecided ones come first, then accepted ones near their limits, each by the smallest margin.
+    """
+    unsure = F.col("decision").isin("ambiguous", "insufficient_evidence")
+    near = (F.col("decision") == "expression") & ((F.col("margin") < MARGIN) | (F.col("opacity") < OPACITY))
+    level = F.when(unsure, 0).when(near, 1).otherwise(2)
+    best = F.min(F.struct(level.alias("level"), "margin", "opacity", "decision")).alias("w")
+    return met.groupBy("card").agg(best).select("card", F.col("w.decision").alias("expression"), "w.margin", "w.opacity")
+
+
+def findings(rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """(card, finding, severity, explanation, score, threshold) of every flagged one of criteria() rows."""
+    named = F.create_map(*(F.lit(x) for code, (f, _) in FINDINGS.items() for x in (code, f)))
+    told = F.create_map(*(F.lit(x) for code, (_, t) in FINDINGS.items() for x in (code, t)))
+    met = rows.filter("status = 'flagged'").join(cards.select("card", "expression"), "card")
+    narrow = (F.col("code") == "expression_interpretation") & F.coalesce(F.col("expression") == "expression", F.lit(False))
+    pick = lambda names, other: F.when(narrow, other).otherwise(F.element_at(names, F.col("code")))
+    return met.select("card", pick(named, BORDERLINE[0]).alias("finding"), "severity", pick(told, BORDERLINE[1]).alias("explanation"), "score", "threshold")
+
+
+def totals(cards: DataFrame, found: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(name, n): cards, cards with findings, excluded lexemes, and findings by code and by severity."""
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    by = lambda kind, column: found.groupBy(F.concat(F.lit(f"{kind}:"), F.col(column)).alias("name")).agg(F.count("*").alias("n"))
+    parts = [count("cards_with_findings", found.select("card").distinct()), count("excluded", excluded), by("code", "finding"), by("severity", "severity")]
+    out = count("cards", cards)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def review_sheet(cards: DataFrame, rows: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """One row a card and criterion, in the 21 columns that reviewers get, by position.
+
+    cards(card, position, lexeme_key, lemma, reading, gloss, part_of_speech, series, season, episode, sentence_id, japanese, english,
+    difficulty_score); verdicts and notes of reviews(card, code, verdict, note) are filled in.
+    """
+    about = ["position", "lexeme_key", "lemma", "reading", "gloss", "part_of_speech", "series", "season", "episode", "sentence_id", "japanese", "english", "difficulty_score"]
+    met = review_priority(rows).join(cards.select("card", *about), "card")
+    if reviews is not None:
+        met = met.join(reviews.select("card", "code", F.col("verdict").alias("review_verdict"), F.col("note").alias("review_note")), ["card", "code"], "left")
+    blank = {c: F.coalesce(F.col(c) if c in met.columns else F.lit(None).cast("string"), F.lit("")) for c in ("gloss", "part_of_speech", "english", "review_verdict", "review_note")}
+    names = {"code": "criterion", "status": "automatic_status", "distance": "threshold_distance", "priority": "review_priority"}
+    met = met.withColumns(blank).withColumnsRenamed(names)
+    order = ["criterion", "automatic_status", "score", "threshold", "threshold_distance", "review_priority", "review_verdict", "review_note"]
+    return met.select(*about, *order).orderBy("position", "criterion")

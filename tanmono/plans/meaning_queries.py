@@ -15,6 +15,8 @@ from tanmono.plans import sql
 from tanmono.plans.text_queries import _ANAK, _KANA
 from tanmono.session import table
 
+#: Letters of the particles that stand inside phrases.
+_IN_PHRASES = "はがをにへとでのもやか"
 _TAGS = {0: ["ichi1"], 1: ["news1"], 2: ["spec2"], 3: ["nf40"], 4: []}
 _SENSE_POS = {"名詞": "noun (common)", "代名詞": "pronoun", "動詞": "godan verb", "形容詞": "adjective (keiyoushi)", "副詞": "adverb (fukushi)", "感動詞": "interjection (kandoushi)"}
 
@@ -103,13 +105,13 @@ def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expression_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = model.lexemes(spark, sf_dir)
-    asked = lex.select(F.col("lemma").alias("surface"), "reading", (F.col("id") % 2 == 0).alias("with_particle"))
+    asked = lex.select(F.col("lemma").alias("surface"), "reading", F.col("lemma").rlike(f"[{_IN_PHRASES}]").alias("with_particle"))
     out = dictionary.expression_entries(asked, *dictionary_tables(lex))
     return out.select("surface", "reading", "entry_id", F.array_join("senses", " / ").alias("senses"))
 
 
 EXPRESSION_ENTRIES = _DICTIONARY + f""",
-ask AS (SELECT DISTINCT lemma AS surface, translate(reading, {_KANA}) AS kana, id % 2 = 0 AS particle FROM lex),
+ask AS (SELECT DISTINCT lemma AS surface, translate(reading, {_KANA}) AS kana, regexp_matches(lemma, '[{_IN_PHRASES}]') AS particle FROM lex),
 kinds AS (SELECT entry_id, bool_or(contains(sense_pos, 'expressions (phrases') OR contains(sense_pos, 'interjection')) AS phrase FROM senses GROUP BY 1),
 kanas AS (SELECT entry_id, list_sort(list(DISTINCT text)) AS kanas FROM forms WHERE kind = 'kana' GROUP BY 1),
 met AS (SELECT surface, kana, entry_id, bool_or(kind = 'kanji') AS spelt FROM ask JOIN forms ON text = surface JOIN kinds USING (entry_id) LEFT JOIN kanas USING (entry_id)
@@ -136,14 +138,16 @@ QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5"""
 
 
 def expression_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A translation, two phrase senses and the words' glosses, by four vectors that follow each other."""
+    """A translation, two phrase senses and the words' glosses, by four vectors that follow each other; labels tell what is of one kind."""
     rows = table(spark, sf_dir, "embeddings")
-    part = lambda name, off: rows.select((F.col("vec_id") - off).alias("vec_id"), F.col("embedding").alias(name))
+    part = lambda name, off: rows.select((F.col("vec_id") - off).alias("vec_id"), F.col("embedding").alias(name), F.col("label").alias(f"l_{name}"))
     met = part("english", 0).join(part("one", 1), "vec_id").join(part("two", 2), "vec_id").join(part("words", 3), "vec_id")
     near = lambda a, b: F.sqrt(F.greatest(F.round((1 + semantics.dot(F.col(a), F.col(b))) / 2, 9), F.lit(0.0)))
     best = F.greatest(F.struct(near("english", "one").alias("s"), near("one", "words").alias("w")), F.struct(near("english", "two").alias("s"), near("two", "words").alias("w")))
-    met = met.select("vec_id", best.alias("best"), near("english", "words").alias("component"))
-    d = semantics.decide(F.col("best.s"), F.col("component"), F.col("best.w"), F.col("vec_id") % 3, F.col("vec_id") % 2 == 0, F.col("vec_id") % 5 == 0)
+    kinds = F.size(F.array_distinct(F.array("l_one", "l_two", "l_words")))
+    flags = [kinds.alias("n"), (F.col("l_one") == F.col("l_english")).alias("alone"), (F.col("l_two") == F.col("l_english")).alias("particle")]
+    met = met.select("vec_id", best.alias("best"), near("english", "words").alias("component"), *flags)
+    d = semantics.decide(F.col("best.s"), F.col("component"), F.col("best.w"), F.col("n"), F.col("alone"), F.col("particle"))
     return met.select("vec_id", d.alias("d")).select("vec_id", "d.*")
 
 
@@ -152,12 +156,12 @@ def _near(a: str, b: str) -> str:
 
 
 EXPRESSION_DECISIONS = f"""
-WITH v AS (SELECT a.vec_id, a.embedding AS e, b.embedding AS o, c.embedding AS t, d.embedding AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+WITH v AS (SELECT a.vec_id, a.embedding AS e, b.embedding AS o, c.embedding AS t, d.embedding AS w, len(list_distinct([b.label, c.label, d.label])) AS n, b.label = a.label AS alone, c.label = a.label AS particle FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
            JOIN embeddings c ON c.vec_id = a.vec_id + 2 JOIN embeddings d ON d.vec_id = a.vec_id + 3),
-m AS (SELECT vec_id, greatest(({_near("e", "o")}, {_near("o", "w")}), ({_near("e", "t")}, {_near("t", "w")})) AS best, {_near("e", "w")} AS comp, vec_id % 3 AS n FROM v),
+m AS (SELECT vec_id, greatest(({_near("e", "o")}, {_near("o", "w")}), ({_near("e", "t")}, {_near("t", "w")})) AS best, {_near("e", "w")} AS comp, n, alone, particle FROM v),
 s AS (SELECT *, best[1] AS phrase, best[1] - comp AS margin, CASE WHEN n > 1 THEN 1 - best[2] ELSE 1 END AS opacity FROM m)
 SELECT vec_id, CASE WHEN n < 1 THEN 'insufficient_evidence'
-  WHEN phrase >= 0.82::DOUBLE AND margin >= CASE WHEN n > 1 AND vec_id % 2 = 0 THEN 0.02::DOUBLE ELSE 0.04::DOUBLE END AND opacity >= CASE WHEN vec_id % 5 = 0 THEN 0.14::DOUBLE ELSE 0.16::DOUBLE END THEN 'expression'
+  WHEN phrase >= 0.82::DOUBLE AND margin >= CASE WHEN n > 1 AND alone THEN 0.02::DOUBLE ELSE 0.04::DOUBLE END AND opacity >= CASE WHEN particle THEN 0.14::DOUBLE ELSE 0.16::DOUBLE END THEN 'expression'
   WHEN comp > phrase THEN 'components' ELSE 'ambiguous' END AS decision,
   CASE WHEN n < 1 THEN 0.0::DOUBLE ELSE round(margin, 6) END AS margin, CASE WHEN n < 1 THEN 0.0::DOUBLE ELSE round(opacity, 6) END AS opacity FROM s"""
 
@@ -174,121 +178,33 @@ CACHE_MISSES = """SELECT DISTINCT 'query' AS role, sha256(english) AS text_hash
 AND english NOT IN (SELECT english FROM sentences WHERE japanese <> '' AND english <> '')"""
 
 
-def _votes(lex: DataFrame) -> DataFrame:
-    """Every lexeme with three readers: the first and the last reading of its lemma, and its own, which some lack."""
-    both = lex.groupBy("lemma").agg(F.min("reading").alias("first"), F.max("reading").alias("last"))
-    votes = F.array(tx.to_katakana("first"), tx.to_katakana("last"), F.when(F.col("id") % 3 == 0, tx.to_katakana("reading")))
-    return lex.join(both, "lemma").select("id", semantics.reading_consensus(F.col("reading"), votes, F.col("id") % 7 > 0).alias("status"))
+def votes(lex: DataFrame) -> DataFrame:
+    """(id, status, decisive): every lexeme's reading against three readers of its lemma.
+
+    These know the reading of the most frequent lexeme with that lemma, that of the first one, and this lexeme's own. Only a lemma with kanji
+    has a span whose reading can be in doubt. A disagreement is decisive if both others agree on another reading.
+    """
+    rank = F.struct(F.coalesce("corpus_count", F.lit(0)).alias("n"), (-F.col("id")).alias("i"))
+    both = lex.groupBy("lemma").agg(F.max_by("reading", rank).alias("often"), F.min_by("reading", "id").alias("first"))
+    given = F.array(tx.to_katakana("often"), tx.to_katakana("first"), tx.to_katakana("reading"))
+    status = semantics.reading_consensus(F.col("reading"), given, F.col("lemma").rlike(r"[\x{4e00}-\x{9fff}]"))
+    decisive = (F.col("often") == F.col("first")) & (F.col("often") != F.col("reading"))
+    return lex.join(both, "lemma").select("id", status.alias("status"), F.coalesce(decisive, F.lit(False)).alias("decisive"))
 
 
 def reading_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _votes(model.lexemes(spark, sf_dir))
+    return votes(model.lexemes(spark, sf_dir))
 
 
 _VOTES = f"""
-b AS (SELECT lemma, min(reading) AS a, max(reading) AS z FROM lex GROUP BY 1),
-v AS (SELECT id, translate(reading, {_ANAK}) AS want, list_filter([translate(a, {_ANAK}), translate(z, {_ANAK}), CASE WHEN id % 3 = 0 THEN translate(reading, {_ANAK}) END], lambda x: x <> '') AS votes FROM lex JOIN b USING (lemma)),
-votes AS (SELECT id, CASE WHEN id % 7 = 0 OR want = '' THEN 'unresolved'
+b AS (SELECT lemma, arg_max(reading, (coalesce(corpus_count, 0), -id)) AS o, arg_min(reading, id) AS f FROM lex GROUP BY 1),
+v AS (SELECT id, lemma, translate(reading, {_ANAK}) AS want, coalesce(o = f AND o <> reading, false) AS decisive,
+             list_filter([translate(o, {_ANAK}), translate(f, {_ANAK}), translate(reading, {_ANAK})], lambda x: x <> '') AS votes FROM lex JOIN b USING (lemma)),
+votes AS (SELECT id, decisive, CASE WHEN NOT regexp_matches(lemma, '[\\x{{4e00}}-\\x{{9fff}}]') OR want = '' THEN 'unresolved'
   WHEN len(list_filter(votes, lambda x: x <> want)) > len(list_distinct(list_filter(votes, lambda x: x <> want))) THEN 'disagreement'
   WHEN list_contains(votes, want) THEN 'agreement' ELSE 'unresolved' END AS status FROM v)"""
-READING_VOTES = f"WITH {sql.MODEL}, {_VOTES} SELECT * FROM votes"
-
-
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
-
-
-def _criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ, sen, lex = model.occurrences(spark, sf_dir), model.sentences(spark, sf_dir), model.lexemes(spark, sf_dir)
-    cards = model.shortest_examples(occ, sen).withColumnRenamed("example_sentence_id", "sentence_id")
-    words = model.sentence_words(occ, lex).select("sentence_id", "n_unknown")
-    lines = sen.select(F.col("id").alias("sentence_id"), "japanese", "english")
-    about = lex.select(F.col("id").alias("lexeme_id"), "gloss", F.col("part_of_speech").alias("pos")).join(_votes(lex).toDF("lexeme_id", "reading_status"), "lexeme_id")
-    rows = cards.join(lines, "sentence_id").join(words, "sentence_id").join(about, "lexeme_id")
-    glosses = tx.english_words("gloss")
-    cards = rows.select(
-        F.concat_ws("-", "source_id", "lexeme_id").alias("card"), "english", "gloss", "pos", "sentence_id", "reading_status",
-        F.least(F.lit(1.0), _ratio(F.char_length("english"), F.char_length("japanese") * 2.5)).alias("alignment"),
-        _ratio(F.size(F.array_intersect(glosses, tx.english_words("english"))), F.size(glosses)).alias("support"),
-        F.greatest(F.col("n_unknown") - 3, F.lit(0)).alias("n_harder"), (F.col("lexeme_id") % 2 == 0).alias("reading_decisive"),
-        F.when(F.col("lexeme_id") % 7 == 0, "expression").when(F.col("lexeme_id") % 7 == 1, "ambiguous").alias("expression"),
-        ((F.col("lexeme_id") % 11) / 100.0).alias("margin"), ((F.col("lexeme_id") % 13) / 50.0).alias("opacity"),
-    )
-    return audit.criteria(cards)
-
-
-_CARDS = f"""
-WITH {sql.MODEL}, {_VOTES},
-nu AS (SELECT sentence_id, count(*) FILTER (known_at IS NULL) AS n_unknown FROM (SELECT DISTINCT sentence_id, lexeme_id FROM occ) JOIN lex ON id = lexeme_id GROUP BY 1),
-best AS (SELECT source_id, lexeme_id, arg_min(sentence_id, (length(japanese), cue_index, sentence_id)) AS sentence_id FROM occ JOIN sen ON sen.id = sentence_id GROUP BY 1, 2),
-cards AS (SELECT concat_ws('-', best.source_id, lexeme_id) AS card, lexeme_id, best.sentence_id, part_of_speech AS pos, status AS rs,
-  coalesce(trim(english), '') <> '' AS translated, coalesce(trim(gloss), '') <> '' AS defined, greatest(n_unknown - 3, 0) AS harder,
-  least(1.0::DOUBLE, coalesce(length(english) / (length(japanese) * 2.5::DOUBLE), 0)) AS alignment,
-  coalesce(len(list_intersect({_words("gloss")}, {_words("english")})) / nullif(len({_words("gloss")}), 0), 0) AS support,
-  CASE lexeme_id % 7 WHEN 0 THEN 'expression' WHEN 1 THEN 'ambiguous' END AS expression, (lexeme_id % 11) / 100.0::DOUBLE AS margin, (lexeme_id % 13) / 50.0::DOUBLE AS opacity,
-  count(*) OVER (PARTITION BY best.sentence_id) AS uses
-  FROM best JOIN sen ON sen.id = best.sentence_id JOIN lex ON lex.id = lexeme_id JOIN votes ON votes.id = lexeme_id JOIN nu ON nu.sentence_id = best.sentence_id),
-crit AS (
-  SELECT card, 'translation_available' AS code, CASE WHEN translated THEN 'passed' ELSE 'flagged' END AS status, CASE WHEN NOT translated THEN 'high' END AS severity, NULL::DOUBLE AS score, NULL::DOUBLE AS threshold FROM cards
-  UNION ALL SELECT card, 'translation_alignment', CASE WHEN NOT translated THEN 'not_checked' WHEN alignment < 0.78::DOUBLE THEN 'flagged' ELSE 'passed' END,
-    CASE WHEN translated AND alignment < 0.78::DOUBLE THEN CASE WHEN alignment < 0.72::DOUBLE THEN 'high' ELSE 'medium' END END, CASE WHEN translated THEN round(alignment, 3) END, CASE WHEN translated THEN 0.78 END FROM cards
-  UNION ALL SELECT card, 'definition_available', CASE WHEN defined THEN 'passed' ELSE 'flagged' END, CASE WHEN NOT defined THEN 'high' END, NULL, NULL FROM cards
-  UNION ALL SELECT card, 'gloss_support', CASE WHEN NOT (translated AND defined) THEN 'not_checked' WHEN support < 0.70::DOUBLE THEN 'flagged' ELSE 'passed' END,
-    CASE WHEN translated AND defined AND support < 0.70::DOUBLE THEN 'medium' END, CASE WHEN translated AND defined THEN round(support, 3) END, CASE WHEN translated AND defined THEN 0.70 END FROM cards
-  UNION ALL SELECT card, 'context_difficulty', CASE WHEN harder > 0 THEN 'flagged' ELSE 'passed' END, CASE WHEN harder > 0 THEN 'high' END, NULL, NULL FROM cards
-  UNION ALL SELECT card, 'contextual_reading', CASE WHEN coalesce(pos, '') NOT IN ('名詞', '代名詞', '副詞', '連体詞', '感動詞', '表現') THEN 'not_checked' WHEN rs = 'disagreement' THEN 'flagged' WHEN rs = 'agreement' THEN 'passed' ELSE 'not_checked' END,
-    CASE WHEN coalesce(pos, '') IN ('名詞', '代名詞', '副詞', '連体詞', '感動詞', '表現') AND rs = 'disagreement' THEN CASE WHEN lexeme_id % 2 = 0 THEN 'high' ELSE 'medium' END END, NULL, NULL FROM cards
-  UNION ALL SELECT card, 'expression_interpretation', CASE WHEN expression = 'ambiguous' OR (expression = 'expression' AND (margin < 0.06::DOUBLE OR opacity < 0.20::DOUBLE)) THEN 'flagged' ELSE 'passed' END,
-    CASE WHEN expression = 'ambiguous' OR (expression = 'expression' AND (margin < 0.06::DOUBLE OR opacity < 0.20::DOUBLE)) THEN 'medium' END,
-    round(CASE WHEN expression = 'ambiguous' OR (expression = 'expression' AND margin < 0.06::DOUBLE) THEN margin WHEN expression = 'expression' AND opacity < 0.20::DOUBLE THEN opacity END, 3),
-    CASE WHEN expression = 'ambiguous' OR (expression = 'expression' AND margin < 0.06::DOUBLE) THEN 0.06 WHEN expression = 'expression' AND opacity < 0.20::DOUBLE THEN 0.20 END FROM cards
-  UNION ALL SELECT card, 'unique_example', CASE WHEN uses > 1 THEN 'flagged' ELSE 'passed' END, CASE WHEN uses > 1 THEN 'medium' END, NULL, NULL FROM cards)"""
-
-
-def audit_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _criteria(spark, sf_dir)
-
-
-AUDIT_CRITERIA = _CARDS + " SELECT * FROM crit"
-
-
-def audit_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.review_priority(_criteria(spark, sf_dir)).select("card", "code", "distance", "priority")
-
-
-AUDIT_PRIORITIES = _CARDS + """, d AS (SELECT *, round(score - threshold, 3) AS distance FROM crit)
-SELECT card, code, distance, CASE WHEN status = 'flagged' THEN 'flagged' WHEN distance <= 0.03::DOUBLE THEN 'near_threshold' WHEN status = 'not_checked' THEN 'not_applicable' ELSE 'pass_control' END AS priority FROM d"""
-
-
-def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.summary(_criteria(spark, sf_dir))
-
-
-AUDIT_SUMMARY = _CARDS + " SELECT code, " + ", ".join(
-    [f"count(*) FILTER (status = '{s}') AS {s}" for s in ("passed", "flagged", "not_checked")] + [f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("high", "medium")]
-) + " FROM crit GROUP BY code"
-
-
-def clean_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.clean_cards(_criteria(spark, sf_dir))
-
-
-CLEAN_CARDS = _CARDS + " SELECT card FROM crit GROUP BY card HAVING NOT bool_or(status = 'flagged')"
-
-
-def review_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of all cards; the last digit of a lexeme's number stands in for the reviewer's verdict."""
-    rows = _criteria(spark, sf_dir)
-    digit = F.substring("card", -1, 1).cast("int")
-    verdict = F.when(digit == 0, "flag").when(digit == 1, "uncertain").otherwise("pass")
-    reviews = rows.select("card", "code", verdict.alias("verdict"))
-    return audit.agreement(rows, reviews)
-
+READING_VOTES = f"WITH {sql.MODEL}, {_VOTES} SELECT id, status, decisive FROM votes"
 
-REVIEW_AGREEMENT = _CARDS + """, r AS (SELECT *, CASE right(card, 1) WHEN '0' THEN 'flag' WHEN '1' THEN 'uncertain' ELSE 'pass' END AS verdict,
-  CASE status WHEN 'flagged' THEN 'flag' WHEN 'passed' THEN 'pass' ELSE '' END AS automatic FROM crit)
-SELECT code, count(*) AS reviewed, count(*) FILTER (automatic = verdict) AS agreements, count(*) FILTER (automatic = 'pass' AND verdict = 'flag') AS missed,
-count(*) FILTER (automatic = 'flag' AND verdict = 'pass') AS false_alarms, count(*) FILTER (automatic <> verdict AND verdict = 'uncertain') AS uncertain FROM r GROUP BY code"""
 
 QUERIES = {
     "resolved_words": (resolved_words, RESOLVED_WORDS),
@@ -299,9 +215,4 @@ QUERIES = {
     "expression_decisions": (expression_decisions, EXPRESSION_DECISIONS),
     "cache_misses": (cache_misses, CACHE_MISSES),
     "reading_votes": (reading_votes, READING_VOTES),
-    "audit_criteria": (audit_criteria, AUDIT_CRITERIA),
-    "audit_priorities": (audit_priorities, AUDIT_PRIORITIES),
-    "audit_summary": (audit_summary, AUDIT_SUMMARY),
-    "clean_cards": (clean_cards, CLEAN_CARDS),
-    "review_agreement": (review_agreement, REVIEW_AGREEMENT),
 }

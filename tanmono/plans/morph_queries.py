@@ -81,6 +81,10 @@ def _analyses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, materialize(found, "analyses")
 
 
+def expression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analyses(spark, sf_dir)[1]
+
+
 def expression_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of words that a dictionary form spells, with the decision whether it is an expression there."""
     return _analyses(spark, sf_dir)[1].select("sentence_id", "position", "n", "start", "end", "surface", "lemma", "with_particle", "decision", "margin", "opacity")
