@@ -5,40 +5,106 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanmono.operators import model, ranking
+from tanmono.operators import cards, ingest, model, ranking, tokens
 from tanmono.plans import audit_queries, flow_queries, meaning_queries, model_queries, morph_queries, text_queries
 from tanmono.session import local_session
-from tanmono.sinks import reports
+from tanmono.plans.storage import publish, published
+from tanmono.sinks import card_service, reports
 from tanmono.sources import subtitles
 
 QUERIES = {name: query for m in (text_queries, model_queries, meaning_queries, morph_queries, audit_queries, flow_queries) for name, (query, _) in m.QUERIES.items()}
 #: Commands that are one query each.
 COMMANDS = {
     "stats": "corpus_stats", "coverage": "vocabulary_growth", "compare-difficulty": "metric_comparison", "candidates": "unseen_queue", "queue": "planned_batch",
-    "audit": "audit_criteria", "audit-summary": "audit_summary", "enrich-dictionary": "resolved_words", "excluded": "undefined_lexemes",
+    "audit": "audit_criteria", "audit-findings": "audit_findings", "audit-summary": "audit_totals", "enrich-dictionary": "resolved_words", "excluded": "excluded_lexemes",
     "clean-preview": "clean_selection", "sync-actions": "card_actions",
 }
 
 
-def _scoped(df: DataFrame, spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Only the rows of the asked episodes, all of which must exist."""
+def _chosen(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    """(id, episode) of the asked episodes, all of which must exist; None if no series was named."""
     if not args.series:
-        return df
+        return None
     episodes = subtitles.parse_episodes(args.episodes) if args.episodes else None
     chosen = subtitles.selected_sources(model.sources(spark, args.data), args.series, args.season, episodes)
     have = {r.episode for r in chosen.collect()}
     if episodes is not None and (lacking := sorted(set(episodes) - have)):
         sys.exit(f"no source for episodes {lacking}")
+    return chosen
+
+
+def _scoped(df: DataFrame, spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Only the rows of the asked episodes."""
+    chosen = _chosen(spark, args)
+    if chosen is None:
+        return df
     if "source_id" in df.columns:
         return df.join(chosen.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     return df.filter((F.col("series") == args.series) & (F.col("season") == args.season)) if "series" in df.columns else df
 
 
+def _plan(spark: SparkSession, args: argparse.Namespace, known: DataFrame | None = None) -> DataFrame:
+    """One plan over all asked episodes together; without a series, one for each source."""
+    occ, sen, lex = model_queries.kept_model(spark, args.data)
+    if known is not None:
+        met = lex.join(known.select(F.col("lexeme_id").alias("id"), F.lit(True).alias("_now")).distinct(), "id", "left")
+        lex = met.withColumn("known_at", F.coalesce("known_at", F.when(F.col("_now"), F.current_timestamp()))).drop("_now")
+    chosen = _chosen(spark, args)
+    if chosen is not None:
+        sen = ranking.scoped(sen, chosen.select(F.lit(0).cast("bigint").alias("scope_id"), F.col("id").alias("source_id")))
+    rows = model_queries.materialize(ranking.scored(ranking.candidates(occ, sen, lex), [args.metric]), "scored")
+    pool = model_queries.materialize(ranking.with_ranks(rows, ranking.pool_size(args.limit)), "pool")
+    reserved = spark.read.parquet(args.state).select("sentence_id", "lexeme_id") if getattr(args, "state", None) else None
+    return ranking.planned(pool, ranking.example_parts(rows, occ, sen, lex, pool), args.limit, reserved)
+
+
+def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Subtitle files of one source into the model; the new tables go below --out."""
+    occ, sen, lex = model.occurrences(spark, args.data), model.sentences(spark, args.data), model.lexemes(spark, args.data)
+    cue = [F.lit(args.source_id).cast("bigint").alias("source_id"), F.col("cue").alias("cue_index"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "text"]
+    japanese = subtitles.read_srt(spark, args.japanese).select(*cue)
+    english = subtitles.read_srt(spark, args.english).select(*cue) if args.english else japanese.limit(0)
+    held = spark.createDataFrame([], "lexeme_id long, sentence_id long")
+    planned = spark.createDataFrame([], "batch_id long, sentence_id long")
+    fresh = ingest.fresh_sentences(japanese, english)
+    after = ingest.ingested(ingest.Tables(sen, occ, lex, held, planned), fresh, lambda rows, key, text: tokens.content_words(tokens.default_tokens(rows, key, text)))
+    for name in ("sentences", "occurrences", "lexemes"):
+        publish(getattr(after, name), f"{args.out.rstrip('/')}/{name}")
+    sentences, words = ingest.totals(after, published(spark, f"{args.out.rstrip('/')}/sentences").filter(F.col("source_id") == args.source_id))
+    print(json.dumps({"sentences": sentences, "occurrences": int(words)}))
+
+
+def _sync(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Pull reviews, add and move the planned cards, and keep the new state."""
+    held = spark.read.parquet(args.state)
+    lines = model.sentences(spark, args.data).select(F.col("id").alias("sentence_id"), F.col("source_id").alias("of"), "japanese", "english")
+
+    def plan(known: DataFrame) -> DataFrame:
+        rows = _plan(spark, args, known.unionByName(held.filter("reps > 0").select("lexeme_id"))).join(lines, "sentence_id")
+        return rows.drop("source_id").withColumnRenamed("of", "source_id").orderBy("position")
+
+    fields = lambda row: {"Sentence": row["japanese"], "Translation": row["english"] or "", "Target": row["surface"]}
+    invoke = card_service.http_client(args.url)
+    after, taught, done = card_service.synchronise(invoke, held, plan, fields, args.deck, args.note_type, datetime.now())
+    publish(after, args.out)
+    print(json.dumps(done))
+
+
+def _mark_known(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The lexemes of the lemmas in a file, one a line, become known; the first time stays."""
+    lemmas = spark.read.text(args.lemmas).select(F.trim("value").alias("lemma")).filter("lemma <> ''").distinct().withColumn("_now", F.lit(True))
+    rows = model.lexemes(spark, args.data).join(lemmas, "lemma", "left")
+    rows = rows.withColumn("known_at", F.coalesce("known_at", F.when(F.col("_now"), F.current_timestamp()))).drop("_now")
+    publish(rows, args.out)
+    print(published(spark, args.out).filter("known_at IS NOT NULL").count(), "known lexemes")
+
+
 def _deliver(df: DataFrame, args: argparse.Namespace) -> None:
     if not args.out:
         df.show(args.rows, truncate=60)
@@ -56,7 +122,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tanmono", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("list", help="names of all queries")
-    for name in [*COMMANDS, "query", "export-preview", "plan"]:
+    for name in [*COMMANDS, "query", "export-preview", "plan", "plan-calibration", "sync"]:
         p = commands.add_parser(name)
         p.add_argument("--data", required=True)
         p.add_argument("--series")
@@ -66,9 +132,27 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--rows", type=int, default=20)
         if name == "query":
             p.add_argument("name", choices=sorted(QUERIES))
-        if name == "plan":
+        if name in ("plan", "plan-calibration", "sync"):
             p.add_argument("--metric", choices=sorted(ranking.WEIGHTS), default="hybrid")
             p.add_argument("--limit", type=int, default=20)
+            p.add_argument("--state", required=name == "sync", help="table of the cards, whose sentences are reserved for them")
+        if name == "plan-calibration":
+            p.add_argument("--name", required=True)
+            p.add_argument("--replace", action="store_true")
+        if name == "sync":
+            p.add_argument("--url", default="http://127.0.0.1:8765")
+            p.add_argument("--deck", required=True)
+            p.add_argument("--note-type", required=True)
+    p = commands.add_parser("ingest-model", help="subtitle files of one source into the tables of the model")
+    p.add_argument("--data", required=True)
+    p.add_argument("--source-id", type=int, required=True)
+    p.add_argument("--japanese", required=True)
+    p.add_argument("--english")
+    p.add_argument("--out", required=True)
+    p = commands.add_parser("mark-known", help="lemmas of a file, one a line, as known words")
+    p.add_argument("--data", required=True)
+    p.add_argument("--lemmas", required=True)
+    p.add_argument("--out", required=True)
     p = commands.add_parser("ingest", help="subtitle files to cues")
     p.add_argument("path")
     p.add_argument("--out", required=True)
@@ -77,6 +161,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("series")
     p.add_argument("season", type=int)
     p.add_argument("episodes")
+    p.add_argument("--english-track", type=int)
     p.add_argument("--out", required=True)
     p = commands.add_parser("ingest-manifest", help="episodes of a manifest that the sources lack")
     p.add_argument("manifest")
@@ -94,7 +179,7 @@ def main(argv: list[str] | None = None) -> None:
         print("\n".join(sorted(QUERIES)))
         return
     if args.command == "build-manifest":
-        manifest = subtitles.build_manifest(args.folder, args.series, args.season, subtitles.parse_episodes(args.episodes))
+        manifest = subtitles.build_manifest(args.folder, args.series, args.season, subtitles.parse_episodes(args.episodes), args.english_track)
         Path(args.out).write_text(json.dumps(manifest, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
         return
     if args.command == "probe":
@@ -111,10 +196,17 @@ def main(argv: list[str] | None = None) -> None:
         episodes = subtitles.parse_episodes(args.episodes) if args.episodes else None
         _deliver(subtitles.not_yet_ingested(subtitles.read_manifest(spark, args.manifest, episodes), model.sources(spark, args.data)), args)
     elif args.command == "plan":
-        occ, sen, lex = model.occurrences(spark, args.data), model.sentences(spark, args.data), model.lexemes(spark, args.data)
-        rows = ranking.ranked(ranking.candidates(occ, sen, lex), [args.metric])
-        rows = _scoped(rows.select("source_id", "lexeme_id", "lemma", "difficulty", "rank"), spark, args)
-        _deliver(ranking.planned(rows, ranking.example_parts(rows, occ, sen, lex), args.limit), args)
+        _deliver(_plan(spark, args), args)
+    elif args.command == "plan-calibration":
+        chosen = _chosen(spark, args)
+        scope = [r.id for r in chosen.collect()] if chosen is not None else []
+        cards.snapshot(cards.batch(args.name, _plan(spark, args), args.limit, scope, args.metric), args.out or args.name, args.replace)
+    elif args.command == "sync":
+        _sync(spark, args)
+    elif args.command == "ingest-model":
+        _ingest(spark, args)
+    elif args.command == "mark-known":
+        _mark_known(spark, args)
     elif args.command == "export-preview":
         cloze, shown = (_scoped(QUERIES[q](spark, args.data), spark, args) for q in ("cloze_text", "highlight_text"))
         first = QUERIES["planned_batch"](spark, args.data).select("source_id", "lexeme_id", "sentence_id", "surface")

@@ -46,17 +46,17 @@ FROM k GROUP BY lemma, reading"""
 
 
 def target_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a learner sees as target: the literal span for words in dictionary form, else the surface."""
+    """What a learner sees as target: the literal span for words without an ending, else the surface."""
     lines = model.sentences(spark, sf_dir, "id", "japanese").withColumnRenamed("id", "sentence_id")
     rows = model.occurrences(spark, sf_dir).join(lines, "sentence_id")
     start, end = tokens.literal_span(F.col("japanese"), F.col("surface"))
-    lexical = F.col("lexeme_id") % 3 != 0
+    lexical = ~F.col("surface").rlike("[ぁ-ゖ]")
     span = tokens.target_span(F.col("japanese"), F.when(lexical, start), F.when(lexical, end), start, end, F.concat("surface", F.lit("*")))
     return rows.select("lexeme_id", "sentence_id", "surface", span.alias("t")).select("lexeme_id", "sentence_id", "surface", "t.target", "t.start", "t.end")
 
 
 TARGET_SPANS = f"""WITH {sql.MODEL}, t AS (SELECT lexeme_id, sentence_id, surface, CASE WHEN surface <> '' AND contains(japanese, surface) THEN instr(japanese, surface) - 1 END AS start FROM occ JOIN sen ON id = sentence_id)
-SELECT lexeme_id, sentence_id, surface, CASE WHEN lexeme_id % 3 <> 0 AND start IS NOT NULL THEN surface ELSE surface || '*' END AS target, CAST(start AS INTEGER) AS start, CAST(start + length(surface) AS INTEGER) AS "end" FROM t"""
+SELECT lexeme_id, sentence_id, surface, CASE WHEN NOT regexp_matches(surface, '[ぁ-ゖ]') AND start IS NOT NULL THEN surface ELSE surface || '*' END AS target, CAST(start AS INTEGER) AS start, CAST(start + length(surface) AS INTEGER) AS "end" FROM t"""
 
 
 def media_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = model.sentences(spark, sf_dir, "id", "japanese").withColumnRenamed("id", "sentence_id")
     rows = model.occurrences(spark, sf_dir).join(lines, "sentence_id")
     at = F.position(F.col("surface"), F.col("japanese")) - 1
-    known = F.col("lexeme_id") % 2 == 0  # every second one has a span, the others are found by their text
+    known = F.col("surface").rlike(r"[\x{4e00}-\x{9fff}]")  # forms in kanji have a span, the others are found by their text
     start = F.when(known & (at >= 0), at)
     return rows.select("lexeme_id", "sentence_id", "surface", "japanese", start.alias("s"), (start + F.char_length("surface")).alias("e"))
 
@@ -116,7 +116,7 @@ def _marked_sql(name: str, shown: str) -> str:
 WITH {sql.MODEL}, t AS (
   SELECT lexeme_id, sentence_id, surface, japanese, instr(japanese, surface) AS pos, {sql.escape("japanese")} AS h, {sql.escape("surface")} AS w
   FROM occ JOIN sen ON sen.id = sentence_id)
-SELECT lexeme_id, sentence_id, surface, CASE WHEN lexeme_id % 2 = 0 AND pos > 0 AND surface <> '' THEN {by_span}
+SELECT lexeme_id, sentence_id, surface, CASE WHEN regexp_matches(surface, '[\\x{{4e00}}-\\x{{9fff}}]') AND pos > 0 AND surface <> '' THEN {by_span}
   WHEN w <> '' AND instr(h, w) > 0 THEN substr(h, 1, instr(h, w) - 1) || {shown} || substr(h, instr(h, w) + length(w)) ELSE h END AS {name} FROM t"""
 
 

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 
 from tanmono.__main__ import main
+from tanmono.plans.storage import published
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -32,3 +33,30 @@ def test_queries_go_to_files(spark, tmp_path):
     assert {r.source_id for r in spark.read.parquet(str(tmp_path / "q")).select("source_id").distinct().collect()} == {src.id}
     with pytest.raises(SystemExit):
         main(["candidates", "--data", str(DATA), "--series", src.series, "--episodes", "9999"])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_plans_over_episodes_and_calibration_batches(spark, tmp_path):
+    src = spark.read.parquet(f"{DATA}/sources.parquet").orderBy("id").first()
+    scope = ["--data", str(DATA), "--series", src.series, "--season", str(src.season)]
+    main(["plan", *scope, "--limit", "5", "--out", str(tmp_path / "p")])
+    plan = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert sorted(r.position for r in plan) == [1, 2, 3, 4, 5] and {r.source_id for r in plan} == {0}
+    main(["plan-calibration", *scope, "--limit", "5", "--name", "b", "--out", str(tmp_path / "b")])
+    assert {(r.batch, r.complete) for r in spark.read.parquet(str(tmp_path / "b")).collect()} == {("b", True)}
+    with pytest.raises(Exception, match="(?i)exist"):
+        main(["plan-calibration", *scope, "--limit", "5", "--name", "b", "--out", str(tmp_path / "b")])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_ingestion_and_known_words(spark, tmp_path, capsys):
+    for name, text in (("ja", "水を飲む"), ("en", "Drink water.")):
+        (tmp_path / f"{name}.srt").write_text(f"1\n00:00:01,000 --> 00:00:02,000\n{text}\n")
+    out = str(tmp_path / "m")
+    main(["ingest-model", "--data", str(DATA), "--source-id", "1", "--japanese", str(tmp_path / "ja.srt"), "--english", str(tmp_path / "en.srt"), "--out", out])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"sentences": 1, "occurrences": 4}
+    assert [(r.japanese, r.english) for r in published(spark, f"{out}/sentences").filter("source_id = 1").collect()] == [("水を飲む", "Drink water.")]
+    (tmp_path / "known.txt").write_text("本当\n\n本当\n")
+    before = spark.read.parquet(f"{DATA}/lexemes.parquet").filter("lemma = '本当' OR known_at IS NOT NULL").select("id").distinct().count()
+    main(["mark-known", "--data", str(DATA), "--lemmas", str(tmp_path / "known.txt"), "--out", str(tmp_path / "lex")])
+    assert published(spark, str(tmp_path / "lex")).filter("known_at IS NOT NULL").count() == before
