@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tanmono.plans.storage import materialize, release
 
 #: Least cosine of two terms that translate each other; 0 keeps every pair of terms that meet.
-LEAST_COSINE = 0.35
+LEAST_COSINE = 0.4
 #: Least cosine of two lines of which one may translate a part of the other, and of two spans that translate each other.
 LEAST_PART, LEAST_SPAN = 0.15, 0.3
 #: Words in more than this share of the lines are the language's function words: they part phrases.
