@@ -64,20 +64,53 @@ def _plan(spark: SparkSession, args: argparse.Namespace, known: DataFrame | None
     return ranking.planned(pool, ranking.example_parts(rows, occ, sen, lex, pool), args.limit, reserved)
 
 
-def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Subtitle files of one source into the model; the new tables go below --out."""
+def _into_model(spark: SparkSession, args: argparse.Namespace, japanese: DataFrame, english: DataFrame) -> dict[str, int]:
+    """Cues of sources into the model; the new tables go below --out. Sentences and occurrences of these sources."""
     occ, sen, lex = model.occurrences(spark, args.data), model.sentences(spark, args.data), model.lexemes(spark, args.data)
-    cue = [F.lit(args.source_id).cast("bigint").alias("source_id"), F.col("cue").alias("cue_index"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "text"]
-    japanese = subtitles.read_srt(spark, args.japanese).select(*cue)
-    english = subtitles.read_srt(spark, args.english).select(*cue) if args.english else japanese.limit(0)
     held = spark.createDataFrame([], "lexeme_id long, sentence_id long")
     planned = spark.createDataFrame([], "batch_id long, sentence_id long")
     fresh = ingest.fresh_sentences(japanese, english)
     after = ingest.ingested(ingest.Tables(sen, occ, lex, held, planned), fresh, lambda rows, key, text: tokens.content_words(tokens.default_tokens(rows, key, text)))
     for name in ("sentences", "occurrences", "lexemes"):
         publish(getattr(after, name), f"{args.out.rstrip('/')}/{name}")
-    sentences, words = ingest.totals(after, published(spark, f"{args.out.rstrip('/')}/sentences").filter(F.col("source_id") == args.source_id))
-    print(json.dumps({"sentences": sentences, "occurrences": int(words)}))
+    lines = published(spark, f"{args.out.rstrip('/')}/sentences").join(japanese.select("source_id").distinct(), "source_id", "left_semi")
+    sentences, words = ingest.totals(after, lines)
+    return {"sentences": sentences, "occurrences": int(words)}
+
+
+def _ingest(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Subtitle files of one source into the model."""
+    cue = [F.lit(args.source_id).cast("bigint").alias("source_id"), F.col("cue").alias("cue_index"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "text"]
+    japanese = subtitles.read_srt(spark, args.japanese).select(*cue)
+    english = subtitles.read_srt(spark, args.english).select(*cue) if args.english else japanese.limit(0)
+    print(json.dumps(_into_model(spark, args, japanese, english)))
+
+
+def _ingest_manifest(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The episodes of a manifest that the sources lack, all at once; English comes from a file or from a track of the video."""
+    episodes = subtitles.parse_episodes(args.episodes) if args.episodes else None
+    src = model.sources(spark, args.data)
+    lacking = subtitles.not_yet_ingested(subtitles.read_manifest(spark, args.manifest, episodes), src).orderBy("series", "season", "episode").collect()
+    first = (src.agg(F.max("id")).first()[0] or 0) + 1
+    texts: dict[str, list] = {"japanese": [], "english": []}
+    added = []
+    for n, row in enumerate(r.asDict(recursive=True) for r in lacking):
+        paths = {"japanese": subtitles.resolve_path(row["japanese"]["srt"], args.manifest)}
+        english, video = row.get("english") or {}, subtitles.resolve_path(row["video"], args.manifest)
+        if english.get("srt"):
+            paths["english"] = subtitles.resolve_path(english["srt"], args.manifest)
+        elif english.get("track") is not None:
+            paths["english"] = Path(f"{args.out.rstrip('/')}-{row['episode']}.srt")
+            subtitles.extract_stream(video, subtitles.chosen_stream(subtitles.probe_streams(video), track=int(english["track"])), paths["english"])
+        for side, path in paths.items():
+            texts[side].append((first + n, path.read_text(encoding="utf-8")))
+        added.append((first + n, row["series"], row["season"], row["episode"], str(video), *(str(paths.get(side, "")) or None for side in texts)))
+    read = {side: subtitles.parse_srt(spark.createDataFrame(rows, "id long, text string"), "id", "text") for side, rows in texts.items()}
+    cues = {side: df.select(F.col("key").alias("source_id"), F.col("cue").alias("cue_index"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "text") for side, df in read.items()}
+    after = _into_model(spark, args, cues["japanese"], cues["english"])
+    schema = "id long, series string, season int, episode int, video_path string, japanese_subtitle_path string, english_subtitle_path string"
+    publish(src.unionByName(spark.createDataFrame(added, schema).withColumn("imported_at", F.current_timestamp()), allowMissingColumns=True), f"{args.out.rstrip('/')}/sources")
+    print(json.dumps({"episodes": [r.episode for r in lacking], **after}))
 
 
 def _sync(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -89,8 +122,10 @@ def _sync(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = _plan(spark, args, known.unionByName(held.filter("reps > 0").select("lexeme_id"))).join(lines, "sentence_id")
         return rows.drop("source_id").withColumnRenamed("of", "source_id").orderBy("position")
 
-    fields = lambda row: {"Sentence": row["japanese"], "Translation": row["english"] or "", "Target": row["surface"]}
+    names = ["Target", "Sentence", "Translation"]
+    fields = lambda row: dict(zip(names, (row["surface"], row["japanese"], row["english"] or ""), strict=True))
     invoke = card_service.http_client(args.url)
+    card_service.ensure_model(invoke, args.note_type, names, {"Card": {"Front": "{{Sentence}}", "Back": "{{Target}}<hr>{{Translation}}"}}, "")
     after, taught, done = card_service.synchronise(invoke, held, plan, fields, args.deck, args.note_type, datetime.now())
     publish(after, args.out)
     print(json.dumps(done))
@@ -163,14 +198,18 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("episodes")
     p.add_argument("--english-track", type=int)
     p.add_argument("--out", required=True)
-    p = commands.add_parser("ingest-manifest", help="episodes of a manifest that the sources lack")
+    p = commands.add_parser("ingest-manifest", help="episodes of a manifest that the sources lack, into the tables of the model")
     p.add_argument("manifest")
     p.add_argument("--data", required=True)
     p.add_argument("--episodes")
-    p.add_argument("--out")
-    p.add_argument("--rows", type=int, default=20)
+    p.add_argument("--out", required=True)
     p = commands.add_parser("probe", help="subtitle streams of a video")
     p.add_argument("video")
+    p = commands.add_parser("extract", help="one subtitle stream of a video as a file")
+    p.add_argument("video")
+    p.add_argument("--language", default="eng")
+    p.add_argument("--track", type=int)
+    p.add_argument("--out", required=True)
     p = commands.add_parser("import-reviews")
     p.add_argument("sheet")
     p.add_argument("--out", required=True)
@@ -185,6 +224,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "probe":
         print(json.dumps(subtitles.probe_streams(args.video), indent=2))
         return
+    if args.command == "extract":
+        subtitles.extract_stream(args.video, subtitles.chosen_stream(subtitles.probe_streams(args.video), args.language, args.track), args.out)
+        return
     spark = local_session()
     if args.command == "ingest":
         subtitles.read_srt(spark, args.path).write.mode("overwrite").parquet(args.out)
@@ -193,8 +235,7 @@ def main(argv: list[str] | None = None) -> None:
         rows.write.mode("overwrite").parquet(args.out)
         print(f"{rows.count()} reviews")
     elif args.command == "ingest-manifest":
-        episodes = subtitles.parse_episodes(args.episodes) if args.episodes else None
-        _deliver(subtitles.not_yet_ingested(subtitles.read_manifest(spark, args.manifest, episodes), model.sources(spark, args.data)), args)
+        _ingest_manifest(spark, args)
     elif args.command == "plan":
         _deliver(_plan(spark, args), args)
     elif args.command == "plan-calibration":

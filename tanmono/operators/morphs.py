@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tanmono.functions.text import to_katakana
 from tanmono.operators.semantics import decide
-from tanmono.operators.tokens import CONTENT_POS, analyzed, content_words, single_words
+from tanmono.operators.tokens import CONTENT_POS, analyzed, content_words, located, single_words
 
 #: Words of the default analyzer, as of tokens.WORD: runs of kanji, of katakana, of hiragana, of Latin letters and digits.
 _RUN = re.compile("[一-鿿々]+|[ァ-ヺー・]+|([ぁ-ゖ]+)|[0-9A-Za-zà-ÿÀ-ß]+")
@@ -43,6 +43,20 @@ def script_runs(text: str) -> list[dict]:
     return out
 
 
+def plain_analyzer(cut: Callable[[str], list[dict]]) -> Callable[[str], list[dict]]:
+    """An analyzer from cut(text) -> [{surface, ...}], which knows no places: each surface is looked for after the one before.
+
+    What cut leaves out is filled in: the surface is lemma and reading, the class is unknown.
+    """
+
+    def analyze(text: str) -> list[dict]:
+        words = cut(text)
+        spans = located([w["surface"] for w in words], text)
+        return [{"lemma": w["surface"], "reading": w["surface"], "pos": ""} | w | {"start": a, "end": b} for w, (a, b) in zip(words, spans, strict=True)]
+
+    return analyze
+
+
 def contextual(rows: DataFrame, text: str) -> DataFrame:
     """Morphs with a column of their sentence's text; two words are read by what follows them.
 

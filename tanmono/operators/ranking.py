@@ -90,8 +90,11 @@ def initial_examples(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFram
     return best.select("source_id", "lexeme_id", "b.sentence_id", "b.cue_index", "b.n_words", "b.n_unknown")
 
 
-def candidates(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFrame:
-    """Unknown lexemes of every source that may be taught, with their count, example and zipf value."""
+def candidates(occ: DataFrame, sen: DataFrame, lex: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Unknown lexemes of every source that may be taught, with their count, example and zipf value.
+
+    prior(lemma, zipf) is a table of word frequencies, 0 for what it lacks; without one the corpus itself is counted.
+    """
     wanted = lex.filter(
         "known_at IS NULL AND (dictionary_status IS NULL OR (dictionary_status = 'matched' AND gloss IS NOT NULL)) "
         "AND NOT (coalesce(part_of_speech, '') = '感動詞' AND char_length(lemma) <= 1)"
@@ -99,7 +102,7 @@ def candidates(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFrame:
     counts = source_counts(occ, sen, lex).select("source_id", "lexeme_id", "source_count")
     rows = counts.join(wanted, "lexeme_id").join(initial_examples(occ, sen, lex), ["source_id", "lexeme_id"])
     rows = rows.join(sen.select(F.col("id").alias("sentence_id"), "source_id", "japanese", "english"), ["source_id", "sentence_id"])
-    return rows.join(zipf_prior(occ, lex), "lemma", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0)))
+    return rows.join(zipf_prior(occ, lex) if prior is None else prior.select("lemma", "zipf"), "lemma", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0)))
 
 
 def components(rows: DataFrame) -> DataFrame:

@@ -60,3 +60,20 @@ def test_ingestion_and_known_words(spark, tmp_path, capsys):
     before = spark.read.parquet(f"{DATA}/lexemes.parquet").filter("lemma = '本当' OR known_at IS NOT NULL").select("id").distinct().count()
     main(["mark-known", "--data", str(DATA), "--lemmas", str(tmp_path / "known.txt"), "--out", str(tmp_path / "lex")])
     assert published(spark, str(tmp_path / "lex")).filter("known_at IS NOT NULL").count() == before
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_manifests_are_ingested_at_once(spark, tmp_path, capsys):
+    episodes = []
+    for n in (1, 2):
+        for side, text in (("ja", "水を飲む"), ("en", "Drink water.")):
+            (tmp_path / f"{n}.{side}.srt").write_text(f"1\n00:00:01,000 --> 00:00:02,000\n{text}\n")
+        episodes.append({"episode": n, "video": f"{n}.mkv", "japanese": {"srt": f"{n}.ja.srt"}, "english": {"srt": f"{n}.en.srt"}})
+    (tmp_path / "m.json").write_text(json.dumps({"series": "New", "season": 1, "episodes": episodes}))
+    out = str(tmp_path / "m")
+    main(["ingest-manifest", str(tmp_path / "m.json"), "--data", str(DATA), "--out", out])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"episodes": [1, 2], "sentences": 2, "occurrences": 8}
+    new = published(spark, f"{out}/sources").filter("series = 'New'").orderBy("episode").collect()
+    assert [r.episode for r in new] == [1, 2]
+    lines = published(spark, f"{out}/sentences").filter(f"source_id >= {new[0].id}")
+    assert {(r.source_id, r.japanese, r.english) for r in lines.collect()} == {(r.id, "水を飲む", "Drink water.") for r in new}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tanmono.functions.text import english_words
-from tanmono.operators import cards, ingest, model, morphs, semantics, tokens
+from tanmono.operators import audit, cards, ingest, model, morphs, ranking, semantics, tokens
 from tanmono.plans.storage import publish, published
 from tanmono.sinks import card_service
 from tanmono.sources import subtitles
@@ -51,6 +51,13 @@ def test_readings_of_spans(spark):
     assert [r[0] for r in rows.select(morphs.node_readings(rows, lambda t: nodes)).collect()] == ["モクテキ", None, None]
 
 
+def test_analyzers_without_places(spark):
+    analyze = morphs.plain_analyzer(lambda t: [{"surface": w, "pos": "名詞"} for w in t.split()])
+    assert [(w["surface"], w["start"], w["end"], w["lemma"], w["pos"]) for w in analyze("水 を 水")] == [("水", 0, 1, "水", "名詞"), ("を", 2, 3, "を", "名詞"), ("水", 4, 5, "水", "名詞")]
+    lines = spark.createDataFrame([(1, "水 を"), (2, None)], "id long, text string")
+    assert [(r.sentence_id, r.position, r.reading) for r in morphs.morphs(lines, "id", "text", analyze).orderBy("position").collect()] == [(1, 0, "水"), (1, 1, "ヲ")]
+
+
 def test_expressions_take_the_place_of_their_parts(spark):
     text = "腹が立つ、馬鹿"
     rows, lines = put(spark, text, [("腹", "腹", "ハラ", "名詞"), ("が", "が", "ガ", "助詞"), ("立つ", "立つ", "タツ", "動詞"), ("、", "、", "、", "補助記号"), ("馬鹿", "馬鹿", "バカ", "名詞")])
@@ -162,6 +169,33 @@ def test_synchronisation(spark):
     assert calls.count("addNote") == 1 and calls.count("changeDeck") == 1
 
 
+def test_frequencies_from_outside(spark):
+    lex = spark.createDataFrame([(1, "k1", "水", "みず", "名詞", "water", "matched", None)], "id long, lexeme_key string, lemma string, reading string, part_of_speech string, gloss string, dictionary_status string, known_at timestamp")
+    occ = spark.createDataFrame([(1, 1, "水", 1)], "lexeme_id long, sentence_id long, surface string, n long")
+    sen = spark.createDataFrame([(1, 4, 0, "水", "Water.")], "id long, source_id long, cue_index int, japanese string, english string")
+    for prior, zipf in ((None, 9.0), ([("水", 5.5)], 5.5), ([("火", 5.5)], 0.0)):
+        prior = prior and spark.createDataFrame(prior, "lemma string, zipf double")
+        assert ranking.candidates(occ, sen, lex, prior).first().zipf == zipf
+
+
+def test_review_sheet_has_21_columns(spark):
+    cards_ = spark.createDataFrame([("c", 1, "k", "l", "r", None, None, "s", 1, 2, 3, "j", None, 4.5)], "card string, position int, lexeme_key string, lemma string, reading string, gloss string, part_of_speech string, series string, season int, episode int, sentence_id long, japanese string, english string, difficulty_score double")
+    rows = spark.createDataFrame([("c", "gloss_support", "flagged", "medium", 0.5, 0.7), ("c", "unique_example", "passed", None, None, None)], "card string, code string, status string, severity string, score double, threshold double")
+    reviews = spark.createDataFrame([("c", "gloss_support", "flag", None)], "card string, code string, verdict string, note string")
+    sheet = audit.review_sheet(cards_, rows, reviews)
+    assert len(sheet.columns) == 21
+    got = [(r.criterion, r.threshold_distance, r.review_priority, r.review_verdict, r.review_note, r.gloss) for r in sheet.collect()]
+    assert got == [("gloss_support", -0.2, "flagged", "flag", "", ""), ("unique_example", None, "pass_control", "", "", "")]
+    found = audit.findings(rows, cards_.select("card", F.lit(None).cast("string").alias("expression")))
+    assert [(r.finding, r.severity) for r in found.collect()] == [("weak_gloss_support", "medium")]
+
+
+def test_the_analysis_that_most_needs_a_look(spark):
+    rows = [(1, "expression", 0.2, 0.5), (1, "expression", 0.05, 0.5), (1, "ambiguous", 0.3, 0.1), (2, "expression", 0.2, 0.5), (2, "expression", 0.3, 0.1), (3, "components", -0.1, 0.5)]
+    got = audit.worst_analyses(spark.createDataFrame(rows, "card int, decision string, margin double, opacity double"))
+    assert {r.card: (r.expression, r.margin) for r in got.collect()} == {1: ("ambiguous", 0.3), 2: ("expression", 0.3), 3: ("components", -0.1)}
+
+
 def test_excluded_lexemes(spark):
     lex = spark.createDataFrame([(1, "k1", "え", "感動詞", "oh", "matched"), (2, "k2", "走る", "動詞", None, "missing"), (3, "k3", "水", "名詞", "water", "matched")], "id long, lexeme_key string, lemma string, part_of_speech string, gloss string, dictionary_status string")
     occ = spark.createDataFrame([(i, 1, "x", i) for i in (1, 2, 3)], "lexeme_id long, sentence_id long, surface string, n long")
