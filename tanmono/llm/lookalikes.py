@@ -57,6 +57,10 @@ _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Members of a group that meet all others in one task.
+MEET = 1_000
+
+
 def public_table(source: str | None = None) -> dict[int, str]:
     """Character to prototype, from ICU's compiled confusables: a .cfu file, or the ICU jar that holds it (that of Spark, if None)."""
     if source is None:
@@ -165,7 +169,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, scope: str | None = None
     key_a < key_b. Rows with null key or a null or empty text take no part; repeated rows count once. Rows carry
     two digests of 128 bits instead of their texts. Groups whose texts are all equal are left out, by partial
     aggregation, before any join; the join meets only groups that hold at least two forms, and within them
-    only rows of different forms, so copies of one text are never paired.
+    only rows of different forms, so copies of one text are never paired. The members of a large group meet in many tasks.
     """
     rows = df.select(
         (F.col(scope) if scope else F.lit(0).cast("bigint")).alias("scope"), F.col(key).alias("key"), F.col(text).alias("text")
@@ -178,7 +182,10 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, scope: str | None = None
     mixed = rows.groupBy("scope", "form").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo < hi")
     both = materialize(rows.join(mixed.select("scope", "form"), ["scope", "form"], "left_semi").distinct(), "mixed")
     release(df.sparkSession, rows)
-    a = both.select("scope", "form", F.col("key").alias("key_a"), F.col("exact").alias("exact_a"))
-    b = both.select("scope", "form", F.col("key").alias("key_b"), F.col("exact").alias("exact_b"))
-    pairs = a.join(b, ["scope", "form"]).filter("key_a < key_b AND exact_a <> exact_b")
+    sizes = both.groupBy("scope", "form").agg(F.ceil(F.count("*") / MEET).alias("parts"))
+    both = both.join(sizes, ["scope", "form"])
+    part, parts = F.pmod(F.xxhash64("key"), "parts"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    a = both.select("scope", "form", part.alias("part"), F.col("key").alias("key_a"), F.col("exact").alias("exact_a"))
+    b = both.select("scope", "form", F.explode(parts).alias("part"), F.col("key").alias("key_b"), F.col("exact").alias("exact_b"))
+    pairs = a.join(b, ["scope", "form", "part"]).filter("key_a < key_b AND exact_a <> exact_b")
     return pairs.select("scope", "key_a", "key_b").distinct()

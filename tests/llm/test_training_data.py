@@ -54,7 +54,9 @@ def test_public_table_is_that_of_the_library(spark):
     assert len(table) > 5000 and sum(a != b for a, b in zip(theirs, ours, strict=True)) == 0
 
 
-def test_lookalike_pairs(spark):
+@pytest.mark.parametrize("meet", [1000, 1])
+def test_lookalike_pairs(spark, monkeypatch, meet):
+    monkeypatch.setattr(lookalikes, "MEET", meet)
     df = spark.createDataFrame(
         [(1, "ガ", 0), (2, "ｶﾞ", 0), (3, "ガ", 0), (3, "ガ", 0), (4, None, 0), (None, "ガ", 0), (5, "", 0), (6, "​", 0), (7, "x" * 50_000, 0)],
         "id long, t string, form int",
