@@ -36,7 +36,7 @@ FUNCTION_SHARE = 0.1
 LISTED = 100_000
 #: Width of the blocks of time in which lines meet; a line meets those of its own and the two neighbouring blocks, at its
 #: own time and at the time that the drift of its source gives.
-BLOCK_MS = 300_000
+BLOCK_MS = 180_000
 #: Step of the drifts that are told apart, and the votes that a drift needs.
 DRIFT_MS = 30_000
 LEAST_VOTES = 3
@@ -48,6 +48,7 @@ COMBINED = 1_500_000
 #: Unspaced text is cut where the script changes.
 _RUN = re.compile("[一-鿿㐀-䶿豈-﫿々〆]+|[ァ-ヺー・]+|[ぁ-ゖー]+|[^\\W_ぁ-ヿ㐀-鿿豈-﫿]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_LETTERS = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
 
 
 def _flat(text: str | None) -> str:
@@ -62,6 +63,8 @@ def runs(text: str | None) -> list[str]:
 
 def words(text: str | None) -> list[str]:
     """Words of spaced text, in order."""
+    if text and text.isascii() and "'" not in text:
+        return text.encode().translate(_LETTERS).decode().lower().split()  # the same, faster
     return _WORD.findall(_flat(text))
 
 
@@ -190,8 +193,8 @@ def _met(function_words: np.ndarray, listed: list[Listed], least: float):
 def _once(docs: DataFrame) -> DataFrame:
     """(a, b) of docs(id, a, b), rows that are stored several times once. While few are, no text is shuffled."""
     twice = materialize(docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "twice")
-    again = docs.join(twice, "id", "left_semi").distinct()
-    return docs.join(twice, "id", "left_anti").select("a", "b").unionByName(again.select("a", "b"))
+    again = materialize(docs.join(twice, "id", "left_semi").distinct().select("a", "b"), "again")
+    return docs.join(twice, "id", "left_anti").select("a", "b").unionByName(again)
 
 
 def _listed(sizes: DataFrame, spaced: bool) -> Listed:
