@@ -140,13 +140,14 @@ def difficulty(metric: str) -> Column:
 
 
 def scored(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """rows for every metric with difficulty."""
+    """rows, with components() if these are lacking, for every metric with difficulty."""
     scores = F.array(*(F.struct(F.lit(m).alias("metric"), difficulty(m).alias("difficulty")) for m in metrics))
-    return components(rows).withColumn("m", F.explode(scores)).select("*", "m.metric", "m.difficulty").drop("m")
+    rows = rows if "c_general" in rows.columns else components(rows)
+    return rows.withColumn("m", F.explode(scores)).select("*", "m.metric", "m.difficulty").drop("m")
 
 
 def with_ranks(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """scored() rows, kept as a table, with their rank within source and metric, to that limit: easy first, then frequent, early, by key.
+    """scored() rows, read twice, with their rank within source and metric, to that limit: easy first, then frequent, early, by key.
 
     Rows are numbered within steps of difficulty, above the number of rows of the easier steps. So a source that holds a third of
     all rows is sorted by many tasks, and steps beyond the limit are not sorted at all.
@@ -165,7 +166,7 @@ def with_ranks(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
 def ranked(rows: DataFrame, metrics: list[str], limit: int | None = None) -> DataFrame:
     """rows for every metric with difficulty and rank within the source."""
-    return with_ranks(materialize(scored(rows, metrics), "scored"), limit)
+    return with_ranks(scored(materialize(components(rows), "components"), metrics), limit)
 
 
 def example_parts(rows: DataFrame, occ: DataFrame, sen: DataFrame, lex: DataFrame, pool: DataFrame | None = None) -> DataFrame:
