@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tanmono.functions.text import to_katakana
 from tanmono.operators.semantics import decide
-from tanmono.operators.tokens import CONTENT_POS, analyzed, content_words, located, single_words
+from tanmono.operators.tokens import CONTENT_POS, analyzed_texts, content_words, located, single_words
 
 #: Words of the default analyzer, as of tokens.WORD: runs of kanji, of katakana, of hiragana, of Latin letters and digits.
 _RUN = re.compile("[一-鿿々]+|[ァ-ヺー・]+|([ぁ-ゖ]+)|[0-9A-Za-zà-ÿÀ-ß]+")
@@ -76,10 +76,9 @@ def contextual(rows: DataFrame, text: str) -> DataFrame:
 
 
 def morphs(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]] = script_runs) -> DataFrame:
-    """Morphs of lines, readings in katakana and in context; each distinct text is analyzed once."""
-    rows = analyzed(lines, key, text, analyze).withColumn("reading", to_katakana("reading"))
-    texts = lines.select(F.col(key).alias("sentence_id"), F.col(text).alias("_text")).distinct()
-    return contextual(rows.join(texts, "sentence_id"), "_text").drop("_text")
+    """Morphs of lines, readings in katakana and in context; nothing is shuffled, as a line's words carry their text."""
+    rows = analyzed_texts(lines, key, text, analyze).withColumn("reading", to_katakana("reading"))
+    return contextual(rows, "text").drop("text")
 
 
 def endings(rows: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tanmono.functions.text import to_katakana
 
@@ -19,6 +21,9 @@ TOKEN = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("surface", "lemma", "reading", "pos")] + [T.StructField(c, T.IntegerType()) for c in ("start", "end")]
 )
 
+#: Lines that are analyzed before their tokens are handed on.
+TEXTS_AT_ONCE = 2_000
+
 
 def default_tokens(lines: DataFrame, key: str, text: str) -> DataFrame:
     """(sentence_id, position, surface, lemma, reading, pos), position from 0; no Python is involved."""
@@ -28,20 +33,30 @@ def default_tokens(lines: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("sentence_id", "position", "surface", lemma.alias("lemma"), to_katakana(lemma).alias("reading"), F.lit("名詞").alias("pos"))
 
 
-def analyzed(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]]) -> DataFrame:
-    """Tokens of a language pack's analyze(text) -> [{surface, lemma, reading, pos, start, end}], over Arrow batches.
+def analyzed_texts(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]]) -> DataFrame:
+    """(sentence_id, text, position, surface, lemma, reading, pos, start, end): tokens of a language pack's analyze(text), with their text.
 
-    Each distinct text is analyzed once.
+    No text is shuffled and none is read twice: a line's tokens leave Python beside the line, TEXTS_AT_ONCE lines at a time, and
+    each distinct text among these is analyzed once. As a map over Arrow batches it is not repeated by what later steps filter.
     """
+    rows = lines.select(F.col(key).alias("sentence_id"), F.col(text).alias("text"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(TOKEN))])
+    kind, columns = to_arrow_type(schema["tokens"].dataType), schema.names
 
-    @F.pandas_udf(T.ArrayType(TOKEN))
-    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda x: analyze(x or ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(first, TEXTS_AT_ONCE)
+                texts = [x or "" for x in batch.column(1).to_pylist()]
+                known = {x: analyze(x) for x in dict.fromkeys(texts)}
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([known[x] for x in texts], kind)], columns)
 
-    texts = lines.select(text).distinct().withColumn("tokens", tokens(text))
-    rows = lines.select(F.col(key).alias("sentence_id"), text).join(texts, text)
-    return rows.select("sentence_id", F.posexplode("tokens").alias("position", "t")).select("sentence_id", "position", "t.*")
+    return rows.mapInArrow(run, schema).select("sentence_id", "text", F.posexplode("tokens").alias("position", "t")).select("sentence_id", "text", "position", "t.*")
+
+
+def analyzed(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]]) -> DataFrame:
+    """Tokens of a language pack's analyze(text) -> [{surface, lemma, reading, pos, start, end}], over Arrow batches."""
+    return analyzed_texts(lines, key, text, analyze).drop("text")
 
 
 def content_words(tokens: DataFrame) -> DataFrame:

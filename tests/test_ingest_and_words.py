@@ -247,3 +247,13 @@ def test_published_tables_are_always_whole(spark, tmp_path):
         if n == 2:
             assert reader.count() == 3  # a reader that had begun
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_words_of_lines_come_without_a_shuffle(spark):
+    lines = spark.createDataFrame([(1, "水を飲んだ"), (2, "水を飲んだ"), (2, "水を飲んだ"), (3, None)], "id long, text string")
+    found = morphs.morphs(lines, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    got = sorted((r.sentence_id, r.position, r.surface, r.pos) for r in found.collect())
+    words = [(0, "水", "名詞"), (1, "を", "助詞"), (2, "飲", "名詞"), (3, "んだ", "助動詞")]
+    assert got == sorted((n, *w) for n in (1, 2, 2) for w in words)
