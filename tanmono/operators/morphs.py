@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tanmono.functions.text import to_katakana
 from tanmono.operators.semantics import decide
 from tanmono.operators.tokens import CONTENT_POS, analyzed_texts, content_words, located, single_words
+from tanmono.plans.storage import materialize
 
 #: Words of the default analyzer, as of tokens.WORD: runs of kanji, of katakana, of hiragana, of Latin letters and digits.
 _RUN = re.compile("[一-鿿々]+|[ァ-ヺー・]+|([ぁ-ゖ]+)|[0-9A-Za-zà-ÿÀ-ß]+")
@@ -182,11 +183,11 @@ def analyses(candidates: DataFrame, lexicon: DataFrame, parts: DataFrame, lines:
              analyze: Callable[[str], list[dict]] = script_runs, similar: Callable[[Column, Column], Column] = likeness) -> DataFrame:
     """Candidates that lexicon(surface, lemma, reading, gloss) holds, with lemma, reading, gloss, decision, margin and opacity.
 
-    A surface that is one word when it stands alone is no candidate. The decision weighs the translation in lines(sentence_id,
+    A surface that is one word when it stands alone is no candidate; the lexicon's are looked at, each once, not the candidates'. The decision weighs the translation in lines(sentence_id,
     text, english) against the phrase's gloss and against those of its parts(sentence_id, position, gloss).
     """
-    known = candidates.join(lexicon, "surface")
-    known = known.join(single_words(known, analyze), "surface", "left_anti")
+    several = lexicon.join(single_words(lexicon, analyze), "surface", "left_anti")
+    known = materialize(candidates.join(several, "surface"), "known")
     inside = parts.select("sentence_id", F.col("position").alias("_p"), F.col("gloss").alias("_g"))
     span = (F.col("_p") >= F.col("position")) & (F.col("_p") < F.col("position") + F.col("n"))
     own = known.select("sentence_id", "position", "n").join(inside, "sentence_id").filter(span)

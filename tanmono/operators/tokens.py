@@ -110,11 +110,14 @@ def dictionary_forms(tokens: DataFrame, forms: DataFrame, first: str, second: st
 
 
 def single_words(surfaces: DataFrame, analyze: Callable[[str], list[dict]]) -> DataFrame:
-    """(surface) of surfaces(surface) that are one word when analyzed alone; each distinct one is analyzed once."""
+    """(surface) of surfaces(surface) that are one word when analyzed alone; each distinct one is analyzed once.
+
+    The function is marked so that the optimizer does not move it to the rows below the distinct ones.
+    """
 
     @F.pandas_udf(T.IntegerType())
     def n_words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda x: sum(any(c.isalnum() for c in t["surface"]) for t in analyze(x or "")))
 
-    return surfaces.select("surface").distinct().withColumn("n", n_words("surface")).filter("n = 1").select("surface")
+    return surfaces.select("surface").distinct().withColumn("n", n_words.asNondeterministic()("surface")).filter("n = 1").select("surface")

@@ -74,7 +74,7 @@ def _analyses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines, rows = _morphs(spark, sf_dir)
     lex = model.lexemes(spark, sf_dir).filter("gloss <> ''").select(F.col("id").alias("lexeme_id"), "lemma", "reading", "gloss")
     forms = model.occurrences(spark, sf_dir).select("lexeme_id", "surface").distinct().join(lex, "lexeme_id")
-    forms = forms.groupBy("surface").agg(F.min_by(F.struct("lemma", "reading", "gloss"), "lexeme_id").alias("b")).select("surface", "b.*")
+    forms = materialize(forms.groupBy("surface").agg(F.min_by(F.struct("lemma", "reading", "gloss"), "lexeme_id").alias("b")).select("surface", "b.*"), "forms")
     parts = morphs.component_tokens(rows).join(forms.select("surface", "gloss"), "surface", "left")
     parts = parts.select("sentence_id", "position", F.coalesce("gloss", "surface").alias("gloss"))
     found = morphs.analyses(morphs.expression_candidates(rows, lines), forms, parts, lines, tx.english_words)

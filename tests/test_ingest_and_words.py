@@ -257,3 +257,20 @@ def test_words_of_lines_come_without_a_shuffle(spark):
     got = sorted((r.sentence_id, r.position, r.surface, r.pos) for r in found.collect())
     words = [(0, "水", "名詞"), (1, "を", "助詞"), (2, "飲", "名詞"), (3, "んだ", "助動詞")]
     assert got == sorted((n, *w) for n in (1, 2, 2) for w in words)
+
+
+def test_only_the_lexicon_is_analyzed_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(n, k, w, w, w, "名詞", k, k + 1) for n in range(40) for k, w in enumerate("水火土")], MORPH)
+    lines = spark.createDataFrame([(n, "水火土", "water fire") for n in range(40)], "sentence_id long, text string, english string")
+    lexicon = spark.createDataFrame([("水火", "水火", "スイカ", "water fire")], "surface string, lemma string, reading string, gloss string")
+    parts = rows.select("sentence_id", "position", F.col("surface").alias("gloss"))
+    asked = str(tmp_path / "asked")
+
+    def analyze(text):
+        with open(asked, "a", encoding="utf-8") as out:
+            out.write(text + "\n")
+        return [{"surface": c, "lemma": c, "reading": c, "pos": "名詞", "start": i, "end": i + 1} for i, c in enumerate(text)]
+
+    found = morphs.analyses(morphs.expression_candidates(rows, lines), lexicon, parts, lines, english_words, analyze)
+    assert found.count() == 40 and {r.decision for r in found.collect()} == {"expression"}
+    assert open(asked, encoding="utf-8").read().split() == ["水火"]
