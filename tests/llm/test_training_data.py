@@ -171,6 +171,17 @@ def test_alignment_finds_swapped_long_cues(spark):
     assert got == expected
 
 
+def test_alignment_puts_lines_without_terms_in_their_place(spark):
+    lines, expected = _unaligned(13, 40, 12_000, 4_000, lambda at: at + 2_000)
+    ja, (whole, source, cue, start, _, _, text) = 1021, next(r for r in lines if r[0] == 5021)
+    lines = [r if r[0] != whole else (whole, source, cue, start + 2_000, start + 4_000, "", text) for r in lines]
+    lines = [r if r[1] != 9 or r[5] or r[2] >= cue else (*r[:2], r[2] - 1, *r[3:]) for r in lines]  # room for the part before
+    lines.append((9001, source, cue - 1, start, start + 1_900, "", "they of the"))  # with the rest it fills the Japanese line's time
+    lines.append((9002, source, 2_000, 41 * 12_000, 41 * 12_000 + 3_000, "", "♪ la ♪"))  # after all Japanese lines
+    got = {(r.ja, r.en) for r in alignment.translation_pairs(spark.createDataFrame(lines, _LINES)).collect()}
+    assert got == expected | {(ja, 9001)}
+
+
 def test_alignment_follows_a_drift_beyond_the_blocks(spark):
     # 10 minutes apart at the start, 13 at the end; both tracks hold each other's blocks, but of other lines.
     lines, expected = _unaligned(7, 150, 24_000, 2_000, lambda at: 600_000 + at * 26 // 25 + at // 100, n_words=250)
