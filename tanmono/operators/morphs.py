@@ -7,16 +7,20 @@ Morphs are rows (sentence_id, position, surface, lemma, reading, pos, start, end
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tanmono.functions.text import to_katakana
 from tanmono.operators.semantics import decide
-from tanmono.operators.tokens import CONTENT_POS, analyzed_texts, content_words, located, single_words
+from tanmono.operators.tokens import CONTENT_POS, TOKEN, analyzed_lines, analyzed_texts, content_words, located, single_words
 from tanmono.plans.storage import materialize
 
 #: Words of the default analyzer, as of tokens.WORD: runs of kanji, of katakana, of hiragana, of Latin letters and digits.
@@ -31,6 +35,14 @@ PUNCTUATION, AUXILIARY, PARTICLE, EXPRESSION = "補助記号", "助動詞", "助
 #: Words of an expression.
 LEAST_WORDS, MOST_WORDS = 2, 4
 _SCRIPT = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
+_JAPANESE = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+#: Bits of the filter of a lexicon's surfaces, 8 MB whatever its size; what passes it by chance is left out by the join.
+FILTER_BITS = 26
+_ENDED = T.StructType([*TOKEN.fields, T.StructField("inflected_end", T.IntegerType())])
+_RUNS = T.StructType([
+    *(T.StructField(c, T.IntegerType()) for c in ("position", "n", "start", "end")), T.StructField("surface", T.StringType()),
+    T.StructField("with_particle", T.BooleanType()), T.StructField("parts", T.ArrayType(T.StringType())),
+])
 
 
 def script_runs(text: str) -> list[dict]:
@@ -63,17 +75,23 @@ def contextual(rows: DataFrame, text: str) -> DataFrame:
 
     The adjective いい before たい is the verb "say"; 何 is ナニ at the end, before the end of a sentence, and before case particles.
     """
-    rest = F.substr(F.col(text), F.col("end") + 1, F.char_length(text))
+    word = F.struct("lemma", "reading", "pos", "end")
+    return rows.withColumns(_in_context(F.col(text), word))
+
+
+def _in_context(text: Column, word: Column) -> dict[str, Column]:
+    """lemma, pos and reading of a word(lemma, reading, pos, end) by what follows it in the text."""
+    rest = F.substr(text, word["end"] + 1, F.char_length(text))
     bare = F.ltrim(rest)
-    says = (F.col("lemma") == "いい") & (F.col("reading") == "イイ") & rest.startswith("たい")
+    says = (word["lemma"] == "いい") & (word["reading"] == "イイ") & rest.startswith("たい")
     nani = (bare == "") | F.contains(F.lit(SENTENCE_END), F.substring(bare, 1, 1))
     for mark in AFTER_NANI:
         nani = nani | bare.startswith(mark)
-    nani = (F.col("lemma") == "何") & (F.col("reading") == "ナン") & nani
-    return rows.withColumns({
-        "lemma": F.when(says, "いう").otherwise(F.col("lemma")), "pos": F.when(says, "動詞").otherwise(F.col("pos")),
-        "reading": F.when(says, "イウ").when(nani, "ナニ").otherwise(F.col("reading")),
-    })
+    nani = (word["lemma"] == "何") & (word["reading"] == "ナン") & nani
+    return {
+        "lemma": F.when(says, "いう").otherwise(word["lemma"]), "pos": F.when(says, "動詞").otherwise(word["pos"]),
+        "reading": F.when(says, "イウ").when(nani, "ナニ").otherwise(word["reading"]),
+    }
 
 
 def morphs(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]] = script_runs) -> DataFrame:
@@ -104,6 +122,42 @@ def inflected_spans(targets: DataFrame, rows: DataFrame, lines: DataFrame) -> Da
     return met.select(*targets.columns, start.alias("start"), F.coalesce("span.end", start + F.char_length("surface")).alias("end"))
 
 
+def ended(words: list[dict]) -> list[dict]:
+    """An analyzer's words with inflected_end, as of endings()."""
+    out, after, stop = [], None, None
+    for word in reversed(words):
+        goes_on = after is not None and after["start"] == word["end"] and after["pos"] == AUXILIARY
+        stop = stop if goes_on else word["end"] if stop is None else min(stop, word["end"])
+        out.append(word | {"inflected_end": stop})
+        after = word
+    return out[::-1]
+
+
+def inflected_targets(targets: DataFrame, lines: DataFrame, reading: Callable[[Column], Column], analyze: Callable[[str], list[dict]] = script_runs) -> DataFrame:
+    """inflected_spans() of the targets(sentence_id, lemma, surface) of lines(sentence_id, text); reading(surface) is the one that is asked for.
+
+    A line meets all its targets before it is analyzed, so its words are an array beside them and never rows that are shuffled. Targets
+    without a line are left out.
+    """
+    rest = [c for c in targets.columns if c != "sentence_id"]
+    asked = targets.groupBy("sentence_id").agg(F.collect_list(F.struct(*rest)).alias("targets"))
+    met = lines.select("sentence_id", "text").join(asked, "sentence_id")
+    met = analyzed_lines(met, "sentence_id", "text", lambda text: ended(analyze(text)), ("targets",), _ENDED)
+
+    def word(t: Column) -> Column:
+        plain = F.struct(t["lemma"].alias("lemma"), to_katakana(t["reading"]).alias("reading"), t["pos"].alias("pos"), t["end"].alias("end"))
+        read = _in_context(F.col("text"), plain)
+        return F.struct(read["lemma"].alias("lemma"), read["reading"].alias("reading"), *(t[c].alias(c) for c in ("surface", "start", "inflected_end")))
+
+    met = met.select("sentence_id", "text", "targets", F.transform("tokens", word).alias("words"))
+    met = met.select("sentence_id", "text", "words", F.explode("targets").alias("t")).select("sentence_id", "text", "words", "t.*")
+    same = lambda w: (w["surface"] == F.col("surface")) & (w["lemma"] == F.col("lemma")) & (w["reading"] == reading(F.col("surface")))
+    met = met.withColumn("_span", F.get(F.filter("words", same), F.lit(0)))
+    at = F.when(F.col("surface") == F.col("lemma"), F.nullif(F.position(F.col("surface"), F.col("text")), F.lit(0)) - 1)
+    start = F.coalesce(F.col("_span.start"), at)
+    return met.select(*targets.columns, start.alias("start"), F.coalesce(F.col("_span.inflected_end"), start + F.char_length("surface")).alias("end"))
+
+
 def span_reading(tokens: Column, start: Column, end: Column) -> Column:
     """Reading in katakana of the tokens, an array of (start, end, reading), that fill a span exactly; null if none do."""
     inside = F.filter(tokens, lambda t: (t["start"] >= start) & (t["end"] <= end))
@@ -193,12 +247,96 @@ def analyses(candidates: DataFrame, lexicon: DataFrame, parts: DataFrame, lines:
     own = known.select("sentence_id", "position", "n").join(inside, "sentence_id").filter(span)
     own = own.groupBy("sentence_id", "position", "n").agg(F.array_sort(F.collect_list(F.struct("_p", "_g"))).alias("_parts"))
     met = known.join(own, ["sentence_id", "position", "n"], "left").join(lines.select("sentence_id", "text", "english"), "sentence_id")
-    joined = F.array_join(F.transform(F.coalesce("_parts", F.array()), lambda x: x["_g"]), " ")
-    met = met.withColumns({"_e": words(F.coalesce("english", F.lit(""))), "_f": words(F.col("gloss")), "_c": words(joined)})
-    phrase, component, like = similar(F.col("_e"), F.col("_f")), similar(F.col("_e"), F.col("_c")), similar(F.col("_f"), F.col("_c"))
+    met = met.withColumn("_glosses", F.transform(F.coalesce("_parts", F.array()), lambda x: x["_g"]))
+    return _decided(met, words, similar).select(*candidates.columns, "lemma", "reading", "gloss", "decision", "margin", "opacity")
+
+
+def _decided(met: DataFrame, words: Callable[[Column], Column], similar: Callable[[Column, Column], Column]) -> DataFrame:
+    """Candidates with text, english, gloss and the _glosses of their parts, with decision, margin and opacity."""
     alone = F.regexp_replace("text", rf"^[\s{SENTENCE_END}、…]+|[\s{SENTENCE_END}、…]+$", "") == F.col("surface")
-    decided = decide(phrase, component, like, F.coalesce(F.size("_parts"), F.lit(0)), alone, F.col("with_particle"))
-    return met.withColumn("d", decided).select(*candidates.columns, "lemma", "reading", "gloss", "d.decision", "d.margin", "d.opacity")
+    met = met.withColumns({"_e": words(F.coalesce("english", F.lit(""))), "_f": words(F.col("gloss")), "_c": words(F.array_join("_glosses", " "))})
+    phrase, component, like = similar(F.col("_e"), F.col("_f")), similar(F.col("_e"), F.col("_c")), similar(F.col("_f"), F.col("_c"))
+    return met.withColumn("d", decide(phrase, component, like, F.size("_glosses"), alone, F.col("with_particle"))).select("*", "d.*")
+
+
+def _bit(surface: str) -> int:
+    return zlib.crc32(surface.encode("utf-8", "surrogatepass")) >> (32 - FILTER_BITS)
+
+
+def surface_filter(lexicon: DataFrame) -> np.ndarray:
+    """A bit for each surface of the lexicon; at most 2 ** (FILTER_BITS - 6) words come to the driver."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([_bit(x) for x in batch.column(0).to_pylist() if x is not None], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    rows = lexicon.select("surface").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def runs_of_words(text: str, analyze: Callable[[str], list[dict]], bits: np.ndarray) -> list[dict]:
+    """expression_candidates() of one text whose surface passes the filter, with the surfaces of the words to learn in them."""
+    words, out, held = analyze(text), [], memoryview(bits)
+    content = [w["pos"] in CONTENT_POS for w in words]
+    for first in range(len(words)):
+        for last in range(first, min(first + MOST_WORDS, len(words))):
+            if words[last]["pos"] == PUNCTUATION or (last > first and words[last]["start"] != words[last - 1]["end"]):
+                break
+            n = last - first + 1
+            if n < LEAST_WORDS or not any(content[first : last + 1]):
+                continue
+            surface = text[words[first]["start"] : words[last]["end"]]
+            bit = _bit(surface)
+            if held[bit >> 6] >> (bit & 63) & 1 and _JAPANESE.search(surface):
+                run = words[first : last + 1]
+                parts = [w["surface"] for w, c in zip(run, content[first : last + 1], strict=True) if c and _JAPANESE.search(w["surface"])]
+                particle = any(w["pos"] == PARTICLE for w in run)
+                out.append({"position": first, "n": n, "start": words[first]["start"], "end": words[last]["end"], "surface": surface, "with_particle": particle, "parts": parts})
+    return out
+
+
+def line_analyses(lines: DataFrame, lexicon: DataFrame, words: Callable[[Column], Column],
+                  analyze: Callable[[str], list[dict]] = script_runs, similar: Callable[[Column, Column], Column] = likeness) -> DataFrame:
+    """analyses() of lines(sentence_id, text, english), where a part has the gloss that the lexicon gives its surface, else the surface.
+
+    Runs of words are looked for while a line is analyzed and leave Python only if a filter of the lexicon's surfaces lets them pass, so neither
+    words nor other runs are shuffled. Glosses are met once for each distinct run, not for each place.
+    """
+    several = materialize(lexicon.join(single_words(lexicon, analyze), "surface", "left_anti"), "several")
+    found = analyzed_lines(lines, "sentence_id", "text", partial(runs_of_words, analyze=analyze, bits=surface_filter(several)), ("english",), _RUNS)
+    found = found.select("sentence_id", "text", "english", F.explode("tokens").alias("r")).select("sentence_id", "text", "english", "r.*")
+    found = materialize(found, "runs")
+    phrases = found.select("surface", "parts").distinct().join(several, "surface")
+    glossed = phrases.select("surface", "parts", F.posexplode("parts").alias("_p", "_part")).join(lexicon.select(F.col("surface").alias("_part"), F.col("gloss").alias("_g")), "_part", "left")
+    glossed = glossed.groupBy("surface", "parts").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_g", "_part").alias("_g")))).alias("_parts"))
+    phrases = phrases.join(glossed, ["surface", "parts"], "left").withColumn("_glosses", F.transform(F.coalesce("_parts", F.array()), lambda x: x["_g"]))
+    met = _decided(found.join(phrases.drop("_parts"), ["surface", "parts"]), words, similar)
+    return met.select("sentence_id", "position", "n", "start", "end", "surface", "with_particle", "lemma", "reading", "gloss", "decision", "margin", "opacity")
+
+
+def taken_runs(rows: DataFrame) -> DataFrame:
+    """(sentence_id, taken): the runs that selected() takes, an array of (position, n, start, end, surface, lemma, reading) for each sentence."""
+    fields = ("position", "less", "n", "start", "end", "surface", "lemma", "reading")
+    run = F.struct(*((-F.col("n")).alias(c) if c == "less" else F.col(c) for c in fields))
+    lists = rows.filter("decision = 'expression'").groupBy("sentence_id").agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    marked = F.transform("runs", lambda r: F.struct(r["position"].alias("position"), r["less"].alias("less"), F.lit(True).alias("accepted")))
+    pairs = F.filter(F.arrays_zip(F.col("runs").alias("run"), _taken(marked).alias("is")), lambda x: x["is"])
+    return lists.select("sentence_id", F.transform(pairs, lambda x: x["run"]).alias("taken"))
+
+
+def lines_with_expressions(lines: DataFrame, taken: DataFrame, analyze: Callable[[str], list[dict]] = script_runs) -> DataFrame:
+    """with_expressions() of lines(sentence_id, text) and taken_runs(): a line meets its expressions before it is analyzed."""
+    columns = ["sentence_id", "position", "surface", "lemma", "reading", "pos", "start", "end"]
+    met = analyzed_lines(lines.select("sentence_id", "text").join(taken, "sentence_id", "left"), "sentence_id", "text", analyze, ("taken",))
+    rows = met.select("sentence_id", "text", "taken", F.posexplode("tokens").alias("position", "t")).select("sentence_id", "text", "taken", "position", "t.*")
+    rows = contextual(rows.withColumn("reading", to_katakana("reading")), "text")
+    inside = F.exists("taken", lambda r: (F.col("position") >= r["position"]) & (F.col("position") < r["position"] + r["n"]))
+    plain = component_tokens(rows).filter(~F.coalesce(inside, F.lit(False))).select(columns)
+    whole = taken.select("sentence_id", F.explode("taken").alias("r")).select("sentence_id", "r.*").withColumn("pos", F.lit(EXPRESSION))
+    return plain.unionByName(whole.select(columns))
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))

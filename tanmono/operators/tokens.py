@@ -33,15 +33,15 @@ def default_tokens(lines: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("sentence_id", "position", "surface", lemma.alias("lemma"), to_katakana(lemma).alias("reading"), F.lit("名詞").alias("pos"))
 
 
-def analyzed_texts(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]]) -> DataFrame:
-    """(sentence_id, text, position, surface, lemma, reading, pos, start, end): tokens of a language pack's analyze(text), with their text.
+def analyzed_lines(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]], keep: tuple[str, ...] = (), kind: T.StructType = TOKEN) -> DataFrame:
+    """(sentence_id, text, *keep, tokens): lines with the array of what a language pack's analyze(text) gives, of fields as in kind.
 
     No text is shuffled and none is read twice: a line's tokens leave Python beside the line, TEXTS_AT_ONCE lines at a time, and
     each distinct text among these is analyzed once. As a map over Arrow batches it is not repeated by what later steps filter.
     """
-    rows = lines.select(F.col(key).alias("sentence_id"), F.col(text).alias("text"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(TOKEN))])
-    kind, columns = to_arrow_type(schema["tokens"].dataType), schema.names
+    rows = lines.select(F.col(key).alias("sentence_id"), F.col(text).alias("text"), *keep)
+    schema = T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(kind))])
+    array, columns = to_arrow_type(schema["tokens"].dataType), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -49,9 +49,15 @@ def analyzed_texts(lines: DataFrame, key: str, text: str, analyze: Callable[[str
                 batch = whole.slice(first, TEXTS_AT_ONCE)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
                 known = {x: analyze(x) for x in dict.fromkeys(texts)}
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([known[x] for x in texts], kind)], columns)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([known[x] for x in texts], array)], columns)
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema).select("sentence_id", "text", F.posexplode("tokens").alias("position", "t")).select("sentence_id", "text", "position", "t.*")
+
+def analyzed_texts(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]]) -> DataFrame:
+    """(sentence_id, text, position, surface, lemma, reading, pos, start, end): the tokens of analyzed_lines() as rows, with their text."""
+    rows = analyzed_lines(lines, key, text, analyze)
+    return rows.select("sentence_id", "text", F.posexplode("tokens").alias("position", "t")).select("sentence_id", "text", "position", "t.*")
 
 
 def analyzed(lines: DataFrame, key: str, text: str, analyze: Callable[[str], list[dict]]) -> DataFrame:

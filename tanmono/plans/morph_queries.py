@@ -53,11 +53,10 @@ LEARNER_WORDS = f"""WITH {_MORPHS.lstrip()} SELECT sentence_id, position, surfac
 
 def inflected_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence's surface as a word of the analyzer, with its ending; as plain text where it is the dictionary form."""
-    lines, rows = _morphs(spark, sf_dir)
+    lines = model.sentences(spark, sf_dir, "id", "japanese").filter("japanese <> ''").select(F.col("id").alias("sentence_id"), tx.clean_text("japanese").alias("text"))
     occ = model.occurrences(spark, sf_dir).select("sentence_id", "lexeme_id", "surface")
-    lemma = model.lexemes(spark, sf_dir).select(F.col("id").alias("lexeme_id"), "lemma")
-    targets = occ.join(lemma, "lexeme_id").join(lines.select("sentence_id"), "sentence_id", "left_semi").withColumn("reading", tx.to_katakana(F.lower("surface")))
-    found = morphs.inflected_spans(targets, rows, lines)
+    targets = occ.join(model.lexemes(spark, sf_dir).select(F.col("id").alias("lexeme_id"), "lemma"), "lexeme_id")
+    found = morphs.inflected_targets(targets, lines, lambda surface: tx.to_katakana(F.lower(surface)))
     return found.select("sentence_id", "lexeme_id", "surface", "start", "end")
 
 

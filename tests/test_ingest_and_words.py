@@ -287,3 +287,20 @@ def test_texts_of_cards_are_met_last(spark, monkeypatch):
     last = next(x for x in plan.splitlines() if "Join Inner" in x)
     assert "sentence_id" in last and "lexeme_id" not in last
     assert "occurrences" in dict(seen)
+
+
+def test_words_of_targets_are_no_rows(spark):
+    from tanmono.plans import morph_queries
+
+    text = "彼は食べました。何が食べ物"
+    words = [("彼", "彼", "かれ", "代名詞"), ("は", "は", "は", "助詞"), ("食べ", "食べる", "タベ", "動詞"), ("まし", "ます", "マシ", "助動詞"), ("た", "た", "タ", "助動詞"), ("何", "何", "ナン", "代名詞"), ("食べ", "食べる", "タベ", "動詞"), ("物", "物", "モノ", "名詞")]
+    spans = tokens.located([w[0] for w in words], text)
+    analyze = lambda t: [dict(zip(("surface", "lemma", "reading", "pos"), w, strict=True), start=a, end=b) for w, (a, b) in zip(words, spans, strict=True)]
+    lines = spark.createDataFrame([(1, text)], "sentence_id long, text string")
+    readings = F.create_map(*(F.lit(x) for pair in {"彼": "カレ", "食べ": "タベ", "何": "ナニ", "物": "ブツ", "鳥": "トリ"}.items() for x in pair))
+    asked = [(1, 7, "食べる", "食べ"), (1, 8, "物", "物"), (1, 9, "彼", "彼"), (1, 10, "何", "何"), (1, 11, "鳥", "鳥"), (2, 7, "食べる", "食べ")]
+    targets = spark.createDataFrame(asked, "sentence_id long, id int, lemma string, surface string")
+    found = morphs.inflected_targets(targets, lines, lambda surface: F.try_element_at(readings, surface), analyze)
+    assert {r.id: (r.start, r.end) for r in found.collect()} == {7: (2, 7), 8: (12, 13), 9: (0, 1), 10: (8, 9), 11: (None, None)}
+    plan = morph_queries.inflected_targets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("MapInArrow") < plan.index("Join")  # a line meets its targets before it is analyzed
