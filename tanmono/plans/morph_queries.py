@@ -68,25 +68,21 @@ SELECT sentence_id, lexeme_id, t.surface, coalesce(span.s, CASE WHEN t.surface =
 FROM t LEFT JOIN f USING (sentence_id, lemma, surface)"""
 
 
-def _analyses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Words, and the runs of words that are the form of some lexeme with a gloss, weighed against the words in them."""
-    lines, rows = _morphs(spark, sf_dir)
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(surface, lemma, reading, gloss): what a form stands for, by the first lexeme with a gloss that it is a form of."""
     lex = model.lexemes(spark, sf_dir).filter("gloss <> ''").select(F.col("id").alias("lexeme_id"), "lemma", "reading", "gloss")
-    forms = model.occurrences(spark, sf_dir).select("lexeme_id", "surface").distinct().join(lex, "lexeme_id")
-    forms = materialize(forms.groupBy("surface").agg(F.min_by(F.struct("lemma", "reading", "gloss"), "lexeme_id").alias("b")).select("surface", "b.*"), "forms")
-    parts = morphs.component_tokens(rows).join(forms.select("surface", "gloss"), "surface", "left")
-    parts = parts.select("sentence_id", "position", F.coalesce("gloss", "surface").alias("gloss"))
-    found = morphs.analyses(morphs.expression_candidates(rows, lines), forms, parts, lines, tx.english_words)
-    return rows, materialize(found, "analyses")
+    forms = table(spark, sf_dir, "occurrences").select("lexeme_id", "surface").distinct().join(lex, "lexeme_id")
+    return materialize(forms.groupBy("surface").agg(F.min_by(F.struct("lemma", "reading", "gloss"), "lexeme_id").alias("b")).select("surface", "b.*"), "forms")
 
 
-def expression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analyses(spark, sf_dir)[1]
+def expression_rows(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """The runs of words that are the form of some lexeme with a gloss, weighed against the words in them; lines as of _lines()."""
+    return morphs.line_analyses(_lines(spark, sf_dir) if lines is None else lines, _forms(spark, sf_dir), tx.english_words)
 
 
 def expression_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of words that a dictionary form spells, with the decision whether it is an expression there."""
-    return _analyses(spark, sf_dir)[1].select("sentence_id", "position", "n", "start", "end", "surface", "lemma", "with_particle", "decision", "margin", "opacity")
+    return expression_rows(spark, sf_dir).select("sentence_id", "position", "n", "start", "end", "surface", "lemma", "with_particle", "decision", "margin", "opacity")
 
 
 def _like(a: str, b: str) -> str:
@@ -118,8 +114,9 @@ EXPRESSION_ANALYSES = f'WITH {_ANALYSES} SELECT sentence_id, position, n, start,
 
 def words_with_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every line after accepted expressions took the place of their parts."""
-    rows, found = _analyses(spark, sf_dir)
-    return morphs.with_expressions(rows, morphs.selected(found)).select("sentence_id", "position", "surface", "lemma", "pos", "start", "end")
+    lines = materialize(_lines(spark, sf_dir), "lines")
+    taken = materialize(morphs.taken_runs(expression_rows(spark, sf_dir, lines)), "taken")
+    return morphs.lines_with_expressions(lines, taken).select("sentence_id", "position", "surface", "lemma", "pos", "start", "end")
 
 
 WORDS_WITH_EXPRESSIONS = f"""WITH RECURSIVE {_ANALYSES},
@@ -140,7 +137,7 @@ def overlapping_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     occ = model.occurrences(spark, sf_dir).select("sentence_id", "lexeme_id", "surface").join(lines.select("sentence_id", "text"), "sentence_id")
     start, end = tokens.literal_span(F.col("text"), F.col("surface"))
     cards = occ.select("sentence_id", "lexeme_id", start.alias("start"), end.alias("end")).filter("start IS NOT NULL")
-    found = _analyses(spark, sf_dir)[1].select("sentence_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "decision")
+    found = expression_rows(spark, sf_dir).select("sentence_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "decision")
     return audit.overlapping(cards, found).groupBy("lexeme_id", "sentence_id").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "expression").alias("n_expressions"))
 
 

@@ -304,3 +304,38 @@ def test_words_of_targets_are_no_rows(spark):
     assert {r.id: (r.start, r.end) for r in found.collect()} == {7: (2, 7), 8: (12, 13), 9: (0, 1), 10: (8, 9), 11: (None, None)}
     plan = morph_queries.inflected_targets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("MapInArrow") < plan.index("Join")  # a line meets its targets before it is analyzed
+
+
+def test_expressions_are_found_while_lines_are_analyzed(spark, monkeypatch):
+    from tanmono.plans import morph_queries
+
+    texts = ["水火土、水火土", "ああ水火 土", "水火", "水火土水が立つ", "東京水火、、", "", None, "abc水を飲む水火"]
+    lines = spark.createDataFrame([(n, t, "Water fire stands." if n % 2 else "A flood.") for n, t in enumerate(texts)], "sentence_id long, text string, english string")
+
+    def analyze(text):
+        return [{"surface": c, "lemma": c, "reading": c, "pos": "補助記号" if c == "、" else "助詞" if c in "がを" else "助動詞" if c == "つ" else "名詞", "start": i, "end": i + 1} for i, c in enumerate(text) if c != " "]
+
+    words = [("水火", "flood"), ("水火土", "water fire"), ("火土", "ash"), ("が立", "stand"), ("水", "water"), ("火", "fire"), ("水火土水", "water fire stands"), ("飲", "drink"), ("bc", "letters")]
+    lexicon = spark.createDataFrame([(w, w, w, g) for w, g in words], "surface string, lemma string, reading string, gloss string")
+    rows = morphs.morphs(lines, "sentence_id", "text", analyze)
+    parts = morphs.component_tokens(rows).join(lexicon.select("surface", "gloss"), "surface", "left").select("sentence_id", "position", F.coalesce("gloss", "surface").alias("gloss"))
+    old = morphs.analyses(morphs.expression_candidates(rows, lines), lexicon, parts, lines, english_words, analyze)
+    new = morphs.line_analyses(lines, lexicon, english_words, analyze)
+    assert sorted(map(tuple, new.select(old.columns).collect())) == sorted(map(tuple, old.collect())) and {r.decision for r in new.collect()} >= {"expression", "components"}
+    chosen = morphs.with_expressions(rows, morphs.selected(old))
+    assert sorted(map(tuple, morphs.lines_with_expressions(lines, morphs.taken_runs(new), analyze).collect())) == sorted(map(tuple, chosen.collect()))
+
+    written = {}
+    for module in (morphs, morph_queries):
+        monkeypatch.setattr(module, "materialize", lambda df, tag, keep=module.materialize: written.setdefault(tag, keep(df, tag)))
+    morph_queries.words_with_expressions(spark, "/root/testdata/sf0.001")
+    assert "runs" in written and "morphs" not in written  # neither words nor runs that no form spells are kept or shuffled
+    assert written["runs"].count() < 2 * written["lines"].count()
+
+
+def test_many_surfaces_pass_the_filter(spark):
+    surfaces = [f"水{n}" for n in range(5000)]
+    bits = morphs.surface_filter(spark.createDataFrame([(s,) for s in surfaces], "surface string").repartition(3))
+    word = lambda s: [{"surface": s[:1], "pos": "名詞", "start": 0, "end": 1}, {"surface": s[1:], "pos": "名詞", "start": 1, "end": len(s)}]
+    assert all(morphs.runs_of_words(s, word, bits) for s in surfaces)
+    assert sum(bool(morphs.runs_of_words(f"火{n}", word, bits)) for n in range(5000)) < 50
