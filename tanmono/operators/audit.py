@@ -111,8 +111,12 @@ def overlapping(cards: DataFrame, analyses: DataFrame) -> DataFrame:
 
     A card without span meets all analyses of its sentence; an equi-join on the sentence with the range as residual.
     """
-    met = cards.join(analyses, "sentence_id")
-    return met.filter(F.col("start").isNull() | F.col("end").isNull() | ((F.col("a_start") < F.col("end")) & (F.col("a_end") > F.col("start"))))
+    return cards.join(analyses, "sentence_id").filter(overlaps(F.col("a_start"), F.col("a_end")))
+
+
+def overlaps(a_start: Column, a_end: Column) -> Column:
+    """Whether an analysis overlaps the span of columns start and end; whatever is null overlaps all."""
+    return F.col("start").isNull() | F.col("end").isNull() | ((a_start < F.col("end")) & (a_end > F.col("start")))
 
 
 def worst_analyses(met: DataFrame) -> DataFrame:

@@ -133,12 +133,18 @@ WHERE pos IN ({_CONTENT}) AND regexp_matches(surface, '[\\x{{3040}}-\\x{{30ff}}\
 
 def overlapping_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every occurrence whose form stands in its line, the analyses that overlap it."""
-    lines = _lines(spark, sf_dir)
-    occ = model.occurrences(spark, sf_dir).select("sentence_id", "lexeme_id", "surface").join(lines.select("sentence_id", "text"), "sentence_id")
+    lines = materialize(_lines(spark, sf_dir), "lines")
+    found = expression_rows(spark, sf_dir, lines).select("sentence_id", F.struct("start", "end", "decision").alias("a"))
+    found = found.groupBy("sentence_id").agg(F.collect_list("a").alias("found"))
+    # Texts come only with the lines in which there is an analysis.
+    lines = materialize(lines.select("sentence_id", "text").join(found, "sentence_id"), "analyzed")
+    occ = model.occurrences(spark, sf_dir).select("sentence_id", "lexeme_id", "surface").join(lines, "sentence_id")
     start, end = tokens.literal_span(F.col("text"), F.col("surface"))
-    cards = occ.select("sentence_id", "lexeme_id", start.alias("start"), end.alias("end")).filter("start IS NOT NULL")
-    found = expression_rows(spark, sf_dir).select("sentence_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), "decision")
-    return audit.overlapping(cards, found).groupBy("lexeme_id", "sentence_id").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "expression").alias("n_expressions"))
+    cards = occ.select("sentence_id", "lexeme_id", start.alias("start"), end.alias("end"), "found").filter("start IS NOT NULL")
+    met = F.filter("found", lambda a: audit.overlaps(a["start"], a["end"]))
+    counts = cards.select("lexeme_id", "sentence_id", met.alias("met")).select("lexeme_id", "sentence_id", F.size("met").alias("n"), F.size(F.filter("met", lambda a: a["decision"] == "expression")).alias("e"))
+    # An occurrence has a row for each of its forms.
+    return counts.filter("n > 0").groupBy("lexeme_id", "sentence_id").agg(F.sum("n").alias("n"), F.sum("e").alias("n_expressions"))
 
 
 OVERLAPPING_ANALYSES = f"""WITH {_ANALYSES}, c AS (SELECT lexeme_id, sentence_id, instr(text, surface) - 1 AS s, length(surface) AS l FROM occ JOIN lines USING (sentence_id) WHERE instr(text, surface) > 0 AND surface <> '')

@@ -339,3 +339,10 @@ def test_many_surfaces_pass_the_filter(spark):
     word = lambda s: [{"surface": s[:1], "pos": "名詞", "start": 0, "end": 1}, {"surface": s[1:], "pos": "名詞", "start": 1, "end": len(s)}]
     assert all(morphs.runs_of_words(s, word, bits) for s in surfaces)
     assert sum(bool(morphs.runs_of_words(f"火{n}", word, bits)) for n in range(5000)) < 50
+
+
+def test_analyses_meet_occurrences_once(spark):
+    from tanmono.plans import morph_queries
+
+    plan = morph_queries.overlapping_analyses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "english" not in plan  # lines carry their analyses, so neither is joined with occurrences by itself
