@@ -133,15 +133,19 @@ def undefined_lexemes(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFra
     return rows.groupBy("lexeme_id", "lemma").agg(F.sum("n").alias("total"), best).select("lexeme_id", "lemma", "total", F.col("best.sentence_id").alias("example_id"))
 
 
+def exclusion() -> Column:
+    """Why a lexeme is never taught, as of excluded_lexemes(), null if it may be."""
+    reaction = (F.coalesce("part_of_speech", F.lit("")) == "感動詞") & (F.char_length("lemma") <= 1)
+    return F.when(reaction, "reaction_fragment").when((F.col("dictionary_status") == "missing") | F.col("gloss").isNull(), "missing_definition")
+
+
 def excluded_lexemes(occ: DataFrame, sen: DataFrame, lex: DataFrame) -> DataFrame:
     """(source_id, lexeme_id, lexeme_key, lemma, reason, source_count, example_id, position): what is never taught, and why.
 
     Interjections of one character are reaction fragments, other lexemes without a definition lack it. Per source, or scope, the frequent
     ones first, then by lemma and key; the example is as of undefined_lexemes().
     """
-    reaction = (F.coalesce("part_of_speech", F.lit("")) == "感動詞") & (F.char_length("lemma") <= 1)
-    reason = F.when(reaction, "reaction_fragment").when((F.col("dictionary_status") == "missing") | F.col("gloss").isNull(), "missing_definition")
-    out = lex.select(F.col("id").alias("lexeme_id"), "lexeme_key", "lemma", reason.alias("reason")).filter("reason IS NOT NULL")
+    out = lex.select(F.col("id").alias("lexeme_id"), "lexeme_key", "lemma", exclusion().alias("reason")).filter("reason IS NOT NULL")
     missing = F.coalesce(F.col("english") == "", F.lit(True)).alias("missing")
     lines = sen.select(F.col("id").alias("sentence_id"), "source_id", missing, F.char_length("japanese").alias("length"), "cue_index")
     rows = occ.join(out, "lexeme_id").join(lines, "sentence_id")

@@ -346,3 +346,28 @@ def test_analyses_meet_occurrences_once(spark):
 
     plan = morph_queries.overlapping_analyses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "english" not in plan  # lines carry their analyses, so neither is joined with occurrences by itself
+
+
+@pytest.fixture(scope="module")
+def audited(spark):
+    from tanmono.plans import audit_queries
+
+    return audit_queries._audited(spark, "/root/testdata/sf0.001")
+
+
+def audit_plan(monkeypatch, spark, audited, name):
+    from tanmono.plans import audit_queries
+
+    monkeypatch.setattr(audit_queries, "_audited", lambda *_: audited)
+    return audit_queries.QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cards_are_kept_without_texts(spark, audited, monkeypatch):
+    assert not {"english", "gloss", "japanese", "text"} & set(audited[0].columns)
+    plan = audit_plan(monkeypatch, spark, audited, "audit_criteria")
+    assert "Join" not in plan and "Window" not in plan
+    found = [(0, 2, "components", 0.5, 0.5), (1, 3, "ambiguous", 0.2, 0.5), (5, 8, "expression", 0.05, 0.5)]
+    spans = [(1, 0, 2), (2, 4, 6), (3, 8, 9), (4, None, None)]
+    rows = spark.createDataFrame([(*s, found) for s in spans], "card int, start int, end int, found array<struct<start:int,end:int,decision:string,margin:double,opacity:double>>")
+    got = {r.card: r.w and (r.w.decision, r.w.margin) for r in rows.select("card", audit.worst_of("found").alias("w")).collect()}
+    assert got == {1: ("ambiguous", 0.2), 2: ("expression", 0.05), 3: None, 4: ("ambiguous", 0.2)}
