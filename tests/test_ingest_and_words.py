@@ -380,3 +380,8 @@ def test_totals_read_occurrences_once(spark, audited, monkeypatch):
 def test_agreement_needs_no_join(spark, audited, monkeypatch):
     plan = audit_plan(monkeypatch, spark, audited, "review_agreement")
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_priorities_need_no_join(spark, audited, monkeypatch):
+    plan = audit_plan(monkeypatch, spark, audited, "audit_priorities")
+    assert "Join" not in plan and "Window" not in plan
