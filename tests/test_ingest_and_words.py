@@ -385,3 +385,8 @@ def test_agreement_needs_no_join(spark, audited, monkeypatch):
 def test_priorities_need_no_join(spark, audited, monkeypatch):
     plan = audit_plan(monkeypatch, spark, audited, "audit_priorities")
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_clean_cards_need_no_join(spark, audited, monkeypatch):
+    plan = audit_plan(monkeypatch, spark, audited, "clean_cards")
+    assert "Join" not in plan and "Window" not in plan
