@@ -377,6 +377,11 @@ def test_totals_read_occurrences_once(spark, audited, monkeypatch):
     assert audit_plan(monkeypatch, spark, audited, "audit_totals").count("Join") == 1  # the examples with the excluded lexemes
 
 
+def test_findings_need_no_join(spark, audited, monkeypatch):
+    plan = audit_plan(monkeypatch, spark, audited, "audit_findings")
+    assert "Join" not in plan and "Window" not in plan
+
+
 def test_agreement_needs_no_join(spark, audited, monkeypatch):
     plan = audit_plan(monkeypatch, spark, audited, "review_agreement")
     assert "Join" not in plan and "Window" not in plan
